@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences
+from . import bloom_lm, licences
 from .iblt import fingerprint_pairs
 from .mixing import mix
 from .scratch import documents
 from .sharding import shard
 from .simhash import near_duplicates
+from .suffixes import dedupe
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_pairs(documents(spark, sf_dir))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe(documents(spark, sf_dir)).drop("kept")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).drop("row_hash")
 
@@ -34,6 +39,11 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.summary(licences.scan(documents(spark, sf_dir)))
 
 
+def op10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False)))
+    return bloom_lm.score(docs, ~F.col("held_out") & F.col("doc_id").isNotNull())
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
