@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, licences
+from . import bloom_lm, decontaminate, licences
 from .iblt import fingerprint_pairs
 from .mixing import mix
 from .scratch import documents
@@ -22,6 +22,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_pairs(documents(spark, sf_dir))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    items = F.array_sort(F.array_distinct(F.transform("leaks", lambda x: x.item)))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("leaked"), items.alias("item_ids"), F.coalesce(F.array_max(F.transform("leaks", lambda x: x.similarity)), F.lit(0.0)).alias("similarity"))
+
+
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe(documents(spark, sf_dir)).drop("kept")
 
