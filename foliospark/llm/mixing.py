@@ -94,15 +94,21 @@ def _fill(pdf):
     if rest and abs(left - sizes[best := min(rest, key=lambda i: (abs(left - sizes[i]), i))]) < left:
         took[best] = True
         left -= sizes[best]
-    # One exchange of a taken for an untaken record, the one that ends nearest.
+    # Exchange a taken for an untaken record, those that end nearest, while that helps.
     words, taken = np.array(sizes), np.array(took)
-    inside, outside = np.flatnonzero(taken), np.flatnonzero(~taken)
-    if len(inside) and len(outside):
+    for _ in range(16):
+        inside, outside = np.flatnonzero(taken), np.flatnonzero(~taken)
+        if not len(inside) or not len(outside):
+            break
         inside = inside[np.argsort(words[inside], kind="stable")]
         at = np.searchsorted(words[inside], words[outside] - left)
-        end, i, j = min((abs(left - words[o] + words[inside[k]]), int(o), int(inside[k])) for o, x in zip(outside, at, strict=True) for k in {max(0, x - 1), min(x, len(inside) - 1)})
-        if end < abs(left):
-            took[i], took[j] = True, False
+        near = [(k, o) for o, x in zip(outside, at, strict=True) for k in sorted({max(0, x - 1), min(x, len(inside) - 1)})]
+        end, i, j = min((abs(left - words[o] + words[inside[k]]), int(o), int(inside[k])) for k, o in near)
+        if end >= abs(left) - 1e-6:
+            break
+        taken[i], taken[j] = True, False
+        left += words[j] - words[i]
+    took = taken.tolist()
     return pdf.loc[took, ["s", "h"]]
 
 
@@ -152,3 +158,10 @@ def mix(docs: DataFrame, text: str = "text", ident: str = "doc_id", source: str
     more = F.when(~may | (F.col("_need") <= 0), 0).when(F.col("cut").isNull() | (F.col("bin") < F.col("cut")), 1).when(F.col("bin") == F.col("cut"), F.coalesce("fills", F.lit(0))).otherwise(0)
     copies = (F.col("whole") + more).cast("int")
     return out.select(F.col("_id").alias(ident), F.col("h").alias("row_hash"), "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def repeat(docs: DataFrame, text: str = "text", ident: str = "doc_id", source: str = "source", weights=WEIGHTS, cap: int = 3) -> DataFrame:
+    """The rows of `docs` as many times as mix() takes them, with all their columns."""
+    taken = mix(docs, text, ident, source, weights, cap).where("copies > 0").groupBy(F.col("row_hash").alias("_h")).agg(F.max("copies").alias("_copies"))
+    rows = docs.withColumn("_h", F.xxhash64(F.col(ident), F.col(text))).join(taken, "_h")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")

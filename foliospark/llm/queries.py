@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, decontaminate, licences
+from . import bloom_lm, decontaminate, licences, quality, separators
 from .iblt import fingerprint_pairs
 from .mixing import mix
 from .scratch import documents
@@ -13,6 +13,9 @@ from .sharding import shard
 from .simhash import near_duplicates
 from .suffixes import dedupe
 
+#: A rank file of a public tokenizer; the pattern that belongs to it lies beside it.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir), 24).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -22,6 +25,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_pairs(documents(spark, sf_dir))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return separators.count_documents(documents(spark, sf_dir), vocabulary)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), keep=["doc_id"])
     items = F.array_sort(F.array_distinct(F.transform("leaks", lambda x: x.item)))
@@ -41,6 +48,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), F.col("source"), path, keep=["doc_id"])
+
+
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.summary(licences.scan(documents(spark, sf_dir)))
 

@@ -15,13 +15,14 @@ are. No pair is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -32,35 +33,41 @@ from .words import mix
 PIVOTS = mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of the shingles of a text, repeats included; 0 without words."""
+def fingerprint(text: bytes, words: int = 4, seed: int = 42, lanes: int = 1) -> tuple[int, ...]:
+    """SimHash of the shingles of a text, repeats included, 64 bits a lane; 0 without words.
+
+    The first lane takes the hashes as they are, further ones take them mixed anew.
+    """
     tokens = text.lower().split()  # bytes: lowers A-Z, parts at space and \\x09-\\x0D only
     if not tokens:
-        return 0
+        return (0,) * lanes
     line = b" ".join(tokens)
-    if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(line, seed)
+    words = min(words, len(tokens))
     ends = np.empty(len(tokens), np.int64)
     np.cumsum([len(t) + 1 for t in tokens], out=ends)
     starts = np.concatenate(([0], ends[:-words])).tolist()
     h = xxhash.xxh64_intdigest
     found = np.array([h(line[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64)
-    n = len(found)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 4096):
-        ones += np.unpackbits(found[i : i + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    n, out = len(found), []
+    for _ in range(lanes):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, n, 4096):
+            ones += np.unpackbits(found[i : i + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big"))
+        found = mix(found)
+    return tuple(out)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", ident: str = "doc_id", words: int = 4) -> DataFrame:
-    """(ident, `fp` as a signed long) of every row; a null text has no words."""
+def fingerprints(docs: DataFrame, text: str = "text", ident: str = "doc_id", words: int = 4, lanes: int = 1) -> DataFrame:
+    """(ident, `fp`, `other`) of every row, signed longs; `other` is the second of two lanes, else 0. A null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], [ident, "fp"])
+            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, lanes=lanes) for t in batch.column(1).cast(pa.binary())]
+            columns = [np.array([f[i] if i < lanes else 0 for f in fps], np.uint64).view(np.int64) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], [ident, "fp", "other"])
 
-    return docs.select(F.col(ident), F.col(text)).mapInArrow(run, f"`{ident}` {docs.schema[ident].dataType.simpleString()}, fp long")
+    return docs.select(F.col(ident), F.col(text)).mapInArrow(run, f"`{ident}` {docs.schema[ident].dataType.simpleString()}, fp long, other long")
 
 
 def block_keys(fp, blocks: int, radius: int):
@@ -71,7 +78,7 @@ def block_keys(fp, blocks: int, radius: int):
     return F.array(*[F.struct(F.lit(k).alias("which"), fp.bitwiseAND(F.lit(signed(sum(masks[i] for i in c)))).alias("bits")) for k, c in enumerate(combinations(range(blocks), blocks - radius))])
 
 
-def close(fps: np.ndarray, radius: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def close(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within the radius, of one group of fingerprints, by their pivot tables.
 
     Sorted by the first coordinate, a row need only meet the rows whose first
@@ -115,13 +122,14 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return [(x, r) for x in range(n) if (r := find(x)) != x]
 
 
-def _links(batches: Iterator[pa.RecordBatch], radius: int, small: int = 24) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], radius: int, total: int, small: int = 24) -> Iterator[pa.RecordBatch]:
     """Links within runs of equal (which, bits, tile) in rows sorted by these; a run may span batches."""
     held: list[pa.RecordBatch] = []
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        which, bits, tile, node, fp = (t.column(i).to_numpy() for i in range(5))
-        fp = fp.view(np.uint64)
+        which, bits, tile, node, fp, other = (t.column(i).to_numpy() for i in range(6))
+        fp, other = fp.view(np.uint64), other.view(np.uint64)
+        apart = lambda i, j: np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(other[i] ^ other[j])
         new = np.ones(len(fp), bool)
         new[1:] = (which[1:] != which[:-1]) | (bits[1:] != bits[:-1]) | (tile[1:] != tile[:-1])
         begins = np.flatnonzero(new)
@@ -135,11 +143,14 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int, small: int = 24) -> I
             i = np.flatnonzero(light[:-lag] & (run[:-lag] == run[lag:]))
             i = i[np.abs(tables[i] - tables[i + lag]).max(axis=1, initial=0) <= radius]
             i = i[np.bitwise_count(fp[i] ^ fp[i + lag]) <= radius]
+            i = i[apart(i, i + lag) <= total]
             out_a.append(node[i])
             out_b.append(node[i + lag])
         for g in np.flatnonzero(sizes > small):
             s = slice(begins[g], begins[g] + sizes[g])
             a, b = close(fp[s], radius)
+            fine = apart(a + begins[g], b + begins[g]) <= total
+            a, b = a[fine], b[fine]
             pairs = np.array(_forest(a, b, int(sizes[g])), np.int64).reshape(-1, 2)
             out_a.append(node[s][pairs[:, 0]])
             out_b.append(node[s][pairs[:, 1]])
@@ -163,15 +174,15 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int, small: int = 24) -> I
         yield solve(pa.Table.from_batches(held))
 
 
-def link(points: DataFrame, radius: int = 4, blocks: int = 6, tile: int = 4096) -> DataFrame:
-    """Links (a, b) that connect all points (`node`, `fp`, distinct) within the radius.
+def link(points: DataFrame, radius: int = 4, blocks: int = 6, tile: int = 4096, total: int = 128) -> DataFrame:
+    """Links (a, b) that connect all points (`node`, `fp`, `other`) within the radius by `fp`, and within `total` by both lanes.
 
     Within a run of fingerprints that share blocks, the links of a spanning
     forest are returned, so a group of n alike gives n - 1 links a run and not
     n * n / 2. Runs of more than `tile` points are cut into tiles, and every
     pair of tiles is met by itself, so that no task holds a whole hot run.
     """
-    keyed = points.select("node", "fp", F.explode(block_keys(F.col("fp"), blocks, radius)).alias("k")).select("k.which", "k.bits", "node", "fp")
+    keyed = points.select("node", "fp", "other", F.explode(block_keys(F.col("fp"), blocks, radius)).alias("k")).select("k.which", "k.bits", "node", "fp", "other")
     counts = keyed.groupBy("which", "bits").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(counts, ["which", "bits"])
     tiles = F.ceil(F.col("n") / tile).cast("int")
@@ -180,12 +191,12 @@ def link(points: DataFrame, radius: int = 4, blocks: int = 6, tile: int = 4096)
     pairs = F.when(F.col("n") <= tile, F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), tiles - 1), lambda j: F.least(j, own) * tiles + F.greatest(j, own))
     )
-    met = met.select("which", "bits", F.explode(pairs).alias("tile"), "node", "fp")
+    met = met.select("which", "bits", F.explode(pairs).alias("tile"), "node", "fp", "other")
     met = met.repartition("which", "bits", "tile").sortWithinPartitions("which", "bits", "tile")
-    return met.mapInArrow(lambda it: _links(it, radius), "a long, b long")
+    return met.mapInArrow(lambda it: _links(it, radius, total), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id", words: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id", words: int = 4, radius: int = 4, blocks: int = 6) -> DataFrame:
     """(ident, `fp`, `component`) of every row: the least ident reachable over links of the radius.
 
     Null and empty texts have fingerprint 0 and link like any other. A null
@@ -193,11 +204,37 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     repeated rows stay repeated. An empty table gives an empty result.
     """
     fps = scratch.cut(fingerprints(docs, text, ident, words), "fps")
-    # One node a distinct fingerprint; its name is its least ident, or for want of one the fingerprint's place is kept by null.
+    # One node a distinct fingerprint, named by it.
     classes = scratch.cut(fps.groupBy("fp").agg(F.min(ident).alias("least")), "classes")
-    points = classes.select(F.col("fp").alias("node"), "fp")
-    joined = components(link(points, radius))
+    points = classes.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("other"))
+    joined = components(link(points, radius, blocks))
     named = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     names = named.groupBy("c").agg(F.min("least").alias("component"))
     named = named.join(names, "c").select("fp", "component")
     return fps.join(named, "fp").select(ident, "fp", "component")
+
+
+def keep_one(docs: DataFrame, text: str = "text", ident: str = "doc_id", words: int = 5, similarity: float = 0.8, radius: int = 8, blocks: int = 10) -> DataFrame:
+    """One row of each near-duplicate group of `docs`, with all its columns: that of the least ident (nulls last).
+
+    Fingerprints have two lanes of 64 bits. Pairs within the radius in either
+    lane are met; they link if both lanes together estimate a Jaccard
+    similarity of the shingles of at least `similarity` (for sets of that
+    similarity the expected share of differing bits is
+    acos(2 * s / (1 + s)) / pi). Equal texts always link. Texts without words
+    are one group. Of repeated rows one stays.
+    """
+    total = round(128 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    named = docs.withColumn("_rid", F.xxhash64(F.col(ident), F.col(text)))
+    # Bits of a second lane of one shingle say no more than the first: texts of few words get both all the same.
+    fps = scratch.cut(fingerprints(named.select(F.struct("_rid", F.col(ident).alias("id")).alias("r"), F.col(text).alias("t")), "t", "r", words, lanes=2), "fps")
+    fps = fps.select(F.col("r._rid").alias("rid"), F.col("r.id").alias("id"), F.xxhash64("fp", "other").alias("node"), "fp", "other")
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "rid"))
+    classes = scratch.cut(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.first("other").alias("other"), first.alias("first")), "classes")
+    swapped = classes.select("node", F.col("other").alias("fp"), F.col("fp").alias("other"))
+    both = link(classes.select("node", "fp", "other"), radius, blocks, total=total).unionByName(link(swapped, radius, blocks, total=total))
+    joined = components(both)
+    kept = classes.join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("first").alias("first")).select(F.col("first.rid").alias("_rid"))
+    rows = named.join(kept, "_rid", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_rid").orderBy("_rid"))
+    return rows.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)

@@ -110,7 +110,7 @@ def test_link_dense_group(spark, tile):
     points |= {rnd.getrandbits(64) for _ in range(300)}
     points = sorted(points)
     signed = [p - (1 << 64) if p >> 63 else p for p in points]
-    df = spark.createDataFrame([(p, p) for p in signed], "node long, fp long")
+    df = spark.createDataFrame([(p, p, 0) for p in signed], "node long, fp long, other long")
     links = simhash.link(df, 4, tile=tile)
     assert links.count() < 15 * 300 * (20 if tile == 16 else 1)
     got = {r.node: r.component for r in components.components(links).collect()}
