@@ -78,6 +78,18 @@ def block_keys(fp, blocks: int, radius: int):
     return F.array(*[F.struct(F.lit(k).alias("which"), fp.bitwiseAND(F.lit(signed(sum(masks[i] for i in c)))).alias("bits")) for k, c in enumerate(combinations(range(blocks), blocks - radius))])
 
 
+def blocks_for(n: int, radius: int, least: int, run: int = 4096) -> int:
+    """Blocks for n fingerprints: `least`, or more where chance alone would make runs longer than `run`.
+
+    With more blocks a pair has to agree on more bits. Any number finds all
+    pairs, so this decides about work only.
+    """
+    blocks = max(least, radius + 1)
+    while blocks < 64 and n / 2.0 ** (64 * (blocks - radius) / blocks) > run:
+        blocks += 1
+    return blocks
+
+
 def close(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within the radius, of one group of fingerprints, by their pivot tables.
 
@@ -207,7 +219,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     # One node a distinct fingerprint, named by it.
     classes = scratch.cut(fps.groupBy("fp").agg(F.min(ident).alias("least")), "classes")
     points = classes.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("other"))
-    joined = components(link(points, radius, blocks))
+    joined = components(link(points, radius, blocks_for(classes.count(), radius, blocks)))
     named = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     names = named.groupBy("c").agg(F.min("least").alias("component"))
     named = named.join(names, "c").select("fp", "component")
@@ -231,6 +243,7 @@ def keep_one(docs: DataFrame, text: str = "text", ident: str = "doc_id", words:
     fps = fps.select(F.col("r._rid").alias("rid"), F.col("r.id").alias("id"), F.xxhash64("fp", "other").alias("node"), "fp", "other")
     first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "rid"))
     classes = scratch.cut(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.first("other").alias("other"), first.alias("first")), "classes")
+    blocks = blocks_for(classes.count(), radius, blocks)
     swapped = classes.select("node", F.col("other").alias("fp"), F.col("fp").alias("other"))
     both = link(classes.select("node", "fp", "other"), radius, blocks, total=total).unionByName(link(swapped, radius, blocks, total=total))
     joined = components(both)

@@ -118,6 +118,11 @@ def test_link_dense_group(spark, tile):
     assert {p: got.get(p, p) for p in signed} == want
 
 
+def test_blocks_grow_with_the_table():
+    assert simhash.blocks_for(10**6, 4, 6) == 6 and simhash.blocks_for(10**12, 4, 6) > 6
+    assert simhash.blocks_for(10**6, 8, 10) == 10 and simhash.blocks_for(10**9, 8, 10) > 10
+
+
 def test_components_chain(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, 201), (201, 200), (5, 5), (None, 3)] + [(300, 301 + i) for i in range(50)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
