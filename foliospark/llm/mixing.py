@@ -62,8 +62,10 @@ def multipliers(spread: DataFrame, wanted: dict, known: dict, cap: float, steps:
         now = spark.createDataFrame([(s, at[s], known[s][0] / known[s][1]) for s in sorted(todo)], "s int, at double, mean double")
         x = F.col("size") / F.col("mean")
         r = _rate(F.col("at") * x, cap)
+        # Decimal sums don't depend on the order of rows, as sums of doubles do: reruns agree to the last bit.
+        total = lambda v: F.sum(v.cast("decimal(38,10)")).cast("double")
         sums = spread.join(F.broadcast(now), "s").groupBy("s").agg(
-            F.sum(F.col("n") * F.col("size") * r).alias("f"), F.sum(F.col("n") * F.col("size") * x * r * (1 - r / cap)).alias("g")
+            total(F.col("n") * F.col("size") * r).alias("f"), total(F.col("n") * F.col("size") * x * r * (1 - r / cap)).alias("g")
         )
         for row in sums.collect():
             s, gap = row.s, row.f - wanted[row.s]
@@ -82,6 +84,16 @@ def multipliers(spread: DataFrame, wanted: dict, known: dict, cap: float, steps:
     return at
 
 
+def _choices(words, rows, most: int):
+    """Rows (words, record, record) of no, one or two of the records `rows`; -1 where there is none."""
+    none = np.full(len(rows), -1)
+    out = [[[0, -1, -1]], np.stack([words[rows], rows, none], 1)]
+    if most > 1:
+        a, b = np.triu_indices(len(rows), 1)
+        out.append(np.stack([words[rows[a]] + words[rows[b]], rows[a], rows[b]], 1))
+    return np.concatenate(out).astype(np.int64)
+
+
 def _fill(pdf):
     """Of the records at the cut, in their order, take those that still fit, then the one that ends nearest."""
     pdf = pdf.sort_values(["p", "h"], kind="stable")
@@ -94,20 +106,21 @@ def _fill(pdf):
     if rest and abs(left - sizes[best := min(rest, key=lambda i: (abs(left - sizes[i]), i))]) < left:
         took[best] = True
         left -= sizes[best]
-    # Exchange a taken for an untaken record, those that end nearest, while that helps.
+    # Exchange up to two taken for up to two untaken records, those that end nearest, while that helps.
     words, taken = np.array(sizes), np.array(took)
-    for _ in range(16):
-        inside, outside = np.flatnonzero(taken), np.flatnonzero(~taken)
-        if not len(inside) or not len(outside):
-            break
-        inside = inside[np.argsort(words[inside], kind="stable")]
-        at = np.searchsorted(words[inside], words[outside] - left)
-        near = [(k, o) for o, x in zip(outside, at, strict=True) for k in sorted({max(0, x - 1), min(x, len(inside) - 1)})]
-        end, i, j = min((abs(left - words[o] + words[inside[k]]), int(o), int(inside[k])) for k, o in near)
-        if end >= abs(left) - 1e-6:
-            break
-        taken[i], taken[j] = True, False
-        left += words[j] - words[i]
+    for most in (1, 2):
+        for _ in range(16):
+            outs, ins = _choices(words, np.flatnonzero(taken), most), _choices(words, np.flatnonzero(~taken), most)
+            outs = outs[np.argsort(outs[:, 0], kind="stable")]
+            at = np.searchsorted(outs[:, 0], ins[:, 0] - left)
+            at = np.stack([np.maximum(0, at - 1), np.minimum(at, len(outs) - 1)])
+            ends = np.abs(left - ins[:, 0] + outs[at, 0])
+            side, i = np.unravel_index(int(ends.argmin()), ends.shape)
+            if ends[side, i] >= abs(left) - 1e-6:
+                break
+            gone, come = outs[at[side, i]], ins[i]
+            taken[gone[1:][gone[1:] >= 0]], taken[come[1:][come[1:] >= 0]] = False, True
+            left += gone[0] - come[0]
     took = taken.tolist()
     return pdf.loc[took, ["s", "h"]]
 
