@@ -3,15 +3,17 @@
 Counts of word n-grams are quantised on a logarithmic scale; an n-gram of
 level q is put into the filter q times, as (n-gram, 1) to (n-gram, q). Its level
 is read back by probing (n-gram, 1), (n-gram, 2), ... until a probe fails, so an
-error can only raise it, and rarely (Talbot and Osborne, 2007). The filter is
-cut into segments that are built where their n-grams are counted, and is
-broadcast to the workers that score.
-
-What is broadcast has a proven bound: the filter holds unigrams of the most
-frequent `frequent` words and pairs of the most frequent `context` words, so at
-most frequent + context**2 n-grams, and the word table `frequent` entries. All
-other words are counted and scored exactly by a join. Everything is counted
-over all training documents.
+error can only raise it, and rarely (Talbot and Osborne, 2007).
+
+The filter holds all words and all pairs of adjacent words of the training
+documents. It grows with them, so it is never in one place: it is cut into
+segments by ranges of the hash, as many as the bytes of the text need, each in
+proportion to what is put into it. Documents are taken in chunks; a chunk asks
+each segment once for its distinct n-grams and says how often it has them to
+learn from. One task per segment adds these counts up, builds the filter,
+probes it, and answers each chunk in the order it was asked, so answers carry
+no hashes. Then each chunk is scored from its answers. Words are counted by
+their whole hashes, pairs by as many bits as the size of the text needs.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,12 @@ END = 0x0E4D
 #: Levels are 1 + floor(log2(count) * STEPS).
 STEPS = 2
 PROBES = 4
-SEGMENTS = 64
+#: Tokens of a chunk, unless one document has more.
+CHUNK = 1 << 21
+#: Bytes of text for which there is one more segment.
+SEGMENT = 1 << 23
+#: Bits of a pair's hash beyond the logarithm of the bytes of text: two pairs share a hash with a chance of 2**-SPARE.
+SPARE = 18
 
 
 def tokens(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -49,38 +57,6 @@ def tokens(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j, out, np.repeat(np.arange(n), sizes + 1)
 
 
-def _counts(batches: Iterator[pa.RecordBatch], kept: np.ndarray | None, flush: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Counts of words, or (with the sorted hashes of the words kept) of pairs of kept words, merged in a task before they leave."""
-    held: list[np.ndarray] = []
-    size = 0
-
-    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
-
-    for batch in batches:
-        for _, _, t, doc in tokens(batch.column(0)):
-            if kept is not None:
-                known = member(kept, t) >= 0
-                at = np.flatnonzero(known[:-1] & known[1:] & (doc[:-1] == doc[1:]))
-                t = pair(t[at], t[at + 1])
-            held.append(t)
-            size += len(t)
-            if size >= flush:
-                yield out(held)
-                held, size = [], 0
-    if held:
-        yield out(held)
-
-
-def member(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Place of each hash in a sorted table, -1 where it isn't."""
-    if not len(table):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return np.where(table[at] == h, at, -1)
-
-
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
@@ -103,143 +79,202 @@ def probes(h: np.ndarray, q, bits: int) -> np.ndarray:
 
 @dataclass
 class Filter:
-    """Segments of `bits` bits each, and what the model needs besides."""
-
-    segments: list[bytes]
-    bits: int
-    words: np.ndarray  # sorted hashes of the frequent words
-    counts: np.ndarray  # their exact counts
-    context: np.ndarray  # sorted hashes of those whose pairs are held
-    total: int
-    distinct: int
+    """One segment, a byte a bit while it is in use."""
+
+    table: np.ndarray
+
+    @classmethod
+    def of(cls, h: np.ndarray, c: np.ndarray, bits_a_gram: int) -> Filter:
+        """Of n-grams and their counts; bits in proportion to the insertions, a level each."""
+        q = level(c)
+        table = np.zeros(max(64, -(-int(q.sum() * bits_a_gram / 2) // 64) * 64), bool)
+        live, i = np.arange(len(h)), 1
+        while len(live):
+            for a in probes(h[live], i, len(table)):
+                table[a] = True
+            i += 1
+            live = live[q[live] >= i]
+        return cls(table)
 
     def levels(self, h: np.ndarray, most: int = 80) -> np.ndarray:
         """Levels of n-grams, by probes until the first that fails."""
         out = np.zeros(len(h), np.int64)
-        where = (h % np.uint64(SEGMENTS)).astype(np.int64)
-        table = self._table()
         live = np.arange(len(h))
         for q in range(1, most + 1):
             if not len(live):
                 break
-            at = probes(h[live], q, self.bits)
-            row = where[live]
-            hit = np.ones(len(live), bool)
-            for a in at:
-                hit &= (table[row, a >> 3] >> (a & 7).astype(np.uint8)) & 1 == 1
-            live = live[hit]
+            live = live[self.table[probes(h[live], q, len(self.table))].all(axis=0)]
             out[live] = q
         return out
 
-    def _table(self) -> np.ndarray:
-        if not hasattr(self, "_bits"):
-            self._bits = np.stack([np.frombuffer(s, np.uint8) for s in self.segments])
-        return self._bits
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_bits"}
-
-
-def _segments(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            q = level(batch.column(1).to_numpy())
-            where = (h % np.uint64(SEGMENTS)).astype(np.int64)
-            for s in np.unique(where).tolist():
-                mine = where == s
-                table = held.setdefault(s, np.zeros(bits // 8, np.uint8))
-                for i in range(1, int(q[mine].max()) + 1):
-                    for a in probes(h[mine][q[mine] >= i], i, bits):
-                        np.bitwise_or.at(table, a >> 3, np.left_shift(1, a & 7).astype(np.uint8))
-        for s, table in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([table.tobytes()], pa.binary())], ["segment", "bits"])
-
-    return run
-
-
-def train(docs: DataFrame, text: str = "text", frequent: int = 1 << 18, context: int = 2048, bits_a_gram: int = 12):
-    """(Filter, DataFrame of exact counts of all words) from all of `docs`."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(text))
-    counts = texts.mapInArrow(lambda it: _counts(it, None), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    counts = scratch.cut(counts, "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # The most frequent words: those above a count, found from a histogram of a few thousand steps, so no task gathers candidates of all others.
-    step = F.floor(F.log2("c") * 64).cast("int")
-    least, taken = None, 0
-    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
-        taken += r.n
-        if taken > frequent:
-            break
-        least = r.step
-    unigrams = counts.where(step >= least if least is not None else F.lit(False))
-    top = unigrams.toArrow()
-    h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
-    order = np.argsort(h)
-    kept = np.sort(h[np.lexsort((h, -c))[:context]])
-    pairs = texts.mapInArrow(lambda it: _counts(it, kept), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    pairs = scratch.cut(pairs, "pairs")
-    grams = pairs.unionByName(unigrams)
-    # Bits in proportion to the insertions, a level each, and so to what was counted.
-    inserted = grams.agg(F.coalesce(F.sum(1 + F.floor(F.log2("c") * STEPS + 1e-9)), F.lit(0))).first()[0]
-    bits = max(64, -(-int(inserted * bits_a_gram / 2) // SEGMENTS // 64) * 64)
-    rows = grams.repartition(SEGMENTS, F.col("h").bitwiseAND(SEGMENTS - 1))
-    built = {r.segment: bytes(r.bits) for r in rows.mapInArrow(_segments(bits), "segment int, bits binary").collect()}
-    empty = bytes(bits // 8)
-    return Filter([built.get(s, empty) for s in range(SEGMENTS)], bits, h[order], c[order], kept, int(total), int(distinct)), counts
-
-
-def _score(batches: Iterator[pa.RecordBatch], shared, mixing: float) -> Iterator[pa.RecordBatch]:
-    """Sums over the frequent tokens of each document, and its other words with their counts."""
-    model: Filter = shared.value
-    low = model.total + 0.1 * (model.distinct + 1)
+
+def planes(v: np.ndarray) -> bytes:
+    """Numbers by their first bytes, second bytes, ...: those of high places are mostly 0 and pack well."""
+    raw = np.ascontiguousarray(v.view(np.uint8).reshape(len(v), v.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unplaned(packed: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(packed[8:], n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n // size).T).view(kind).ravel()
+
+
+def _sorted_planes(h: np.ndarray) -> bytes:
+    """planes() of the steps between sorted hashes."""
+    return planes(np.diff(h, prepend=np.uint64(0)))
+
+
+def _unsorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(packed, np.uint64), dtype=np.uint64)
+
+
+def edges(segments: int) -> np.ndarray:
+    """The least hash of each segment but the first."""
+    return np.array([(i << 64) // segments for i in range(1, segments)], np.uint64)
+
+
+def _pairs(t: np.ndarray, lengths: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the tokens that aren't the first of their document, and the hashes of the pairs that end there."""
+    inner = np.ones(len(t), bool)
+    inner[np.cumsum(lengths)[:-1]] = False
+    inner[0] = False
+    second = np.flatnonzero(inner)
+    return second, pair(t[second - 1], t[second]) >> np.uint64(shift)
+
+
+def _ask(batches: Iterator[pa.RecordBatch], segments: int, shift: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of documents (row, text, learn): their tokens as places in the chunk's words, and what they ask each segment.
+
+    `part` is -2 for the tokens and the documents' lengths, -1 for documents,
+    else a segment, of which words (a) and pairs (c) are asked, with the times
+    to learn each (b, d).
+    """
+    bounds = edges(segments)
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+    size, chunk = 0, TaskContext.get().partitionId() << 32
+    names = ["chunk", "part", "seq", "row", "a", "b", "c", "d"]
+
+    def out() -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_arrays([r for r, *_ in held])
+        lengths = np.concatenate([s for _, s, _, _ in held])
+        learn = np.repeat(np.concatenate([k for *_, k in held]), lengths)
+        t = np.concatenate([t for _, _, t, _ in held])
+        words, at = np.unique(t, return_inverse=True)
+        second, h = _pairs(t, lengths, shift)
+        counts = np.bincount(at[learn], minlength=len(words))
+        at = planes(at.astype(np.uint32))
+        del t
+        grams, back = np.unique(h, return_inverse=True)
+        twos = np.bincount(back[learn[second]], minlength=len(grams))
+        del h, back, second, learn
+        data = []
+        for h, c, least in ((words, counts, bounds), (grams, twos, bounds >> np.uint64(shift))):
+            cut = [0, *np.searchsorted(h, least).tolist(), len(h)]
+            ranges = list(zip(cut, cut[1:], strict=False))
+            data += [[_sorted_planes(h[i:j]) for i, j in ranges], [planes(c[i:j].astype(np.uint32)) for i, j in ranges]]
+        n, m = len(rows), segments + 1
+        first = [pa.array([at, *data[0]], pa.binary()), pa.array([planes(lengths.astype(np.uint32)), *data[1]], pa.binary()), *[pa.array([None, *x], pa.binary()) for x in data[2:]]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array([-2, *range(segments)], pa.int32()), pa.array([0] * m, pa.int32()), pa.nulls(m, rows.type), *first], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.full(n, -1, np.int32)), pa.array(np.arange(n, dtype=np.int32)), rows, *[pa.nulls(n, pa.binary())] * 4], names)
+
     for batch in batches:
+        learn = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
         for i, j, t, doc in tokens(batch.column(1)):
-            n = j - i
-            at = member(model.words, t)
-            known = at >= 0
-            c = np.zeros(len(t))
-            c[known] = model.counts[at[known]]
-            uni = np.log10(np.where(known, c + 0.1, 1.0))
-            base = np.bincount(doc, np.where(known, uni, 0.0), minlength=n)
-            # The model: pairs interpolated with single words, both read from the filter.
-            inner = member(model.context, t) >= 0
-            first = np.ones(len(t), bool)
-            first[1:] = doc[1:] != doc[:-1]
-            paired = np.flatnonzero(inner[1:] & inner[:-1] & ~first[1:]) + 1
-            distinct, back = np.unique(t[known], return_inverse=True)
-            single = np.full(len(t), 0.0)
-            single[known] = count_of(model.levels(distinct))[back]
-            p = (single + 0.1) / low
-            grams, back = np.unique(pair(t[paired - 1], t[paired]), return_inverse=True)
-            two = count_of(model.levels(grams))[back] if len(grams) else np.zeros(0)
-            p[paired] = mixing * np.minimum(two / np.maximum(single[paired - 1], 1.0), 1.0) + (1 - mixing) * p[paired]
-            score = np.bincount(doc, np.where(known, np.log10(p), 0.0), minlength=n)
-            other = np.flatnonzero(~known)
-            order = np.lexsort((t[other], doc[other]))
-            rd, rh = doc[other][order], t[other][order]
-            new = np.ones(len(rh), bool)
-            new[1:] = (rh[1:] != rh[:-1]) | (rd[1:] != rd[:-1])
-            begins = np.flatnonzero(new)
-            sizes = np.diff(np.append(begins, len(rh)))
-            cuts = np.searchsorted(rd[begins], np.arange(n + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(i, n),
-                    pa.array(np.bincount(doc, minlength=n)),
-                    pa.array(np.bincount(doc, known, minlength=n).astype(np.int64)),
-                    pa.array(base),
-                    pa.array(score),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(rh[begins].view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(sizes.astype(np.int32))),
-                ],
-                ["row", "n_tokens", "n_known", "base", "score", "rare", "times"],
-            )
-
-
-def score(docs: DataFrame, training, text: str = "text", frequent: int = 1 << 18, context: int = 2048, mixing: float = 0.4) -> DataFrame:
+            held.append((batch.column(0).slice(i, j - i), np.bincount(doc, minlength=j - i), t, learn[i:j]))
+            size += len(t)
+            if size >= CHUNK:
+                yield from out()
+                held, size, chunk = [], 0, chunk + 1
+    if held:
+        yield from out()
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, a table for each value of it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        begins = [*np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist(), len(key)] if len(key) else [0]
+        for i, j in zip(begins, begins[1:], strict=False):
+            if held and held[-1].column(0)[0].as_py() != key[i]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _answer(batches: Iterator[pa.RecordBatch], bits_a_gram: int) -> Iterator[pa.RecordBatch]:
+    """All that is asked of a segment (part, chunk, a, b, c, d): levels of words, their counts, levels of pairs; and its sums."""
+    names = ["chunk", "part", "a", "b", "c", "total", "distinct"]
+    for t in _runs(batches):
+        part, chunks, n = t["part"][0].as_py(), t["chunk"].to_numpy(), len(t)
+        asked = []
+        for h, c in (("a", "b"), ("c", "d")):
+            lists = [_unsorted(x.as_py()) for x in t[h]]
+            cuts = np.cumsum([0, *map(len, lists)])
+            grams, back = np.unique(np.concatenate(lists), return_inverse=True)
+            del lists
+            counts = np.bincount(back, np.concatenate([unplaned(x.as_py(), np.uint32) for x in t[c]]), minlength=len(grams)).astype(np.int64)
+            asked.append((grams, counts, back.astype(np.int32), list(zip(cuts, cuts[1:], strict=False))))
+        model = Filter.of(*(np.concatenate([x[i][x[1] > 0] for x in asked]) for i in (0, 1)), bits_a_gram)
+        cut = lambda v, k: pa.array([planes(v[asked[k][2][i:j]]) for i, j in asked[k][3]], pa.binary())
+        one, two = (model.levels(x[0]).astype(np.uint8) for x in asked)
+        exact = asked[0][1]
+        sums = [pa.array([int(x), *[0] * (n - 1)], pa.int64()) for x in (exact.sum(), (exact > 0).sum())]
+        yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.array([part] * n, pa.int32()), cut(one, 0), cut(exact, 0), cut(two, 1), *sums], names)
+        del t, asked, model, one, two, exact
+
+
+def _score(batches: Iterator[pa.RecordBatch], total: int, distinct: int, shift: int, mixing: float) -> Iterator[pa.RecordBatch]:
+    """Scores of the documents of each chunk, from rows sorted by (chunk, part, seq): tokens, documents, words (0) and answers (1)."""
+    low = total + 0.1 * (distinct + 1)
+    for t in _runs(batches):
+        begin, end = np.searchsorted(t["part"].to_numpy(), [-1, 0]).tolist()
+        n = end - begin
+        at, lengths = (unplaned(t[c][0].as_py(), np.uint32).astype(np.int64) for c in ("a", "b"))
+        answers = t.slice(end)
+        told = answers["seq"].to_numpy() == 1
+        words = np.concatenate([_unsorted(x.as_py()) for x in answers.filter(pa.array(~told))["a"]])
+        answers = answers.filter(pa.array(told))
+        single, exact, twos = (np.concatenate([unplaned(x.as_py(), kind) for x in answers[c]]) for c, kind in (("a", np.uint8), ("b", np.int64), ("c", np.uint8)))
+        single, doc = count_of(single.astype(np.int64)), np.repeat(np.arange(n), lengths)
+        # The model: pairs interpolated with single words, both read from the filter.
+        p = ((single + 0.1) / low)[at]
+        second, h = _pairs(words[at], lengths, shift)
+        back = np.unique(h, return_inverse=True)[1]
+        p[second] = mixing * np.minimum(count_of(twos.astype(np.int64))[back] / np.maximum(single[at[second - 1]], 1.0), 1.0) + (1 - mixing) * p[second]
+        del h, back, second
+        base = np.log10((exact + 0.1) / low)
+        rows = t["row"].slice(begin, n).combine_chunks()
+        yield pa.RecordBatch.from_arrays(
+            [
+                rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows,
+                pa.array(lengths),
+                pa.array(np.bincount(doc, (exact > 0)[at], minlength=n).astype(np.int64)),
+                pa.array(np.bincount(doc, base[at], minlength=n)),
+                pa.array(np.bincount(doc, np.log10(p), minlength=n)),
+            ],
+            ["row", "n_tokens", "n_known", "base_score", "score"],
+        )
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, t, _ in tokens(batch.column(0)):
+            h, c = np.unique(t, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+
+
+def train(docs: DataFrame, text: str = "text", bits_a_gram: int = 12):
+    """(Filter of all words in one segment, DataFrame of their exact counts), to look at the model of a few documents."""
+    counts = docs.select(F.col(text)).mapInArrow(_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    found = counts.toArrow()
+    return Filter.of(found["h"].to_numpy().view(np.uint64), found["c"].to_numpy(), bits_a_gram), counts
+
+
+def score(docs: DataFrame, training, text: str = "text", frequent: int = 1 << 18, context: int = 2048, mixing: float = 0.4, bits_a_gram: int = 12, segment: int = SEGMENT) -> DataFrame:
     """Every row of `docs` with n_tokens, n_known, train_tokens, base_score and score.
 
     `training` is a condition on `docs`; where it is true the row is learned
@@ -247,28 +282,25 @@ def score(docs: DataFrame, training, text: str = "text", frequent: int = 1 << 18
     of (count + 0.1) / (N + 0.1 * (V + 1)) with exact counts, score of the
     interpolated model. A null text is empty, so it is one end. Without any
     training row N and V are 0. All other columns of `docs` are kept.
+    `frequent` and `context` are taken for older callers and have no effect:
+    all words and pairs are held.
     """
-    spark = docs.sparkSession
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    model, counts = train(docs.where(training), text, frequent, context)
-    low = model.total + 0.1 * (model.distinct + 1)
-    kept = docs.select(*[c for c in docs.columns if c not in added])
-    rows = kept.withColumn("_row", F.monotonically_increasing_id())
-    # Row ids must not change when a task runs again: the narrow columns are written with them.
-    shared = spark.sparkContext.broadcast(model)
-    packed = rows.withColumn("_text", F.col(text)).drop(text) if text != "_text" else rows
-    narrow = [c for c in packed.columns if c not in ("_row", "_text")]
-    whole = packed.select(F.struct("_row", *narrow).alias("row"), "_text")
-    schema = f"row {whole.schema['row'].dataType.simpleString()}, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"
-    part = scratch.cut(whole.mapInArrow(lambda it: _score(it, shared, mixing), schema), "scores")
-    rare = part.select(F.col("row._row").alias("_row"), F.explode(F.arrays_zip("rare", "times")).alias("z")).select("_row", F.col("z.rare").alias("h"), F.col("z.times").alias("k"))
-    c = F.coalesce("c", F.lit(0))
-    sums = rare.join(counts, "h", "left").groupBy("_row").agg(F.sum(F.col("k") * F.log10(c + 0.1)).alias("r"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("rk"), F.sum("k").alias("rn"))
-    out = part.drop("rare", "times").withColumn("_row", F.col("row._row")).join(sums, "_row", "left")
-    r, rk, rn = (F.coalesce(x, F.lit(0)) for x in ("r", "rk", "rn"))
-    unit = math.log10(low)
-    return out.select(
-        *[F.col("row")[c].alias(c) for c in narrow],
-        "n_tokens", (F.col("n_known") + rk).cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + r - F.col("n_tokens") * unit).alias("base_score"), (F.col("score") + r - rn * unit).alias("score"),
-    )
+    narrow = [c for c in docs.columns if c not in (*added, text)]
+    # A row without other columns still needs a field.
+    whole = docs.select(F.struct(*(narrow or [F.lit(None).cast("int").alias("_none")])).alias("row"), F.col(text).alias("_text"), F.coalesce(training, F.lit(False)).alias("_learn"))
+    kind = whole.schema["row"].dataType.simpleString()
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    segments, shift = 1 + size // segment, max(0, 64 - SPARE - max(30, size.bit_length()))
+    # Chunks must not change when a task runs again: they are written.
+    chunks = whole.mapInArrow(lambda it: _ask(it, segments, shift), f"chunk long, part int, seq int, row {kind}, a binary, b binary, c binary, d binary")
+    chunks = scratch.cut(chunks, "chunks")
+    asked = chunks.where("part >= 0").select("part", "chunk", "a", "b", "c", "d").repartition(segments, "part").sortWithinPartitions("part")
+    answers = scratch.cut(asked.mapInArrow(lambda it: _answer(it, bits_a_gram), "chunk long, part int, a binary, b binary, c binary, total long, distinct long"), "answers")
+    total, distinct = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    told = answers.select("chunk", "part", F.lit(1).alias("seq"), F.lit(None).cast(kind).alias("row"), "a", "b", "c")
+    own = F.col("part") < 0
+    rows = chunks.select("chunk", "part", "seq", "row", "a", F.when(own, F.col("b")).alias("b"), F.lit(None).cast("binary").alias("c")).unionByName(told)
+    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "part", "seq")
+    out = rows.mapInArrow(lambda it: _score(it, total, distinct, shift, mixing), f"row {kind}, n_tokens long, n_known long, base_score double, score double")
+    return out.select(*[F.col("row")[c].alias(c) for c in narrow], "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -91,6 +91,29 @@ def test_scores_odd(spark):
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == pytest.approx(0) for r in none)
 
 
+def test_scores_all_pairs(spark):
+    """Pairs of rare words count like any other, in one segment or many."""
+    rnd = random.Random(3)
+    chain = [f"w{i}" for i in range(6000)]
+    rows = [(i, " ".join(chain[k : k + 200])) for i, k in enumerate(range(0, 6000, 100))] + [(1000 + i, " ".join(rnd.choices(chain, k=50))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    learn = F.col("doc_id") % 7 != 3
+    got = bloom_lm.score(df, learn).where("doc_id < 1000 and doc_id % 7 <> 3").collect()
+    # Each pair of the chain is certain: most of what a word costs by itself is gone.
+    assert all(r.score > -1.2 * r.n_tokens > r.base_score for r in got)
+    held = [words(t) for i, t in rows if i % 7 != 3]
+    c, c2 = Counter(w for ws in held for w in ws), Counter(p for ws in held for p in zip(ws, ws[1:]))  # noqa: B905
+    low = sum(c.values()) + 0.1 * (len(c) + 1)
+    about = lambda n: n if n < 2 else 2 ** ((1 + math.floor(math.log2(n) * 2 + 1e-9) - 0.5) / 2)
+    for segment in (1 << 24, 1 << 12):
+        got = {r.doc_id: r.score for r in bloom_lm.score(df, learn, bits_a_gram=400, segment=segment).collect()}
+        for i, t in rows:
+            ws = words(t)
+            p = [(about(c[w]) + 0.1) / low for w in ws]
+            p[1:] = [0.4 * min(about(c2[a, b]) / max(about(c[a]), 1), 1) + 0.6 * q for a, b, q in zip(ws, ws[1:], p[1:])]  # noqa: B905
+            assert got[i] == pytest.approx(sum(map(math.log10, p)), rel=1e-6)
+
+
 def test_filter_levels(spark):
     import numpy as np
 
