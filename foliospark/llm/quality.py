@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACED, flat, hashes, mix, pieces, spans
+from .words import SPACED, flat, hashes, mix, pieces, powers, prefix, spans
 
 #: Labelled documents used to fit, at most.
 SAMPLE = 8000
-#: Words kept as marks of unwanted texts, at most.
+#: Words kept as marks of unwanted texts, at most, and as many of their beginnings.
 MARKS = 4096
+#: Bytes of the beginnings of longer words that can be marks as well, for words that vary by ending.
+STEMS = (4, 5, 6, 7, 8)
 #: Site tables up to this many rows are broadcast; larger ones are joined by shuffle.
 SITES = 50_000
 
@@ -40,8 +42,8 @@ _N_CLASSES = 27
 FEATURES = _N_CLASSES + 4
 
 
-def describe(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of each document, and the hash and document of each of its words (stripped of edge marks)."""
+def describe(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of each document, and the hash, beginnings (a row for each of STEMS) and document of each of its words (stripped of edge marks)."""
     n = len(offsets) - 1
     doc_of = np.repeat(np.arange(n), np.diff(offsets))
     counts = np.bincount(doc_of * _N_CLASSES + _CLASSES[data], minlength=n * _N_CLASSES).reshape(n, _N_CLASSES)
@@ -58,21 +60,26 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     lengths = np.bincount(doc, ends - starts, minlength=n)
     some = np.maximum(words, 1)
     features = np.column_stack([np.sqrt(counts / size[:, None]), np.log1p(words), np.bincount(doc, alike, minlength=n) / some, np.log(some / np.maximum(distinct, 1)), lengths / some])
-    return features, _bare(low, starts, ends), doc
+    return features, *_bare(low, starts, ends), doc
 
 
-def _bare(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of words without ASCII marks at their edges."""
+def _bare(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words without ASCII marks at their edges, and of their beginnings; 0 where there is none."""
     solid = np.isin(_CLASSES[low], (1, 2, 3, 4)) & (low != 0)
     at = np.flatnonzero(solid)
+    out, stems = np.zeros(len(starts), np.uint64), np.zeros((len(STEMS), len(starts)), np.uint64)
     if not len(at):
-        return np.zeros(len(starts), np.uint64)
+        return out, stems
     first = at[np.minimum(np.searchsorted(at, starts), len(at) - 1)]
     last = at[np.maximum(np.searchsorted(at, ends) - 1, 0)] + 1
     fine = (first >= starts) & (last <= ends) & (first < last)
-    out = np.zeros(len(starts), np.uint64)
-    out[fine] = hashes(low, first[fine], last[fine])
-    return out
+    p, inverse = prefix(low), powers(len(low) + 1)[1]
+    part = lambda i, j: mix((p[j] - p[i]) * inverse[i])
+    out[fine] = part(first[fine], last[fine])
+    for k, size in enumerate(STEMS):
+        long = np.flatnonzero(fine & (last - first > size))
+        stems[k, long] = mix(part(first[long], first[long] + size) + np.uint64(size))
+    return out, stems
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -104,35 +111,51 @@ class Model:
     form: np.ndarray  # weights of the features
     marks: np.ndarray  # sorted word hashes
     odds: np.ndarray  # their log-odds
-    marked: np.ndarray = field(default_factory=lambda: np.array([0.0, -5.0]))  # weight of a document's marks, constant
+    stems: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes of beginnings
+    stem_odds: np.ndarray = field(default_factory=lambda: np.zeros(0))  # their log-odds
+    marked: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, -5.0]))  # weights of a document's marks and stems, constant
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability of each document to be well-formed, and to be unwanted."""
-        features, h, doc = describe(data, offsets)
+        features, h, stems, doc = describe(data, offsets)
         form = _sigmoid((features - self.mean) / self.scale @ self.form[:-1] + self.form[-1])
-        return form, _sigmoid(self.marked[0] * self.sums(h, doc, len(offsets) - 1) + self.marked[1])
+        best = np.zeros(len(h))
+        for row in stems:
+            np.maximum(best, _looked_up(self.stems, self.stem_odds, row), out=best)
+        return form, _sigmoid(self.sums(h, best, doc, len(offsets) - 1) @ self.marked[:-1] + self.marked[-1])
 
-    def sums(self, h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-        """Log-odds of the marks in each document, each place counted, to a limit."""
-        if not len(self.marks):
-            return np.zeros(n)
-        at = np.minimum(np.searchsorted(self.marks, h), len(self.marks) - 1)
-        hit = self.marks[at] == h
-        return np.minimum(np.bincount(doc[hit], self.odds[at[hit]], minlength=n), 12.0)
+    def sums(self, h: np.ndarray, best: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Log-odds of the marks in each document, each place counted, to a limit; and those of the stems (the best of a word), for its length."""
+        marks = np.minimum(np.bincount(doc, _looked_up(self.marks, self.odds, h), minlength=n), 12.0)
+        return np.column_stack([marks, np.bincount(doc, best, minlength=n) / np.sqrt(np.bincount(doc, minlength=n) + 20.0)])
+
+
+def _looked_up(table: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The value of each hash in a sorted table, 0 where it isn't."""
+    if not len(table):
+        return np.zeros(len(h))
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return np.where(table[at] == h, values[at], 0.0)
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text, quality, toxic to: features, words and their contexts, a document a row."""
+    """Text, quality, toxic to: features, words and their contexts, a document a row; with the first of a piece, its distinct words and their beginnings."""
     for batch in batches:
         data, offsets = flat(batch.column(0))
         for i, j in pieces(offsets):
-            x, h, doc = describe(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            x, h, stems, doc = describe(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             around = np.zeros(len(h) + 2, np.uint64)
             around[1:-1] = h
             context = mix(mix(around[:-2] + np.uint64(3) * around[2:]) + h)
             cuts = pa.array(np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(cuts, pa.array(v.view(np.int64))) for v in (h, context)]
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(list(x), pa.list_(pa.float64())), *lists], ["quality", "toxic", "x", "words", "contexts"])
+            keys, at = np.unique(h, return_index=True)
+            whole = pa.array(np.where(np.arange(j - i + 1) > 0, len(keys), 0).astype(np.int32))
+            lists += [pa.ListArray.from_arrays(whole, pa.array(v.view(np.int64))) for v in (keys, *(row[at] for row in stems))]
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(list(x), pa.list_(pa.float64())), *lists], ["quality", "toxic", "x", "words", "contexts", "keys", *_STEM_NAMES])
+
+
+_STEM_NAMES = [f"stem{k}" for k in STEMS]
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", sample: int = SAMPLE, prior: float = 4.0, least: float = 0.8) -> Model:
@@ -140,14 +163,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
 
     A word marks unwanted texts if it stands there in at least 5 different
     contexts and in most of all it has; contexts rather than documents are
-    counted, so copies of one text count once.
+    counted, so copies of one text count once. So does a beginning of words,
+    with the contexts of all words that have it.
     """
     from . import scratch
 
     known = labels.where(F.col(ident).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(ident).alias("_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(ident).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
-    rows = scratch.cut(rows.mapInArrow(_sampled, "quality int, toxic int, x array<double>, words array<long>, contexts array<long>"), "sample")
+    rows = scratch.cut(rows.mapInArrow(_sampled, "quality int, toxic int, x array<double>, words array<long>, contexts array<long>, keys array<long>, " + ", ".join(f"{c} array<long>" for c in _STEM_NAMES)), "sample")
     # A repeated id can join more rows than labels; the sample stays bounded.
     table = rows.select("quality", "toxic", "x").limit(2 * sample).toArrow()
     y, t = (np.array(table[c].to_numpy(), np.float64) for c in ("quality", "toxic"))
@@ -157,26 +181,42 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
     seen = rows.select("toxic", F.explode(F.arrays_zip("words", "contexts")).alias("w")).select("toxic", "w.words", "w.contexts")
     seen = seen.groupBy("contexts", "words").agg(F.max("toxic").alias("toxic"))
     whole = seen.agg(F.avg("toxic")).first()[0] or 0.0
-    share = (F.sum("toxic") + prior * whole) / (F.count("*") + prior)
-    found = seen.where("words <> 0").groupBy("words").agg(F.sum("toxic").alias("a"), share.alias("p")).where((F.col("a") >= 5) & (F.col("p") >= max(least, 2 * whole)))
-    found = found.orderBy(F.desc("p"), F.desc("a"), "words").limit(MARKS).toArrow()
-    h, p = found["words"].to_numpy().astype(np.int64).view(np.uint64), np.clip(found["p"].to_numpy().astype(np.float64), 1e-6, 1 - 1e-6)
-    order = np.argsort(h)
-    model = Model(mean, scale, form, h[order], (np.log(p / (1 - p)) - math.log(max(whole, 1e-6)) if len(p) else p)[order])
-    if len(h) and 0 < t.sum() < len(t):
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+    of_word = seen.where("words <> 0").groupBy("words").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+
+    def best(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Those of (words, a, n) that are marks: sorted hashes and log-odds."""
+        share = (F.col("a") + prior * whole) / (F.col("n") + prior)
+        found = counts.select("words", "a", share.alias("p")).where((F.col("a") >= 5) & (F.col("p") >= max(least, 2 * whole)))
+        found = found.orderBy(F.desc("p"), F.desc("a"), "words").limit(MARKS).toArrow()
+        h, p = found["words"].to_numpy().astype(np.int64).view(np.uint64), np.clip(found["p"].to_numpy().astype(np.float64), 1e-6, 1 - 1e-6)
+        order = np.argsort(h)
+        return h[order], (np.log(p / (1 - p)) - math.log(max(whole, 1e-6)) if len(p) else p)[order]
+
+    stems = rows.select(F.explode(F.arrays_zip("keys", *_STEM_NAMES)).alias("k")).select("k.*").distinct()
+    stems = scratch.cut(stems.select("keys", F.explode(F.array_remove(F.array(*_STEM_NAMES), 0)).alias("stem")), "stems")
+    of_stem = stems.join(of_word, F.col("keys") == F.col("words")).groupBy(F.col("stem").alias("words")).agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    model = Model(mean, scale, form, *best(of_word), *best(of_stem))
+    if len(model.marks) + len(model.stems) and 0 < t.sum() < len(t):
+        # The sample's words that have marked beginnings, with the best of these.
+        table = docs.sparkSession.createDataFrame(list(zip(model.stems.view(np.int64).tolist(), model.stem_odds.tolist(), strict=True)), "stem long, odds double")
+        having = stems.join(F.broadcast(table), "stem").groupBy("keys").agg(F.max("odds").alias("odds")).toArrow()
+        order = np.argsort(having["keys"].to_numpy().view(np.uint64))
+        shared = docs.sparkSession.sparkContext.broadcast((model, having["keys"].to_numpy().view(np.uint64)[order], having["odds"].to_numpy()[order]))
 
         def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, keys, odds = shared.value
             for b in batches:
                 lists = b.column(1)
                 words = lists.flatten().to_numpy().view(np.uint64)
                 doc = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.sums(words, doc, b.num_rows))], ["toxic", "s"])
+                sums = known.sums(words, _looked_up(keys, odds, words), doc, b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["toxic", "s", "r"])
 
-        got = rows.select("toxic", "words").limit(2 * sample).mapInArrow(marked, "toxic int, s double").toArrow()
-        model.marked = logistic(got["s"].to_numpy()[:, None].astype(np.float64), got["toxic"].to_numpy().astype(np.float64), ridge=0.1)
+        got = rows.select("toxic", "words").limit(2 * sample).mapInArrow(marked, "toxic int, s double, r double").toArrow()
+        sums = np.column_stack([got[c].to_numpy().astype(np.float64) for c in ("s", "r")])
+        model.marked = logistic(sums, got["toxic"].to_numpy().astype(np.float64), ridge=0.1)
     else:
-        model.marked = np.array([0.0, math.log((t.sum() + 0.5) / (len(t) - t.sum() + 0.5)) if len(t) else -4.0])
+        model.marked = np.array([0.0, 0.0, math.log((t.sum() + 0.5) / (len(t) - t.sum() + 0.5)) if len(t) else -4.0])
     return model
 
 

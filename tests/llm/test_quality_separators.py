@@ -28,6 +28,22 @@ def test_classifier_held_out(spark):
     assert sum(seen) <= 0.4 * len(seen)
 
 
+def test_marks_that_vary_by_ending(spark):
+    """Held-out toxic texts of every language are seen, though their words recur seldom."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
+    model = quality.fit(docs, labels.where(~held))
+    rows = docs.join(labels.where(held & (F.col("quality") == 1)), "doc_id")
+    seen = quality._evidence(rows, model, "text", ["lang", "toxic", "text"]).select("row.lang", "row.toxic", (F.col("marked") >= 0.5).alias("m")).collect()
+    for lang in ("en", "de", "es", "fr"):
+        toxic = [r.m for r in seen if r.lang == lang and r.toxic]
+        assert len(toxic) >= 4 and sum(toxic) >= 0.8 * len(toxic), (lang, sum(toxic), len(toxic))
+    clean = [r.m for r in seen if not r.toxic]
+    assert sum(clean) <= 0.02 * len(clean)
+    print("marked:", {lang: (sum(r.m for r in seen if r.lang == lang and r.toxic), sum(r.toxic for r in seen if r.lang == lang)) for lang in ("en", "de", "es", "fr")}, "clean:", sum(clean), len(clean))
+
+
 def test_sites_shrink(spark):
     rows = [("a", f"a/{i % 5}", float(i % 10 > 0)) for i in range(1000)] + [("b", "b/0", 0.0), ("c", "c/1", 1.0), (None, None, 1.0)] + [("d", "d/0", float(i % 10 > 7)) for i in range(1000)]
     got = {(r.host, r.path): r for r in quality.sites(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
