@@ -169,9 +169,10 @@ def cells(nodes: DataFrame) -> DataFrame:
 
 
 def table_matrices(nodes: DataFrame, most: int = 10_000) -> DataFrame:
-    """(doc, part, table, rows): a full grid of each table's texts; of equal addresses the later cell counts, strays are dropped.
+    """(doc, part, table, rows, cells): a full grid of each table's texts; of equal addresses the later cell counts, strays are dropped.
 
-    Tables that declare more than `most` cells give null.
+    A table that declares more than `most` cells, which may be false, gives
+    (row, column, text) of the cells it has as `cells`, in order, and no grid.
     """
     t = children(nodes, "tbl").select("doc", "part", F.col("pre").alias("table"), F.coalesce(attr("rowCnt").try_cast("int"), F.lit(0)).alias("n"), F.coalesce(attr("colCnt").try_cast("int"), F.lit(0)).alias("m"))
     last = cells(nodes).groupBy("doc", "part", "table", "row", "column").agg(F.max_by("text", "pre").alias("text"))
@@ -180,7 +181,10 @@ def table_matrices(nodes: DataFrame, most: int = 10_000) -> DataFrame:
     empty = F.create_map().cast("map<struct<row:int,column:int>,string>")
     cell = lambda r, c: F.coalesce(F.try_element_at(F.coalesce("at", empty), F.struct(r.alias("row"), c.alias("column"))), F.lit(""))
     grid = F.transform(count("n"), lambda r: F.transform(count("m"), lambda c: cell(r, c)))
-    return t.join(got, ["doc", "part", "table"], "left").select("doc", "part", "table", F.when(F.col("n").cast("long") * F.col("m") <= most, grid).alias("rows"))
+    held = F.transform(F.map_entries(F.coalesce("at", empty)), lambda e: F.struct(e.key.row.alias("row"), e.key.column.alias("column"), e.value.alias("text")))
+    held = F.array_sort(F.filter(held, lambda e: e.row.between(0, F.col("n") - 1) & e.column.between(0, F.col("m") - 1)))
+    small = F.col("n").cast("long") * F.col("m") <= most
+    return t.join(got, ["doc", "part", "table"], "left").select("doc", "part", "table", F.when(small, grid).alias("rows"), F.when(~small, held).alias("cells"))
 
 
 def section_settings(nodes: DataFrame) -> DataFrame:

@@ -78,6 +78,12 @@ def test_projections(good):
     assert {(r.label, r.n) for r in N.signature(nodes).where("paragraph = 3").collect()} >= {("ctrl/bookmark[name=mark]", 1)}
 
 
+def test_large_table(good):
+    """A table of more cells than a grid may have still gives those it has."""
+    large = N.table_matrices(good[2], most=3).first()
+    assert large.rows is None and [tuple(c) for c in large.cells] == [(0, 0, "a"), (0, 1, "b"), (1, 0, "last")]
+
+
 def test_valid_package_has_no_issues(good):
     _, found, nodes = good
     for suite in ("xml", "strict"):  # strict holds the other suites
