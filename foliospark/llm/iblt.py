@@ -1,17 +1,20 @@
 """Document fingerprints as invertible Bloom lookup tables.
 
-A text is cut into paragraphs (lines, and the sentences of a line), each a
-64-bit digest that also counts its earlier repeats, so a text is a set of
-digests. Every digest is added to three cells of a table; a cell holds a
-count, the exclusive or of its digests and that of their checks. Two tables
-are subtracted cell by cell, and peeling cells that hold a single digest
-recovers what differs. Where peeling gets stuck the table was too small for
-the difference, and both are built anew at twice the size.
+A text is cut into paragraphs (lines, the sentences of a line, and long
+sentences where their words say so), each a 64-bit digest that also counts its
+earlier repeats, so a text is a set of digests. Every digest is added to three
+cells of a table; a cell holds a count, the exclusive or of its digests and
+that of their checks. The stored tables of two texts are subtracted cell by
+cell, and peeling cells that hold a single digest recovers what differs. Where
+peeling gets stuck the tables were too small for the difference, and both are
+built anew, four times as large and then twice as large each time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +31,27 @@ from .words import mix
 CELLS = 12
 
 
+#: Characters beyond which a sentence is cut further.
+LONG = 200
+
+
 def paragraphs(text: str) -> list[str]:
     """Lines with their breaks, cut further after sentences; joined they are the text."""
-    return [p for p in text.replace("\n", "\n\0").replace(". ", ". \0").split("\0") if p]
+    found = [p for p in text.replace("\n", "\n\0").replace(". ", ". \0").split("\0") if p]
+    if all(len(p) <= LONG for p in found):
+        return found
+    return [q for p in found for q in (_pieces(p) if len(p) > LONG else [p])]
+
+
+def _pieces(sentence: str) -> list[str]:
+    """A long sentence cut after words of certain hashes, so that an edit moves no later cut; at the latest after 32 words, and words after 256 characters."""
+    out, begin, at, n = [], 0, 0, 0
+    for m in re.finditer(r"\s{0,256}\S{1,256}\s?|\s{1,256}", sentence):
+        at, n = m.end(), n + 1
+        if n == 32 or not zlib.crc32(m[0].strip().encode("utf-8", "surrogatepass")) % 16:
+            out.append(sentence[begin:at])
+            begin, n = at, 0
+    return [*out, sentence[begin:]] if begin < len(sentence) else out
 
 
 def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,72 +90,94 @@ def _xor_into(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
         out[at[begins]] ^= np.bitwise_xor.reduceat(values, begins)
 
 
-def sketch(doc: np.ndarray, d: np.ndarray, n: int, cells: int = CELLS) -> list[str]:
-    """Stored fingerprints of n texts: the number of paragraphs, then the cells, in hex."""
+def tables(doc: np.ndarray, d: np.ndarray, n: int, cells: int) -> list[np.ndarray]:
+    """Counts, digests and checks of the cells of n tables side by side; `doc` says which one each digest goes to."""
     keys, checks = np.zeros(n * cells, np.uint64), np.zeros(n * cells, np.uint64)
     at = (cells_of(d, cells) + doc * cells).ravel()
-    counts = np.bincount(at, minlength=n * cells)
     _xor_into(keys, at, np.tile(d, 3))
     _xor_into(checks, at, np.tile(check_of(d), 3))
-    raw = np.zeros((n, cells), np.dtype([("n", ">u2"), ("k", ">u8"), ("c", ">u4")]))
-    raw["n"], raw["k"], raw["c"] = counts.reshape(n, cells) & 0xFFFF, keys.reshape(n, cells), checks.reshape(n, cells)
-    return [f"{s:08x}{raw[i].tobytes().hex()}" for i, s in enumerate(np.bincount(doc, minlength=n).tolist())]
-
-
-def differences(doc_a: np.ndarray, a: np.ndarray, doc_b: np.ndarray, b: np.ndarray, n: int, cells: int = 48):
+    return [np.bincount(at, minlength=n * cells).astype(np.int64), keys, checks]
+
+
+def subtract(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    return [a[0] - b[0], a[1] ^ b[1], a[2] ^ b[2]]
+
+
+#: A stored cell.
+CELL = np.dtype([("n", ">u4"), ("k", ">u8"), ("c", ">u4")])
+
+
+def stored(found: list[np.ndarray], n: int) -> list[str]:
+    """Fingerprints: the cells of each of n tables, in hex."""
+    raw = np.zeros((n, len(found[0]) // n if n else 0), CELL)
+    for name, values in zip("nkc", found, strict=True):
+        raw[name] = values.reshape(raw.shape)
+    return [r.tobytes().hex() for r in raw]
+
+
+def loaded(fingerprints: list[str]) -> list[np.ndarray]:
+    """The tables that stored() wrote."""
+    raw = np.frombuffer(bytes.fromhex("".join(fingerprints)), CELL)
+    return [raw["n"].astype(np.int64), raw["k"].astype(np.uint64), raw["c"].astype(np.uint64)]
+
+
+def peel(found: list[np.ndarray], n: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Of n subtracted tables, all peeled together: (table, digest) of what only the first and only the second held, and which got stuck."""
+    counts, keys, checks = (x.copy() for x in found)
+    size = len(counts) // n
+    got: tuple[list, list] = ([], [])
+    look = np.arange(len(counts))
+    while len(look):
+        look = look[np.abs(counts[look]) == 1]
+        look = look[check_of(keys[look]) == checks[look]]
+        # A digest may be alone in two or three of its cells at once.
+        which, key, s = look // size, keys[look], counts[look]
+        order = np.lexsort((key, which))
+        which, key, s = which[order], key[order], s[order]
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (which[1:] != which[:-1])
+        which, key, s = which[first], key[first], s[first]
+        for k, side in ((0, s > 0), (1, s < 0)):
+            got[k].append((which[side], key[side]))
+        at = (cells_of(key, size) + which * size).ravel()
+        np.add.at(counts, at, -np.tile(s, 3))
+        _xor_into(keys, at, np.tile(key, 3))
+        _xor_into(checks, at, np.tile(check_of(key), 3))
+        look = np.unique(at)
+    stuck = np.zeros(n, bool)
+    stuck[np.flatnonzero((counts != 0) | (keys != 0) | (checks != 0)) // size] = True
+    return [tuple(np.concatenate([x[i] for x in side]) if side else np.zeros(0, (np.int64, np.uint64)[i]) for i in (0, 1)) for side in got], stuck
+
+
+def differences(first: list[np.ndarray], doc_a: np.ndarray, a: np.ndarray, doc_b: np.ndarray, b: np.ndarray, n: int):
     """Digests only in the first and only in the second text of each of n pairs: (pair, digest) twice.
 
-    All pairs of a batch are peeled together; those that get stuck are
-    repeated with tables of twice the size, whatever it takes.
+    `first` are the subtracted stored tables. Only pairs that get stuck in
+    these look at the digests (a, b) again, in larger tables, whatever it takes.
     """
-    out = ([], [])
-    pair, d = np.concatenate((doc_a, doc_b)), np.concatenate((a, b))
-    sign = np.concatenate((np.ones(len(a), np.int64), -np.ones(len(b), np.int64)))
-    size = cells
-    while len(d):
-        open_, local = np.unique(pair, return_inverse=True)
-        total = len(open_) * size
-        keys, checks, counts = np.zeros(total, np.uint64), np.zeros(total, np.uint64), np.zeros(total, np.int64)
-        at = (cells_of(d, size) + local * size).ravel()
-        np.add.at(counts, at, np.tile(sign, 3))
-        _xor_into(keys, at, np.tile(d, 3))
-        _xor_into(checks, at, np.tile(check_of(d), 3))
-        got = ([], [])
-        look = np.arange(total)
-        while len(look):
-            look = look[np.abs(counts[look]) == 1]
-            look = look[check_of(keys[look]) == checks[look]]
-            # A digest may be alone in two or three of its cells at once.
-            which, key, s = look // size, keys[look], counts[look]
-            order = np.lexsort((key, which))
-            which, key, s = which[order], key[order], s[order]
-            first = np.ones(len(key), bool)
-            first[1:] = (key[1:] != key[:-1]) | (which[1:] != which[:-1])
-            which, key, s = which[first], key[first], s[first]
-            for k, side in ((0, s > 0), (1, s < 0)):
-                got[k].append((which[side], key[side]))
-            at = (cells_of(key, size) + which * size).ravel()
-            np.add.at(counts, at, -np.tile(s, 3))
-            _xor_into(keys, at, np.tile(key, 3))
-            _xor_into(checks, at, np.tile(check_of(key), 3))
-            look = np.unique(at)
-        stuck = np.zeros(len(open_), bool)
-        stuck[np.flatnonzero((counts != 0) | (keys != 0) | (checks != 0)) // size] = True
+    out: tuple[list, list] = ([], [])
+    open_, found, size = np.arange(n), first, len(first[0]) // max(n, 1) * 4
+    while len(open_):
+        got, stuck = peel(found, len(open_))
         for k in (0, 1):
-            for which, key in got[k]:
-                fine = ~stuck[which]
-                out[k].append((open_[which[fine]], key[fine]))
-        again = stuck[local]
-        pair, d, sign, size = pair[again], d[again], sign[again], size * 2
-    join = lambda xs: tuple(np.concatenate([x[i] for x in xs]) if xs else np.zeros(0, (np.int64, np.uint64)[i]) for i in (0, 1))
-    return join(out[0]), join(out[1])
-
-
-def likeness(doc_a, a, doc_b, b, n: int) -> np.ndarray:
+            which, key = got[k]
+            fine = ~stuck[which]
+            out[k].append((open_[which[fine]], key[fine]))
+        open_ = open_[stuck]
+        if len(open_):
+            place = np.full(n, -1)
+            place[open_] = np.arange(len(open_))
+            found = subtract(*(tables(place[doc][place[doc] >= 0], d[place[doc] >= 0], len(open_), size) for doc, d in ((doc_a, a), (doc_b, b))))
+            size *= 2
+    return tuple(tuple(np.concatenate([x[i] for x in side]) if side else np.zeros(0, (np.int64, np.uint64)[i]) for i in (0, 1)) for side in out)
+
+
+def likeness(table_a: list[np.ndarray], table_b: list[np.ndarray], doc_a, a, doc_b, b, n: int) -> np.ndarray:
     """Shared paragraphs of all paragraphs of each pair, from the recovered differences; 1 for two empty texts."""
-    (only_a, _), (only_b, _) = differences(doc_a, a, doc_b, b, n)
+    (only_a, _), (only_b, _) = differences(subtract(table_a, table_b), doc_a, a, doc_b, b, n)
     count = lambda x: np.bincount(x, minlength=n)
-    shared = count(doc_a) - count(only_a)
+    sizes = table_a[0].reshape(n, -1).sum(axis=1) // 3
+    shared = sizes - count(only_a)
     union = shared + count(only_a) + count(only_b)
     return np.where(union == 0, 1.0, shared / np.maximum(union, 1))
 
@@ -146,8 +189,11 @@ def neighbours(docs: DataFrame, text: str = "text", ident: str = "doc_id", rows:
     before it, and the very first in the last block, so that every document
     finds its successor in its own block. The text is shuffled once; of idents,
     the driver sees at most `most` boundaries. Nulls come last; equal idents are
-    ordered by the hash of their text.
+    ordered by the hash of their text. Idents must be integers, or this raises:
+    others have to be numbered first.
     """
+    if docs.schema[ident].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{ident} must be an integer column")
     ids = scratch.cut(docs.select(F.col(ident).alias("id"), F.xxhash64(F.col(text)).alias("h")), "ids")
     blocks = min(most, max(1, ids.count() // rows))
     bounds: list[int] = []
@@ -214,15 +260,18 @@ def fingerprint_pairs(docs: DataFrame, text: str = "text", ident: str = "doc_id"
             doc, d = digests(texts)
             edoc, ed = digests(edited)
             own, following = doc < n, doc > 0
+            # The same tables are stored and subtracted.
+            every, eds = tables(doc, d, n + 1, cells), tables(edoc, ed, n, cells)
+            mine, theirs = [x[: n * cells] for x in every], [x[cells:] for x in every]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, id_type),
                     pa.array([len(t) for t in texts[:n]], pa.int64()),
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-                    pa.array(sketch(doc[own], d[own], n, cells)),
-                    pa.array(sketch(edoc, ed, n, cells)),
-                    pa.array(likeness(doc[own], d[own], edoc, ed, n)),
-                    pa.array(likeness(doc[own], d[own], doc[following] - 1, d[following], n)),
+                    pa.array(stored(mine, n)),
+                    pa.array(stored(eds, n)),
+                    pa.array(likeness(mine, eds, doc[own], d[own], edoc, ed, n)),
+                    pa.array(likeness(mine, theirs, doc[own], d[own], doc[following] - 1, d[following], n)),
                 ],
                 [ident, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
