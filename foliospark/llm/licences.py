@@ -1,17 +1,20 @@
 """Licence scans by a positional rare-token index, with DataFrame functions only.
 
 Templates are word sequences. The documents give every template word its
-inverse document frequency, and each template is posted under its few rarest
-words with their offsets. A file looks up those of its words that are posted;
-each hit proposes a template at a start, the template's other postings are
-intersected at their relative positions (a match weighs its word's frequency),
-and the mandatory key phrase must stand in its place.
+inverse document frequency, and each template is posted under the few rarest
+words of its key phrase with their offsets. A file looks up its words in the
+postings, a table of hash buckets laid out flat in constant arrays, so a lookup
+costs the same however many templates there are; each hit proposes a template
+at a start, the template's other words are intersected at their relative
+positions (a match weighs its word's frequency), and the mandatory key phrase
+must stand in its place. Rows stay whole: nothing is shuffled or joined.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,58 +72,94 @@ def frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text") -> t
     return found.pop("", 0), found
 
 
-def scan(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] = BASE + NOTICES, rare: int = 2, cover: float = 0.8) -> DataFrame:
-    """`docs` with `n_words` and `places`: an array of (label, base, start, length, cover) in the text's words.
+def templates_of(licences: DataFrame, label: str = "label", text: str = "text", key: str = "key", most: int = 16 << 20) -> tuple[Template, ...]:
+    """Templates from a table of licence texts, split as documents are. The table goes to every worker: beyond `most` bytes this raises. Rows without words are left out."""
+    size = licences.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    if size > most:
+        raise ValueError(f"the licences have {size} bytes; scan for parts of at most {most}")
+    rows = licences.select(label, F.array_join(words_of(F.col(text)), " ").alias("t"), F.array_join(words_of(F.col(key)), " ").alias("k")).where("t <> ''").orderBy(label, "t", "k").collect()
+    return tuple(Template(r[0], r.t, r.k) for r in rows)
+
+
+def _numbers(values, kind: str = "int") -> Column:
+    """A constant array, by one literal however long it is."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def _strings(values) -> Column:
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def scan(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] = BASE + NOTICES, rare: int = 2, cover: float = 0.8, buckets: int = 1 << 14) -> DataFrame:
+    """`docs` with `n_words` and `places`: an array of (label, base, start, length, cover) in the text's words; and `nearest`, the best cover of any proposal.
 
     A place of a notice has its key phrase and at least `cover` of its
-    weighted words; every place of a base phrase has all its words. Null and
-    empty texts have no words and no places; equal places of two notices of
-    one label are both returned. All rows and columns of `docs` are kept; of
-    clashing names, `n_words`, `places` and `nearest` are replaced.
+    weighted words at their relative positions; every place of a base phrase
+    has all its words. Null and empty texts have no words and no places; equal
+    places of two notices of one label are both returned. All rows and columns
+    of `docs` are kept; of clashing names, `n_words`, `places` and `nearest`
+    are replaced. The work is linear in the words of a text and in its
+    proposals. Raises if a key phrase isn't in its template.
     """
     split = [t.text.split() for t in templates]
     vocabulary = sorted({w for s in split for w in s})
     total, df = frequencies(docs, vocabulary, text)
     idf = {w: math.log((total + 1) / (df.get(w, 0) + 0.5)) + 1e-6 for w in vocabulary}
-    posts, parts = [], []
+    posts, keys, weights = [], [], []
     for t, s in enumerate(split):
         key = (templates[t].key or templates[t].text).split()
-        at = next(i for i in range(len(s)) if s[i : i + len(key)] == key)
+        at = next((i for i in range(len(s)) if s[i : i + len(key)] == key), None)
+        if at is None:
+            raise ValueError(f"the key phrase of {templates[t].label} isn't in its text")
         # The rarest words of the key phrase: a place has all of these, so one posting finds it.
         order = sorted(range(at, at + len(key)), key=lambda i: (-idf[s[i]], i))
         posts += [(s[i], t, i) for i in order[: 1 if templates[t].base else rare]]
-        weight = sum(idf[w] for w in s)
-        parts.append((t, s, [at <= i < at + len(key) for i in range(len(s))], [idf[w] / weight for w in s]))
-    anchors = sorted({p[0] for p in posts})
-    as_post = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(t).alias("t"), F.lit(o).alias("off")) for w, t, o in posts])
-    as_parts = F.array(*[
-        F.struct(
-            F.array(*[F.struct(F.lit(w).alias("word"), F.lit(i).alias("off"), F.lit(k).alias("key"), F.lit(x).alias("weight")) for i, (w, k, x) in enumerate(zip(s, keys, ws, strict=True))]).alias("words"),
-            F.lit(templates[t].label).alias("label"), F.lit(templates[t].base).alias("base"), F.lit(len(s)).alias("length"),
-        )
-        for t, s, keys, ws in parts
-    ])
+        keys += [int(at <= i < at + len(key)) for i in range(len(s))]
+        whole = sum(idf[w] for w in s)
+        weights += [idf[w] / whole for w in s]
+    spark = docs.sparkSession
+    hashed = spark.createDataFrame([(i, p[0]) for i, p in enumerate(posts)], "i int, w string").select("i", F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("b"))
+    order = sorted((r.b, r.i) for r in hashed.collect())
+    count = [0] * (buckets + 1)
+    for b, _ in order:
+        count[b + 1] += 1
+    bucket_at = _numbers(accumulate(count))
+    post_word, post = _strings(posts[i][0] for _, i in order), [posts[i] for _, i in order]
+    post_template, post_offset = _numbers(p[1] for p in post), _numbers(p[2] for p in post)
+    template_at = _numbers(accumulate([0, *map(len, split)]))
+    own_word, own_key, own_weight = _strings(w for s in split for w in s), _numbers(keys), _numbers(weights, "double")
+    labels, bases = _strings(t.label for t in templates), _numbers(int(t.base) for t in templates)
+
     words = F.col("_words")
-    hits = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(F.array(*map(F.lit, anchors)), F.get(words, i)))
-    proposed = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.transform(F.filter(as_post, lambda p: p.word == F.get(words, i)), lambda p: F.struct(p.t.alias("t"), (i - p.off).alias("start"))))))
+    bucket = lambda i: F.pmod(F.xxhash64(F.get(words, i)), F.lit(buckets)).cast("int")
+    hits = F.filter(F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)), lambda i: F.get(bucket_at, bucket(i) + 1) > F.get(bucket_at, bucket(i)))
+    # A proposal is one long, so that equal ones go by hash: the template, and the start, which may lie before the text.
+    pack = lambda t, start: F.shiftleft(t.cast("long"), 32) + (start + (1 << 31)).cast("long")
+
+    def proposals(i: Column) -> Column:
+        inside = F.sequence(F.get(bucket_at, bucket(i)), F.get(bucket_at, bucket(i) + 1) - 1)
+        own = F.filter(inside, lambda j: F.get(post_word, j) == F.get(words, i))
+        return F.transform(own, lambda j: pack(F.get(post_template, j), i.cast("long") - F.get(post_offset, j)))
 
     def check(c: Column) -> Column:
-        t = F.get(as_parts, c.t)
-        stands = lambda p: F.get(words, c.start + p.off).eqNullSafe(p.word)
-        covered = F.aggregate(t.words, F.lit(0.0), lambda a, p: a + F.when(stands(p), p.weight).otherwise(0.0))
-        return F.struct(t.label.alias("label"), t.base.alias("base"), c.start.alias("start"), t.length.alias("length"), covered.alias("cover"), F.forall(t.words, lambda p: ~p.key | stands(p)).alias("key"))
-
-    # A text without a posted word, in any case, has no place; most texts end here, before their words are listed.
-    may = F.coalesce(F.col(text), F.lit("")).rlike("(?i)" + "|".join(anchors))
-    kept = [c for c in docs.columns if c not in ("n_words", "places", "nearest", "_words", "_found")]
-    rows = docs.select(*kept, F.when(may, words_of(F.col(text))).alias("_words"), F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"))
-    rows = rows.withColumn("_found", F.when(F.size(words) > 0, F.transform(proposed, check)))
+        t, start = F.shiftright(c, 32).cast("int"), (c.bitwiseAND(0xFFFFFFFF) - (1 << 31)).cast("int")
+        begin, length = F.get(template_at, t), F.get(template_at, t + 1) - F.get(template_at, t)
+        places = F.sequence(F.lit(0), length - 1)
+        stands = lambda i: F.get(words, start + i).eqNullSafe(F.get(own_word, begin + i))
+        covered = F.aggregate(places, F.lit(0.0), lambda a, i: a + F.when(stands(i), F.get(own_weight, begin + i)).otherwise(0.0))
+        whole = F.forall(places, lambda i: (F.get(own_key, begin + i) == 0) | stands(i))
+        return F.struct(F.get(labels, t).alias("label"), (F.get(bases, t) == 1).alias("base"), start.alias("start"), length.alias("length"), F.least(covered, F.lit(1.0)).alias("cover"), whole.alias("key"))
+
+    kept = [c for c in docs.columns if c not in ("n_words", "places", "nearest")]
+    # Names of our own are in one struct, so that none can clash.
+    rows = docs.select(F.struct(*kept).alias("row"), words_of(F.col(text)).alias("_words"))
+    rows = rows.withColumn("_found", F.array_distinct(F.flatten(F.transform(hits, proposals)))).select("row", F.size("_words").cast("long").alias("n_words"), F.coalesce(F.transform("_found", check), F.array().cast(_FOUND)).alias("_found"))
     good = F.filter("_found", lambda p: p.key & (p.cover >= F.when(p.base, F.lit(0.0)).otherwise(F.lit(cover))))
-    return rows.select(
-        *kept, "n_words",
-        F.coalesce(F.transform(good, lambda p: p.dropFields("key")), F.filter(F.array(F.struct(F.lit("").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0.0).alias("cover"))), lambda p: F.lit(False))).alias("places"),
-        F.coalesce(F.array_max(F.transform("_found", lambda p: F.least(p.cover, F.lit(1.0)))), F.lit(0.0)).alias("nearest"),
-    )
+    places = F.transform(good, lambda p: p.dropFields("key"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in kept], "n_words", places.alias("places"), F.coalesce(F.array_max(F.transform("_found", lambda p: p.cover)), F.lit(0.0)).alias("nearest"))
+
+
+_FOUND = "array<struct<label:string,base:boolean,start:int,length:int,cover:double,key:boolean>>"
 
 
 def summary(scanned: DataFrame, ident: str = "doc_id") -> DataFrame:

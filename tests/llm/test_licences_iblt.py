@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -41,6 +42,30 @@ def test_licences_odd(spark):
     assert licences.summary(licences.scan(df.limit(0))).collect() == []
 
 
+def test_many_places_and_long_licences(spark):
+    """Linear in the places of one text; licence texts of hundreds of words from a table."""
+    rnd = random.Random(8)
+    common = [f"c{i}" for i in range(60)]
+    texts = [" ".join(rnd.choice(common) if rnd.random() < 0.8 else f"rare{k}x{rnd.randint(0, 400)}" for _ in range(600)) for k in range(80)]
+    keys = [" ".join(t.split()[100:112]) for t in texts]
+    table = spark.createDataFrame([(f"lic{k}", t.upper().replace(" ", ", "), key) for k, (t, key) in enumerate(zip(texts, keys, strict=True))] + [("none", None, None)], "label string, text string, key string")
+    templates = licences.BASE + licences.templates_of(table)
+    assert len(templates) == 83
+    edited = texts[7].split()
+    for i in range(200, 260):
+        edited[i] = "changed"
+    cut, broken = " ".join(texts[9].split()[90:]), texts[11].replace(keys[11], keys[11][:-3])
+    docs = [(1, "intro " + texts[3] + " outro " + texts[4]), (2, " ".join(edited)), (3, cut), (4, broken), (5, "All rights reserved. " * 200_000), (6, "cc by")]
+    began = time.monotonic()
+    got = {r.doc_id: r for r in licences.summary(licences.scan(spark.createDataFrame(docs, "doc_id long, text string"), templates=templates)).collect()}
+    assert time.monotonic() - began < 60
+    assert got[1].labels == "lic3,lic4" and got[2].labels == "lic7" and got[3].labels == "lic9" and got[4].labels == ""
+    assert 0.8 < got[2].score < 1 and got[1].score == pytest.approx(1)
+    assert (got[5].n_base, got[5].first_word, got[5].last_word) == (200_000, 0, 599_997)
+    with pytest.raises(ValueError, match="key phrase"):
+        licences.scan(spark.createDataFrame(docs, "doc_id long, text string"), templates=(licences.Template("x", "a b c", "d"),))
+
+
 def jaccard(a, b):
     x, y = Counter(iblt.paragraphs(a)), Counter(iblt.paragraphs(b))
     union = sum((x | y).values())
@@ -88,5 +113,37 @@ def test_differences_recovered():
     rnd = random.Random(5)
     a = [rnd.getrandbits(64) for _ in range(900)]
     b = a[400:] + [rnd.getrandbits(64) for _ in range(700)]
-    (_, only_a), (_, only_b) = iblt.differences(np.zeros(900, int), np.array(a, np.uint64), np.zeros(len(b), int), np.array(b, np.uint64), 1, cells=12)
-    assert set(only_a.tolist()) == set(a) - set(b) and set(only_b.tolist()) == set(b) - set(a)
+    a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+    first = iblt.subtract(*(iblt.tables(np.zeros(len(x), int), x, 1, 12) for x in (a, b)))
+    (_, only_a), (_, only_b) = iblt.differences(first, np.zeros(900, int), a, np.zeros(len(b), int), b, 1)
+    assert set(only_a.tolist()) == set(a.tolist()) - set(b.tolist()) and set(only_b.tolist()) == set(b.tolist()) - set(a.tolist())
+
+
+def test_likeness_follows_from_the_fingerprints(spark):
+    """Where the returned strings can be peeled, they alone give the likeness; for some they do, for others they are too small."""
+    lines = [f"line {i} of many" for i in range(400)]
+    rows = [(2000 - i, "\n".join(lines[i : i + 40 + i % 3])) for i in range(200)] + [(5, "a\nb")]
+    got = iblt.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by, peeled = {r.doc_id: r for r in got}, 0
+    order = sorted(by, reverse=True)
+    for i, j in zip(order, order[1:] + order[:1], strict=True):
+        for other, near in ((by[i].edited_fingerprint, by[i].near_edited), (by[j].fingerprint, by[i].near_next)):
+            a, b = iblt.loaded([by[i].fingerprint]), iblt.loaded([other])
+            ((_, only_a), (_, only_b)), stuck = iblt.peel(iblt.subtract(a, b), 1)
+            if not stuck[0]:
+                shared = int(a[0].sum()) // 3 - len(only_a)
+                assert near == pytest.approx(shared / max(1, shared + len(only_a) + len(only_b)))
+                peeled += 1
+    assert 150 < peeled < 2 * len(rows)
+
+
+def test_long_sentences_are_cut():
+    rnd = random.Random(9)
+    t = " ".join(rnd.choice(["alpha", "beta", "gamma!", "delta", "eps", "zeta7", "theta", "iota"]) + str(rnd.randint(0, 99)) for _ in range(3000))
+    for text in (t, "WORD!! " * 3000, "x" * 50_000, " " * 5000 + "y", "é " * 900, "\ud800 " * 400):
+        p = iblt.paragraphs(text)
+        assert "".join(p) == text and len(p) > 3
+    half = t[: len(t) // 2] + "something else " * 700
+    assert 0.2 < jaccard(t, half) < 0.6
+    with pytest.raises(TypeError):
+        iblt.neighbours(type("D", (), {"schema": {"doc_id": type("F", (), {"dataType": type("T", (), {"typeName": lambda self: "string"})()})}})())
