@@ -27,8 +27,6 @@ from .words import SPACED, flat, hashes, mix, pieces, powers, prefix, spans
 
 #: Labelled documents used to fit, at most.
 SAMPLE = 8000
-#: Words kept as marks of unwanted texts, at most, and as many of their beginnings.
-MARKS = 4096
 #: Bytes of the beginnings of longer words that can be marks as well, for words that vary by ending.
 STEMS = (4, 5, 6, 7, 8)
 #: Site tables up to this many rows are broadcast; larger ones are joined by shuffle.
@@ -164,16 +162,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
     A word marks unwanted texts if it stands there in at least 5 different
     contexts and in most of all it has; contexts rather than documents are
     counted, so copies of one text count once. So does a beginning of words,
-    with the contexts of all words that have it.
+    with the contexts of all words that have it. What is kept is bounded by the
+    sample. Of documents of one id the first by text is taken.
     """
     from . import scratch
 
     known = labels.where(F.col(ident).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(ident).alias("_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(ident).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.select(F.col(ident).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic")).select("_text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
     rows = scratch.cut(rows.mapInArrow(_sampled, "quality int, toxic int, x array<double>, words array<long>, contexts array<long>, keys array<long>, " + ", ".join(f"{c} array<long>" for c in _STEM_NAMES)), "sample")
-    # A repeated id can join more rows than labels; the sample stays bounded.
-    table = rows.select("quality", "toxic", "x").limit(2 * sample).toArrow()
+    table = rows.select("quality", "toxic", "x").toArrow()
     y, t = (np.array(table[c].to_numpy(), np.float64) for c in ("quality", "toxic"))
     x = np.array(table["x"].combine_chunks().flatten() if len(table) else [], np.float64).reshape(-1, FEATURES)
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-3) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
@@ -187,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
         """Those of (words, a, n) that are marks: sorted hashes and log-odds."""
         share = (F.col("a") + prior * whole) / (F.col("n") + prior)
         found = counts.select("words", "a", share.alias("p")).where((F.col("a") >= 5) & (F.col("p") >= max(least, 2 * whole)))
-        found = found.orderBy(F.desc("p"), F.desc("a"), "words").limit(MARKS).toArrow()
+        found = found.toArrow()
         h, p = found["words"].to_numpy().astype(np.int64).view(np.uint64), np.clip(found["p"].to_numpy().astype(np.float64), 1e-6, 1 - 1e-6)
         order = np.argsort(h)
         return h[order], (np.log(p / (1 - p)) - math.log(max(whole, 1e-6)) if len(p) else p)[order]
@@ -212,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
                 sums = known.sums(words, _looked_up(keys, odds, words), doc, b.num_rows)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["toxic", "s", "r"])
 
-        got = rows.select("toxic", "words").limit(2 * sample).mapInArrow(marked, "toxic int, s double, r double").toArrow()
+        got = rows.select("toxic", "words").mapInArrow(marked, "toxic int, s double, r double").toArrow()
         sums = np.column_stack([got[c].to_numpy().astype(np.float64) for c in ("s", "r")])
         model.marked = logistic(sums, got["toxic"].to_numpy().astype(np.float64), ridge=0.1)
     else:
@@ -220,15 +218,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
     return model
 
 
-def _evidence(docs: DataFrame, model: Model, text: str, names: list[str]) -> DataFrame:
-    """The columns `names` as a struct `row`, with the probabilities `form` and `marked`."""
+def _evidence(docs: DataFrame, model: Model, text: str, names: list[str], **more) -> DataFrame:
+    """`row` (the columns `names` as the struct `kept`, and `more`), with the probabilities `form` and `marked`. The text is read once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inside = text in names
-    packed = docs.select(F.struct(*names).alias("row"), *([] if inside else [F.col(text).alias("_text")]))
+    packed = docs.select(F.struct(F.struct(*names).alias("kept"), *[c.alias(k) for k, c in more.items()]).alias("row"), *([] if inside else [F.col(text).alias("text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column(0).field(names.index(text)) if inside else batch.column(1))
+            data, offsets = flat(batch.column(0).field("kept").field(names.index(text)) if inside else batch.column(1))
             got = [shared.value.evidence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets)]
             form, marked = (np.concatenate([g[k] for g in got]) if got else np.zeros(0) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(form), pa.array(marked)], ["row", "form", "marked"])
@@ -277,22 +275,16 @@ def classify(docs: DataFrame, labels: DataFrame, host, path, text: str = "text",
     names = [c for c in keep or docs.columns if c not in added]
     model = fit(docs, labels, text, ident, sample)
     p = F.col("form") * (1 - F.col("marked"))
-    hosted = docs.select(host.alias("host"), path.alias("path"), F.col(text).alias("_text"))
-    narrow = _evidence(hosted, model, "_text", ["host", "path"]).select("row.*", p.alias("p"))
     from . import scratch
 
+    # The text is scored once; the sites' statistics and the result read what was written.
+    scored = scratch.cut(_evidence(docs, model, text, names, host=host, path=path), "scored")
+    narrow = scored.select("row.host", "row.path", p.alias("p"))
     table = scratch.cut(sites(narrow), "sites").withColumnsRenamed({"host": "_host", "path": "_path"})
     if table.count() <= SITES:
         table = F.broadcast(table)
-    rows = docs.select(F.struct(*names).alias("row"), host.alias("_h"), path.alias("_p"), F.col(text).alias("_text"))
-    if text in names:
-        rows = docs.select(*names, host.alias("_h"), path.alias("_p"))
-        scored = _evidence(rows, model, text, [*names, "_h", "_p"])
-    else:
-        rows = docs.select(*names, host.alias("_h"), path.alias("_p"), F.col(text).alias("_text"))
-        scored = _evidence(rows, model, "_text", [*names, "_h", "_p"])
-    scored = scored.join(table, F.col("row._h").eqNullSafe(F.col("_host")) & F.col("row._p").eqNullSafe(F.col("_path")), "left")
+    scored = scored.join(table, F.col("row.host").eqNullSafe(F.col("_host")) & F.col("row.path").eqNullSafe(F.col("_path")), "left")
     logit = lambda x: F.log(F.greatest(x, F.lit(1e-9)) / F.greatest(1 - x, F.lit(1e-9)))
     odds = logit(p) + logit(F.col("path_rate")) - logit(F.col("global_rate"))
     posterior = 1 / (1 + F.exp(-odds))
-    return scored.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "form", "marked", "host_rate", "path_rate", posterior.alias("posterior"), (posterior >= least).alias("accepted"))
+    return scored.select(*[F.col("row")["kept"][c].alias(c) for c in names], "form", "marked", "host_rate", "path_rate", posterior.alias("posterior"), (posterior >= least).alias("accepted"))
