@@ -13,6 +13,7 @@ them.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,25 +33,49 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def encoder(path: str):
-    """A tokenizer from a public rank file, and the pattern that belongs to it."""
-    import os
-    import runpy
+#: Fixed value: the pattern by which the byte-level vocabularies split text before their merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space runs too long for the pattern, whose look-ahead steps back one character at a time.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
-    import tiktoken
 
+def ranks(path: str) -> dict[bytes, int]:
+    """The ranks of a public vocabulary file."""
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    pattern = runpy.run_path(os.path.join(os.path.dirname(path), "__init__.py"))["PATTERN"]
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def encoder(found: dict[bytes, int], pattern: str = PATTERN):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=found, special_tokens={})
+
+
+def encode(tokenizer, text: str) -> list[int]:
+    """Ids of a text of any length.
+
+    By the pattern a run of white space is one piece, but for its last
+    character if a word follows. Long runs are cut out there and encoded as the
+    pieces they are.
+    """
+    out, at = [], 0
+    for m in _BLANKS.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        out += tokenizer.encode_ordinary(text[at : m.start()])
+        out += tokenizer._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + tokenizer.encode_ordinary(text[at:])
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str, text: str = "text", ident: str = "doc_id", end: int = END, dtype: str = "<u2") -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str, text: str = "text", ident: str = "doc_id", end: int = END, dtype: str = "<u2", pattern: str = PATTERN) -> DataFrame:
     """Tokenise `docs` into flat files below `folder`, one a task; return (file, nth, ident) of every document.
 
     A file's name has the task's attempt, so one that runs again never writes
-    into what another reads; only files named in the result count.
+    into what another reads; only files named in the result count. The
+    vocabulary is read by the driver and broadcast; its size is that of a
+    tokenizer's file.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(ranks(vocabulary))
     kind = docs.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,10 +88,10 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, text: str = "tex
             for batch in batches:
                 if sink is None:
                     store.create_dir(base, recursive=True)
-                    sink, tokenizer = store.open_output_stream(f"{base}/{name}"), encoder(vocabulary)
+                    sink, tokenizer = store.open_output_stream(f"{base}/{name}"), encoder(shared.value, pattern)
                 for t in batch.column(1):
                     t = t.as_py()
-                    sink.write(np.array([*(tokenizer.encode_ordinary(t) if t else ()), end], dtype).tobytes())
+                    sink.write(np.array([*(encode(tokenizer, t) if t else ()), end], dtype).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows), pa.array(np.arange(n, n + batch.num_rows)), batch.column(0)], ["file", "nth", ident])
                 n += batch.num_rows
         finally:
@@ -76,11 +101,13 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, text: str = "tex
     return scratch.cut(docs.select(ident, text).mapInArrow(run, f"file string, nth long, `{ident}` {kind}"), "written")
 
 
-def blocks(spark: SparkSession, folder: str, names: list[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """(file, block, from, to) of the files of a folder; the folder is listed, the files aren't opened."""
+def blocks(spark: SparkSession, folder: str, names: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(file, block, from, to) of the files of a folder (of those in `names`, by `file`); the folder is listed, the files aren't opened."""
     store, base = _store(folder)
-    found = [(i.base_name, i.size) for i in store.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if i.is_file and (names is None or i.base_name in set(names))]
+    found = [(i.base_name, i.size) for i in store.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if i.is_file]
     files = spark.createDataFrame(found, "file string, size long").where("size > 0")
+    if names is not None:
+        files = files.join(names.select("file").distinct(), "file", "left_semi")
     return files.select("file", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block).cast("long"))).alias("block", "from"), "size").select("file", "block", "from", F.least(F.col("from") + block, "size").alias("to"))
 
 
@@ -103,7 +130,7 @@ def _search(folder: str, end: int, dtype: str):
     return run
 
 
-def token_counts(spark: SparkSession, folder: str, names: list[str] | None = None, end: int = END, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
+def token_counts(spark: SparkSession, folder: str, names: DataFrame | None = None, end: int = END, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
     """(file, nth, n_tokens) of every document in the token files of a folder.
 
     Ids after a file's last separator are a document too, if there are any.
@@ -142,5 +169,4 @@ def count_documents(docs: DataFrame, vocabulary: str, text: str = "text", ident:
     spark = docs.sparkSession
     folder = scratch.place(spark, "tokens")
     written = write_tokens(docs, folder, vocabulary, text, ident)
-    names = [r.file for r in written.select("file").distinct().collect()]
-    return written.join(token_counts(spark, folder, names), ["file", "nth"]).select(ident, "file", "nth", "n_tokens")
+    return written.join(token_counts(spark, folder, written), ["file", "nth"]).select(ident, "file", "nth", "n_tokens")
