@@ -27,9 +27,9 @@ def brute(docs, items, least=0.8):
         w = words(t)
         mine = shingle_counts(w) | Counter(s for k in range(1, 5) for s in [tuple(w[i : i + k]) for i in range(len(w))])
         for i, n, c in of:
-            if n > len(w) or not any(s in mine for s in c):
+            if min(n, 5) > len(w) or not any(s in mine for s in c):
                 continue
-            for a in range(len(w) - n + 1):
+            for a in range(max(1, len(w) - n + 1)):
                 x = weigh(shingle_counts(w[a : a + n]))
                 shared = sum(min(v, c.get(s, 0)) for s, v in x.items())
                 if shared / (sum(x.values()) + sum(c.values()) - shared) >= least - 1e-12:
@@ -67,6 +67,16 @@ def test_edited_windows(spark):
     assert found >= 0.99 * sum(map(len, want.values())) and found > 100
 
 
+def test_items_cut_short(spark):
+    """A document that is an item less its last words, all by itself."""
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12 + i))) for i in range(40)]
+    docs = [(100 * i + c, " ".join(t.split()[: len(t.split()) - c])) for i, t in items for c in (1, 2, 3, 9)] + [(9999, "w1x0 w1x1")]
+    want = brute(docs, items)
+    got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: {x.item for x in r.leaks} for r in got if r.leaks} == want and len(want) > 90
+    assert all(x.words == len(r.text.split()) for r in got for x in r.leaks)
+
+
 def test_odd(spark):
     docs = spark.createDataFrame([(1, None, "x", 1), (2, "", None, 1), (None, "One two, THREE four five six", "x", 1), (3, "pad " * 50000 + "one two three four five six", "", 1), (3, "two words", "", 1), (4, "word", "", 1)], "doc_id long, text string, leaks string, row int")
     items = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (2, None), (3, ""), (None, "two words")], "item_id long, text string")
