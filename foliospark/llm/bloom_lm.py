@@ -274,16 +274,15 @@ def train(docs: DataFrame, text: str = "text", bits_a_gram: int = 12):
     return Filter.of(found["h"].to_numpy().view(np.uint64), found["c"].to_numpy(), bits_a_gram), counts
 
 
-def score(docs: DataFrame, training, text: str = "text", frequent: int = 1 << 18, context: int = 2048, mixing: float = 0.4, bits_a_gram: int = 12, segment: int = SEGMENT) -> DataFrame:
+def score(docs: DataFrame, training, text: str = "text", mixing: float = 0.4, bits_a_gram: int = 12, segment: int = SEGMENT) -> DataFrame:
     """Every row of `docs` with n_tokens, n_known, train_tokens, base_score and score.
 
     `training` is a condition on `docs`; where it is true the row is learned
     from. Both scores are sums of log10 over the words and the end: base_score
     of (count + 0.1) / (N + 0.1 * (V + 1)) with exact counts, score of the
     interpolated model. A null text is empty, so it is one end. Without any
-    training row N and V are 0. All other columns of `docs` are kept.
-    `frequent` and `context` are taken for older callers and have no effect:
-    all words and pairs are held.
+    training row N and V are 0. All other columns of `docs` but the text are
+    kept; columns of these names are replaced.
     """
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     narrow = [c for c in docs.columns if c not in (*added, text)]

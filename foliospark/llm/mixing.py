@@ -125,21 +125,24 @@ def _fill(pdf):
     return pdf.loc[took, ["s", "h"]]
 
 
-def mix(docs: DataFrame, text: str = "text", ident: str = "doc_id", source: str = "source", weights=WEIGHTS, cap: int = 3, bin_rows: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", ident: str = "doc_id", source: str = "source", weights=WEIGHTS, cap: int = 3, bin_rows: int = 1024, most_sources: int = 100_000) -> DataFrame:
     """Every row of `docs` with the copies the mix takes of it.
 
     Columns: all of `docs`' ident, `size` (words), `source_size`, `target` (of
     its source), `rate` (tilted, 0 to cap), `copies`, `taken` (copies * size).
     Nulls: a null text has no words, a null source is a source of its own and
     comes last, a null ident is a record like any other. Rows equal in ident
-    and text are taken alike. An empty table gives an empty result. The
-    numbers of sources and of different sizes of a source must be small (both
-    are aggregated; the former reaches the driver); rows never do.
+    and text are taken alike. An empty table gives an empty result. A few
+    numbers a source reach the driver and are broadcast, so more than
+    `most_sources` raise: group hosts into sources first. Different sizes of a
+    source are aggregated; rows never reach the driver.
     """
     spark = docs.sparkSession
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     base = scratch.cut(docs.select(F.col(ident).alias("_id"), F.col(source).alias("_source"), words.alias("size"), F.xxhash64(F.col(ident), F.col(text)).alias("h")), "sizes")
-    known = {r[0]: (r[1], r[2]) for r in base.groupBy("_source").agg(F.sum("size"), F.count("*")).collect()}
+    known = {r[0]: (r[1], r[2]) for r in base.groupBy("_source").agg(F.sum("size"), F.count("*")).limit(most_sources + 1).collect()}
+    if len(known) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
     wanted = targets({k: v[0] for k, v in known.items()}, weights, cap)
     names = list(known)
     facts = [(i, k, known[k][0], float(wanted[k]), known[k][0] / known[k][1]) for i, k in enumerate(names)]
@@ -176,5 +179,7 @@ def mix(docs: DataFrame, text: str = "text", ident: str = "doc_id", source: str
 def repeat(docs: DataFrame, text: str = "text", ident: str = "doc_id", source: str = "source", weights=WEIGHTS, cap: int = 3) -> DataFrame:
     """The rows of `docs` as many times as mix() takes them, with all their columns."""
     taken = mix(docs, text, ident, source, weights, cap).where("copies > 0").groupBy(F.col("row_hash").alias("_h")).agg(F.max("copies").alias("_copies"))
-    rows = docs.withColumn("_h", F.xxhash64(F.col(ident), F.col(text))).join(taken, "_h")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    # The columns of `docs` are in one struct, so that none can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(ident), F.col(text)).alias("_h")).join(taken, "_h")
+    rows = rows.select("row", F.explode(F.sequence(F.lit(1), "_copies")).alias("copy"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])

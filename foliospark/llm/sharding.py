@@ -22,36 +22,38 @@ def weigh(text: Column, base: int = 8) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(base).cast("long")
 
 
+def _constant(values, kind: str) -> Column:
+    """A constant array, by one literal however long it is; of no values, an empty one."""
+    values = list(values)
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
 def splitters(keys: DataFrame, ranges: int, total: int, per_range: int = 64) -> list[int]:
     """Quantile boundaries of `_key` from a size-weighted sample.
 
     A record is sampled with a probability proportional to its size, decided by
-    a hash of the record, so a rerun draws the same sample. The sample has about
+    a hash of the record and its place in the input. The sample has about
     `per_range` keys a range; only the boundaries reach the driver.
     """
     if ranges < 2:
         return []
     draw = F.pmod(F.xxhash64(F.lit("draw"), "_tie", "_row"), F.lit(1 << 32)).cast("double") / float(1 << 32)
     sample = keys.where(draw < F.col("_size") * (per_range * ranges / max(1, total)))
-    marks = [i / ranges for i in range(1, ranges)]
-    found = sample.agg(F.percentile_approx("_key", F.array(*map(F.lit, marks)), 100 * ranges).alias("q")).first()[0]
+    marks = _constant([i / ranges for i in range(1, ranges)], "double")
+    found = sample.agg(F.percentile_approx("_key", marks, 20 * ranges).alias("q")).first()[0]
     return sorted(set(found or []))
 
 
 def range_of(key: Column, bounds: list[int]) -> Column:
-    """Index of the range of `key`: boundaries below or at it, found in two steps of about sqrt(n)."""
+    """Index of the range of `key`: the boundaries below or at it, by binary search in a constant array."""
     if not bounds:
         return F.lit(0)
-    step = math.isqrt(len(bounds)) + 1
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    whole = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    below = lambda xs: F.size(F.filter(xs, lambda b: b <= key))
-    coarse = below(whole([g[0] for g in groups]))
-    inner = F.element_at(F.array(*map(whole, groups)), F.greatest(coarse, F.lit(1)))
-    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + below(inner))
+    found = _constant(bounds, "long")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(found, at + step - 1) <= key, at + step).otherwise(at))
 
 
-def shard(docs: DataFrame, shards: int = 24, text: str = "text", ident: str = "doc_id", range_rows: int = 100_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, text: str = "text", ident: str = "doc_id", range_rows: int = 100_000, most_ranges: int = 16_384) -> DataFrame:
     """Every row of `docs` with `shard` (0 to shards - 1) and `slot` (gapless from 0 in its shard).
 
     Law `bytes`: shards differ in size by no more than about one record. Equal
@@ -59,6 +61,11 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", ident: str = "d
     is ordered first; an empty table gives an empty result; fewer records than
     shards leave shards empty. Columns: ident, size, text_crc32, law, shard,
     slot. Other columns of `docs` are not read.
+
+    Ranges hold about `range_rows` rows, more where there would be over
+    `most_ranges` of them: a range is sorted by one task, which spills, and
+    only so many boundaries and totals pass through the driver. How ranges fall
+    decides about the order of equal keys at most.
     """
     keys = docs.select(
         F.col(ident).alias("_id"),
@@ -71,15 +78,13 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", ident: str = "d
     keys = scratch.cut(keys, "keys")
     n, total = keys.agg(F.count("*"), F.sum("_size")).first()
     total = total or 0
-    ranges = max(8, math.ceil(n / range_rows))
+    ranges = min(most_ranges, max(8, math.ceil(n / range_rows)))
     placed = keys.withColumn("_range", range_of(F.col("_key"), splitters(keys, ranges, total)))
     # Overfull ranges are subdivided by the second hash, into as many parts as they hold shares.
     sums = placed.groupBy("_range").agg(F.count("*").alias("_n"))
     share = max(1, math.ceil(1.5 * n / ranges))
     parts = {r._range: -(-r._n // share) for r in sums.where(F.col("_n") > share).collect()}
-    part = F.lit(1)
-    for r, k in parts.items():
-        part = F.when(F.col("_range") == r, F.lit(k)).otherwise(part)
+    part = F.coalesce(F.get(_constant([parts.get(r, 1) for r in range(max(parts) + 1)], "long"), F.col("_range")), F.lit(1)) if parts else F.lit(1)
     placed = placed.withColumn("_part", F.pmod(F.xxhash64("_tie", "_row"), part.cast("long")).cast("int"))
     here = Window.partitionBy("_range", "_part").orderBy("_key", "_tie")
     within = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
