@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import random
@@ -8,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import bloom_lm, queries, suffixes
+from foliospark.llm import bloom_lm, queries, scratch, suffixes
 
 SF = "/root/testdata/sf0.01"
 
@@ -26,10 +27,22 @@ def brute_dedupe(rows, length=400):
             if seen[hash(raw[i : i + length])] > 1:
                 gone[i : i + length] = b"\1" * length
         kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
-        out.append((ident, len(raw), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+        out.append((ident, len(raw), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest(), *brute_words(rows)[len(out)]))
     return out
 
 
+@functools.cache
+def _brute_words(rows, length=51):
+    split = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    seen = Counter(tuple(w[i : i + length]) for w in split for i in range(len(w) - length + 1))
+    covered = [len({k for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1 for k in range(i, i + length)}) for w in split]
+    return [(n, n > 0) for n in covered]
+
+
+def brute_words(rows):
+    return _brute_words(tuple(rows))
+
+
 def test_dedupe(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute_dedupe([(r.doc_id, r.text) for r in docs.collect()])
@@ -47,12 +60,29 @@ def test_dedupe_odd(spark, batches, hot):
     rows += [(100 + i, long[:k] + "X" + long[k:]) for i, k in enumerate((5, 900, 1500, 2999))]
     rows += [(200, None), (None, None), (201, ""), (202, "a" * 399), (203, "a" * 400), (204, "b" * 401), (205, "xyz" * 3000), (206, long[100:499]), (207, long[100:500]), (None, long), (208, text(5000)), (208, text(5000))]
     rows += [(300, passage + "!" + passage)] * 2
+    # Runs of a short period, whole and cut, alone and shared, longer and shorter than one that finds itself.
+    run = lambda word, n: (word * (n // len(word) + 2))[:n]
+    rows += [(400 + i, text(rnd.randint(0, 90)) + run(rnd.choice(["the ", "of ", "ab", "é", "seven w"]), rnd.choice([300, 399, 400, 401, 405, 800, 1500])) + text(rnd.choice([0, 30, 600]))) for i in range(40)]
+    rows += [(500 + i, text(100) + run("once upon a time ", n) + text(100)) for i, n in enumerate((402, 410, 430))]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, key string, row int").repartition(3)
     got = suffixes.dedupe(df, batches=batches, hot=hot).drop("kept").collect()
     assert Counter(map(tuple, got)) == Counter(brute_dedupe(rows))
     assert suffixes.dedupe(df.limit(0)).collect() == []
 
 
+def test_levels_are_scanned_on_arrival(spark):
+    """Every array meets the levels before it; levels merge like a binary counter."""
+    with scratch.Space(spark) as space:
+        family = suffixes.Family(space)
+        for b in range(5):
+            family.add(spark.createDataFrame([(k, 10 * b) for k in range(b, b + 3)] + [(100 + b, 1)] * (1 + (b == 2)), "key long, context long"))
+        assert [rank for rank, _ in family.levels] == [2, 0]
+        got = {(r.key, r.context): (r.copies, r.contexts) for r in family.repeats().collect()}
+        # A family that never scans finds only what repeats inside a batch.
+        assert {k for k, _ in got} == {1, 2, 3, 4, 5, 102} and got[3, 10] == (1, 3) and got[102, 1] == (2, 1)
+    assert [suffixes.batches_for(n) for n in (0, 1 << 27, 1 << 29, 1 << 40)] == [1, 1, 2, 13]
+
+
 def words(t):
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
 
@@ -78,8 +108,8 @@ def test_scores(spark):
 def test_scores_odd(spark):
     rows = [(1, "A b\x0bc  a"), (2, None), (3, ""), (None, "lost"), (4, "long " * 50000), (4, "long " * 50000), (5, "\x00 é É")]
     df = spark.createDataFrame([(*r, 1.0, "x") for r in rows], "doc_id long, text string, score double, rare string")
-    for frequent, context in ((1 << 18, 2048), (1, 1)):
-        got = bloom_lm.score(df, F.lit(True), frequent=frequent, context=context).collect()
+    for segment in (1 << 23, 1 << 10):
+        got = bloom_lm.score(df, F.lit(True), segment=segment).collect()
         c = Counter(w for _, t in rows for w in words(t))
         n, v = sum(c.values()), len(c)
         want = defaultdict(list)
