@@ -58,3 +58,23 @@ def utf16_field(raw: Column, at: int | Column) -> Column:
 def integer_or(value: Column, default: int) -> Column:
     """An integer literal, else the default."""
     return F.coalesce(F.trim(value).try_cast("long"), F.lit(default))
+
+
+def a1_range(sheet: Column, column: Column, points: Column) -> Column:
+    """The absolute range of a chart series: its column from row 2, one row a point and at least one."""
+    name = column_name(column)
+    return F.concat(F.lit("'"), F.replace(sheet, F.lit("'"), F.lit("''")), F.lit("'!$"), name, F.lit("$2:$"), name, F.lit("$"), (F.greatest(points, F.lit(1)) + 1).cast("string"))
+
+
+def sheet_anchor(formula: Column) -> Column:
+    """The sheet that a formula names before its `!`, without quotes; null if it names none."""
+    text = F.trim(formula)
+    name = F.trim(F.substring_index(text, "!", 1))
+    quoted = name.startswith("'") & name.endswith("'") & (F.length(name) >= 2)
+    bare = F.when(quoted, F.replace(F.substring(name, F.lit(2), F.length(name) - 2), F.lit("''"), F.lit("'"))).otherwise(name)
+    return F.when(F.contains(text, F.lit("!")), F.nullif(bare, F.lit("")))
+
+
+def rescaled(value: Column, old: Column, new: Column) -> Column:
+    """A length that grows with its frame from `old` to `new`, half to even; as it is where the old frame has no size."""
+    return F.when((old > 0) & new.isNotNull(), F.bround(value * new / old).cast("long")).otherwise(value.cast("long"))

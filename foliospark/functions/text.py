@@ -77,3 +77,43 @@ def bool_like(value: Column) -> Column:
 def json_list(value: Column) -> Column:
     """A JSON array of strings without nulls; anything else gives an empty array."""
     return F.coalesce(F.filter(F.from_json(value, "array<string>"), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+
+
+def same_length_replace(text: Column, old: str, new: str) -> Column:
+    """Replace by a text of as many UTF-16 units, as records of a fixed size need; other lengths raise."""
+    if len(old.encode("utf-16-le")) != len(new.encode("utf-16-le")) or not old:
+        raise ValueError("old and new text must have one length, not 0")
+    return F.replace(text, F.lit(old), F.lit(new))
+
+
+def normal_map(values: Column) -> Column:
+    """A map of texts without its nulls."""
+    return F.map_filter(values, lambda _, v: v.isNotNull())
+
+
+def sub_map(values: Column, prefix: str) -> Column:
+    """The entries whose keys have a prefix, without it."""
+    return F.transform_keys(F.map_filter(values, lambda k, _: k.startswith(prefix)), lambda k, _: F.substring(k, len(prefix) + 1, 1 << 30))
+
+
+def flat_paths(json: Column) -> Column:
+    """(path, value) of the scalars in a JSON object of two levels, keys joined by dots, in order; other values as JSON text."""
+    keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+    one = lambda o, k: F.get_json_object(o, F.concat(F.lit("$['"), k, F.lit("']")))
+
+    def level(k: Column) -> Column:
+        inner = F.json_object_keys(one(json, k))
+        below = F.transform(inner, lambda j: F.struct(F.concat(k, F.lit("."), j).alias("path"), one(one(json, k), j).alias("value")))
+        return F.when(inner.isNull(), F.array(F.struct(k.alias("path"), one(json, k).alias("value")))).otherwise(below)
+
+    return F.array_sort(F.flatten(F.transform(keys, level)))
+
+
+def filled_json(row: Column) -> Column:
+    """A struct as JSON, without its nulls."""
+    return F.to_json(row)
+
+
+def carried_json(comment: Column, prefix: str, kind: str) -> Column:
+    """What a comment carries as JSON after its prefix, as a struct or map of this type; null if it has none or can't be read."""
+    return F.when(F.startswith(comment, F.lit(prefix)), F.from_json(F.substring(comment, len(prefix) + 1, 1 << 30), kind))

@@ -44,6 +44,113 @@ def common_prefix(base: DataFrame, other: DataFrame, group: list[str], order: st
     return both.groupBy(*group).agg(F.coalesce(differs, F.count("*")).cast("long").alias("prefix"))
 
 
+def common_suffix(base: DataFrame, other: DataFrame, group: list[str], order: str, values: list[str]) -> DataFrame:
+    """Length of the equal suffix of two ordered tables, a row a group that both have, from distances to the end."""
+    back = lambda df, name: df.select(*group, F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(order))).alias("_back"), F.struct(*values).alias(name))
+    both = back(base, "base").join(back(other, "other"), [*group, "_back"], "full_outer")
+    differs = F.min(F.when(~F.col("base").eqNullSafe(F.col("other")), F.col("_back"))) - 1
+    held = F.bool_or(F.col("base").isNotNull()) & F.bool_or(F.col("other").isNotNull())
+    return both.groupBy(*group).agg(F.coalesce(differs, F.count("*")).cast("long").alias("suffix"), held.alias("_held")).where("_held").drop("_held")
+
+
+def pair_by_key(left: DataFrame, right: DataFrame, group: list[str], order: str, key: str) -> DataFrame:
+    """Greedy one-to-one pairs of two ordered tables: (group, left order, right order), null where there is no partner.
+
+    In order, a left row takes the first unused right row of an equal non-empty
+    key, else the first unused one of all; right rows that are left over come
+    last. A group's rows are one task's work, as each choice depends on those
+    before.
+    """
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    kinds = StructType([left.schema[g] for g in group] + [StructField("left_" + order, LongType()), StructField("right_" + order, LongType())])
+    rows = left.select(*group, order, key, F.lit(0).alias("_side")).unionByName(right.select(*group, order, key, F.lit(1).alias("_side")))
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(order)
+        names = pdf[group].iloc[0].tolist()
+        mine, theirs = (pdf[pdf["_side"] == k] for k in (0, 1))
+        waiting: dict = {}
+        unused = dict.fromkeys(theirs[order].tolist())
+        for o, k in zip(theirs[order], theirs[key], strict=True):
+            waiting.setdefault(k, []).append(o)
+        for v in waiting.values():
+            v.reverse()
+        out = []
+        for o, k in zip(mine[order], mine[key], strict=True):
+            own = waiting.get(k, []) if k else []
+            while own and own[-1] not in unused:
+                own.pop()
+            got = own.pop() if own else next(iter(unused), None)
+            unused.pop(got, None)
+            out.append((o, got))
+        out += [(None, o) for o in unused]
+        return pd.DataFrame({**{g: [v] * len(out) for g, v in zip(group, names, strict=True)}, "left_" + order: pd.array([a for a, _ in out], "Int64"), "right_" + order: pd.array([b for _, b in out], "Int64")})
+
+    return rows.groupBy(*group).applyInPandas(run, kinds)
+
+
+def forward_matches(tokens: DataFrame, items: DataFrame, group: list[str], order: str, key: str) -> DataFrame:
+    """(group, token order, item order): each token in order with the first item of its key after the last item matched; null if none.
+
+    Order-preserving and greedy, so a group's rows are one task's work.
+    """
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    kinds = StructType([tokens.schema[g] for g in group] + [StructField("token_" + order, LongType()), StructField("item_" + order, LongType())])
+    rows = tokens.select(*group, order, key, F.lit(0).alias("_side")).unionByName(items.select(*group, order, key, F.lit(1).alias("_side")))
+
+    def run(pdf):
+        import bisect
+
+        import pandas as pd
+
+        pdf = pdf.sort_values(order)
+        names = pdf[group].iloc[0].tolist()
+        mine, theirs = (pdf[pdf["_side"] == k] for k in (0, 1))
+        places: dict = {}
+        for i, k in enumerate(theirs[key]):
+            places.setdefault(k, []).append(i)
+        orders, at, out = theirs[order].tolist(), 0, []
+        for o, k in zip(mine[order], mine[key], strict=True):
+            own = places.get(k, [])
+            j = bisect.bisect_left(own, at)
+            out.append((o, orders[own[j]] if j < len(own) else None))
+            at = own[j] + 1 if j < len(own) else at
+        return pd.DataFrame({**{g: [v] * len(out) for g, v in zip(group, names, strict=True)}, "token_" + order: pd.array([a for a, _ in out], "Int64"), "item_" + order: pd.array([b for _, b in out], "Int64")})
+
+    return rows.groupBy(*group).applyInPandas(run, kinds)
+
+
+def outside_open_fields(rows: DataFrame, group: list[str], order: str, opens: Column, closes: Column) -> DataFrame:
+    """Rows that lie in no open field: those between an opening and its closing row are skipped, both of these stay."""
+    upto = Window.partitionBy(*group).orderBy(order)
+    step = F.when(opens, 1).when(closes, -1).otherwise(0)
+    # The depth never falls below 0: a stray closing row opens nothing.
+    marked = rows.withColumn("_sum", F.sum(step).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("_floor", F.least(F.lit(0), F.min("_sum").over(upto.rowsBetween(Window.unboundedPreceding, 0))))
+    marked = marked.withColumn("_depth", F.coalesce(F.lag(F.col("_sum") - F.col("_floor")).over(upto), F.lit(0)))
+    return marked.where((F.col("_depth") == 0) | ((F.col("_depth") == 1) & closes)).drop("_sum", "_floor", "_depth")
+
+
+def running_total(rows: DataFrame, group: list[str], order: str, value: Column, name: str = "total") -> DataFrame:
+    """Sum of a value over the rows before each row of its group."""
+    return rows.withColumn(name, F.coalesce(F.sum(value).over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def span_extents(cells: DataFrame, sizes: DataFrame, group: list[str], at: str, span: str, index: str, size: str) -> DataFrame:
+    """`extent` of each cell: the sum of the sizes from its place over its span, from two prefix sums instead of a range join."""
+    upto = Window.partitionBy(*group).orderBy(index)
+    ends = sizes.select(*group, (F.col(index) + 1).alias("_i"), F.sum(size).over(upto).alias("_sum"))
+    last = ends.groupBy(*group).agg(F.max("_i").alias("_last"), F.max_by("_sum", "_i").alias("_all"))
+    rows = cells.join(last, group, "left").withColumn("_to", F.least(F.col(at) + F.col(span), F.col("_last")))
+    rows = rows.join(ends.select(*group, F.col("_i").alias("_to"), F.col("_sum").alias("_b")), [*group, "_to"], "left")
+    rows = rows.join(ends.select(*group, F.col("_i").alias(at), F.col("_sum").alias("_a")), [*group, at], "left")
+    return rows.withColumn("extent", F.greatest(F.coalesce("_b", F.lit(0)) - F.coalesce("_a", F.lit(0)), F.lit(0))).drop("_last", "_all", "_to", "_a", "_b")
+
+
 def field_pairs(rows: DataFrame, group: str, order: str, opens: Column, closes: Column) -> DataFrame:
     """Each opening row with the first closing row after it in its group (null if none): one sort, no join."""
     after = Window.partitionBy(group).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)

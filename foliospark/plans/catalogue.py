@@ -156,10 +156,10 @@ def duplicate_ids(spark, sf):
     return R.duplicates(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("occurrence").cast("long").alias("occurrence"))
 
 
-@query("select o.turn, a.text as base_text, b.text as other_text from (select distinct turn from conversations where conv_id in (0, 1)) o left join (select * from conversations where conv_id = 0) a on a.turn = o.turn left join (select * from conversations where conv_id = 1) b on b.turn = o.turn where a.text is distinct from b.text")
+@query("select coalesce(a.conv_id, b.conv_id) as conv_id, coalesce(a.turn, b.turn) as turn, a.text as base_text, b.text as other_text from conversations a full outer join (select conv_id - 1 as conv_id, turn, text from conversations where conv_id > 0) b on a.conv_id = b.conv_id and a.turn = b.turn where a.text is distinct from b.text")
 def full_outer_diff(spark, sf):
     c = table(spark, sf, "conversations")
-    return R.positional_diff(c.where("conv_id = 0"), c.where("conv_id = 1"), ["turn"], ["text"])
+    return R.positional_diff(c, c.where("conv_id > 0").withColumn("conv_id", F.col("conv_id") - 1), ["conv_id", "turn"], ["text"])
 
 
 @query("select conv_id, coalesce(min(turn) filter (a is distinct from b), count(*))::bigint as prefix from (select coalesce(x.conv_id, y.conv_id) as conv_id, coalesce(x.turn, y.turn) as turn, x.role as a, y.role as b from conversations x full outer join (select conv_id - 1 as conv_id, turn, role from conversations where conv_id > 0) y on x.conv_id = y.conv_id and x.turn = y.turn) group by conv_id")

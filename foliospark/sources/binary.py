@@ -27,11 +27,15 @@ TAGS = {
 #: What the counts of id mappings count, in their order.
 ID_MAPPINGS = ("bin_data", "ko_fonts", "en_fonts", "cn_fonts", "jp_fonts", "other_fonts", "symbol_fonts", "user_fonts", "border_fills", "char_shapes", "tab_defs", "numberings", "bullets", "para_shapes", "styles", "memo_shapes", "track_changes", "track_change_authors")
 #: Control ids -> kinds.
-CONTROLS = {"tbl ": "table", "bokm": "bookmark", "fn  ": "footnote", "en  ": "endnote", "pgnp": "page_number", "eqed": "equation", "form": "form", "head": "header", "foot": "footer", "secd": "section", "cold": "column", "atno": "auto_number", "nwno": "auto_number", "%hlk": "hyperlink", "%mai": "mail_merge_field", "%for": "calculation_field", "%ref": "cross_reference"}
+CONTROLS = {"tbl ": "table", "bokm": "bookmark", "fn  ": "footnote", "en  ": "endnote", "pgnp": "page_number", "eqed": "equation", "form": "form", "head": "header", "foot": "footer", "secd": "section", "cold": "column", "atno": "auto_number", "nwno": "auto_number", "%hlk": "hyperlink", "%mai": "mail_merge_field", "%for": "calculation_field", "%cal": "calculation_field", "%ref": "cross_reference", "%pag": "cross_reference", "%cro": "cross_reference", "%doc": "doc_property_field", "%dat": "date_field"}
 #: Shapes by the records below a graphic control, the first that is there.
 SHAPES = ("chart_data", "ole", "picture", "container", "textart", "line", "rectangle", "ellipse", "arc", "polygon", "curve")
 
 
+#: Fixed value: a component that starts so is a connecting line's.
+CONNECT_LINE = b"loc$loc$"
+
+
 def tag(name: str) -> Column:
     return F.col("tag_id") == TAGS[name]
 
@@ -122,7 +126,7 @@ def record_bytes(tag_id: int, level: int, payload: bytes) -> bytes:
 
 
 def records(found: DataFrame, strict: bool = True) -> DataFrame:
-    """(doc, stream, section_index, ord, tag_id, level, size, header_size, offset, payload, parent, end).
+    """(doc, stream, section_index, ord, tag_id, level, size, header_size, offset, payload, parent, end, ancestors).
 
     Sections are numbered by the order of their paths as text, as the format's
     readers do. `parent` is the nearest earlier record of a smaller level, `end`
@@ -130,15 +134,15 @@ def records(found: DataFrame, strict: bool = True) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "stream", "ord", "tag_id", "level", "size", "header_size", "offset", "payload", "parent", "end"]
-        types = [pa.string(), pa.string(), *[pa.int32()] * 3, pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+        names = ["doc", "stream", "ord", "tag_id", "level", "size", "header_size", "offset", "payload", "parent", "end", "ancestors"]
+        types = [pa.string(), pa.string(), *[pa.int32()] * 3, pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
         for batch in batches:
             for doc, path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 rows, up = [], []
                 for r in parse_records(raw.as_py() or b"", strict):
                     while up and rows[up[-1]][4] >= r[2]:
                         up.pop()
-                    rows.append([doc, path, *r, up[-1] if up else None, r[0]])
+                    rows.append([doc, path, *r, up[-1] if up else None, r[0], list(up)])
                     up.append(r[0])
                 for r in reversed(rows):
                     if r[9] is not None:
@@ -149,7 +153,7 @@ def records(found: DataFrame, strict: bool = True) -> DataFrame:
     own = found.where(F.col("path").startswith("BodyText/") | (F.col("path") == "DocInfo"))
     index = F.row_number().over(Window.partitionBy("doc", F.col("path").startswith("BodyText/")).orderBy("path")) - 1
     numbers = own.select("doc", F.col("path").alias("stream"), F.when(F.col("path").startswith("BodyText/"), index).alias("section_index"))
-    schema = "doc string, stream string, ord int, tag_id int, level int, size long, header_size int, offset long, payload binary, parent int, end int"
+    schema = "doc string, stream string, ord int, tag_id int, level int, size long, header_size int, offset long, payload binary, parent int, end int, ancestors array<int>"
     return own.select("doc", "path", "logical").mapInArrow(run, schema).join(numbers, ["doc", "stream"])
 
 
@@ -192,17 +196,9 @@ def document_text(found: DataFrame) -> DataFrame:
 
 
 def _below(rows: DataFrame, tops: DataFrame) -> DataFrame:
-    """Records below each of `tops` (doc, stream, top): up the parents, a level a step, so no pairs are compared."""
-    at = rows.select("doc", "stream", "ord", "parent", "tag_id", "size", F.col("parent").alias("up")).where("up is not null")
-    links = rows.select("doc", "stream", F.col("ord").alias("up"), F.col("parent").alias("next"))
-    ends = tops.select("doc", "stream", F.col("ord").alias("up"), F.lit(True).alias("is_top"))
-    out = None
-    for _ in range(4):
-        met = at.join(ends, ["doc", "stream", "up"], "left")
-        found = met.where("is_top").select("doc", "stream", F.col("up").alias("top"), "ord", "tag_id", "size")
-        out = found if out is None else out.unionByName(found)
-        at = met.where("is_top is null").drop("is_top").join(links, ["doc", "stream", "up"]).withColumn("up", F.col("next")).drop("next").where("up is not null")
-    return out
+    """Records at any depth below each of `tops` (doc, stream, top), by their lists of ancestors."""
+    own = rows.select("doc", "stream", "ord", "tag_id", "size", "payload", F.explode("ancestors").alias("top"))
+    return own.join(tops.select("doc", "stream", F.col("ord").alias("top")), ["doc", "stream", "top"])
 
 
 def controls(rows: DataFrame) -> DataFrame:
@@ -215,17 +211,18 @@ def controls(rows: DataFrame) -> DataFrame:
     heads = body.where(tag("ctrl_header")).withColumn("control_id", control_id(F.col("payload")))
     graphic = heads.where("control_id = 'gso '")
     rank = F.array_position(F.array(*[F.lit(TAGS[s]) for s in SHAPES]), F.col("tag_id"))
-    shapes = _below(rows.where("section_index is not null"), graphic).where(rank > 0).groupBy("doc", "stream", F.col("top").alias("ord")).agg(F.min(rank).alias("r"))
+    shapes = _below(rows.where("section_index is not null"), graphic).groupBy("doc", "stream", F.col("top").alias("ord")).agg(F.min(F.when(rank > 0, rank)).alias("r"), F.max(tag("shape_component") & F.startswith("payload", F.lit(CONNECT_LINE))).alias("connects"))
     name = F.element_at(F.array(*[F.lit({"chart_data": "chart"}.get(s, s)) for s in SHAPES]), F.col("r").cast("int"))
     known = F.create_map(*[F.lit(x) for kv in CONTROLS.items() for x in kv])[F.col("control_id")]
+    name = F.when(F.coalesce("connects", F.lit(False)) & (name == "line"), "connect_line").otherwise(name)
     kind = F.when(F.col("control_id") == "gso ", F.coalesce(name, F.lit("shape"))).otherwise(F.coalesce(known, F.when(F.col("control_id").startswith("%"), "field"), F.lit("other")))
     return heads.join(shapes, ["doc", "stream", "ord"], "left").select("doc", "stream", "section_index", "paragraph", "ord", "control_id", kind.alias("kind"), "payload")
 
 
 def select(found: DataFrame, selector: str) -> DataFrame:
     """Controls of a selector: shapes hold oles and charts, lines don't hold connecting lines, fields hold all field kinds."""
-    shapes = ("shape", "line", "rectangle", "ellipse", "arc", "polygon", "curve", "container", "textart", "ole", "chart")
-    groups = {"tables": ("table",), "pictures": ("picture",), "hyperlinks": ("hyperlink",), "bookmarks": ("bookmark",), "notes": ("footnote", "endnote"), "page_numbers": ("page_number",), "shapes": shapes, "forms": ("form",), "equations": ("equation",), "mail_merge_fields": ("mail_merge_field",), "calculation_fields": ("calculation_field",), "cross_references": ("cross_reference",)}
+    shapes = ("shape", "line", "connect_line", "rectangle", "ellipse", "arc", "polygon", "curve", "container", "textart", "ole", "chart")
+    groups = {"tables": ("table",), "pictures": ("picture",), "hyperlinks": ("hyperlink",), "bookmarks": ("bookmark",), "notes": ("footnote", "endnote"), "page_numbers": ("page_number",), "shapes": shapes, "forms": ("form",), "equations": ("equation",), "mail_merge_fields": ("mail_merge_field",), "calculation_fields": ("calculation_field",), "cross_references": ("cross_reference",), "doc_property_fields": ("doc_property_field",), "date_fields": ("date_field",)}
     groups |= {f"{s}s": (s,) for s in shapes[1:]}
     if selector == "fields":
         return found.where(F.col("control_id").startswith("%"))
