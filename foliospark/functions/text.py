@@ -99,7 +99,7 @@ def sub_map(values: Column, prefix: str) -> Column:
 def flat_paths(json: Column) -> Column:
     """(path, value) of the scalars in a JSON object of two levels, keys joined by dots, in order; other values as JSON text."""
     keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
-    one = lambda o, k: F.get_json_object(o, F.concat(F.lit("$['"), k, F.lit("']")))
+    one = lambda o, k: F.call_function("get_json_object", o, F.concat(F.lit("$['"), k, F.lit("']")))
 
     def level(k: Column) -> Column:
         inner = F.json_object_keys(one(json, k))

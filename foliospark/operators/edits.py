@@ -7,6 +7,7 @@ part by part, attributes and texts are plain column expressions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -36,8 +37,8 @@ def _renumber(rows: list[dict]) -> list[dict]:
     return rows
 
 
-def rewrite(nodes: DataFrame, edit: Callable[[list[dict]], list[dict]], section_index: int | None = None) -> DataFrame:
-    """Edit the rows of each part (of the section, if one is named) in document order.
+def rewrite(nodes: DataFrame, edit: Callable[[list[dict]], list[dict]], section_index: int | None = None, part: str | None = None) -> DataFrame:
+    """Edit the rows of each part (of the section or part, if one is named) in document order.
 
     A part is one task's work, as its order is; the input is read once, so
     edits can follow each other without their plans growing out of hand. Rows
@@ -50,7 +51,7 @@ def rewrite(nodes: DataFrame, edit: Callable[[list[dict]], list[dict]], section_
         import pandas as pd
 
         rows = pdf.sort_values("pre").astype(object).where(pdf.notna(), None).sort_values("pre").to_dict("records")
-        if section_index is None or rows[0]["section_index"] == section_index:
+        if (section_index is None or rows[0]["section_index"] == section_index) and (part is None or rows[0]["part"] == part):
             shared = {k: rows[0][k] for k in ("doc", "part", "section_index")}
             rows = [{**dict.fromkeys(names), **r, **shared} for r in _renumber(edit(rows))]
         out = pd.DataFrame([[r[n] for n in names] for r in rows], columns=names, dtype=object)
@@ -136,6 +137,226 @@ def move_paragraph(nodes: DataFrame, section_index: int, paragraph: int, index:
     return copy_paragraph(nodes, section_index, paragraph, index, keep=False)
 
 
+def _edit_paragraph(nodes: DataFrame, section_index: int, paragraph: int, change: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    """Rewrite the rows of one top-level paragraph; a paragraph that isn't there changes nothing."""
+
+    def edit(rows: list[dict]) -> list[dict]:
+        tops = _tops(rows)
+        i = len(tops) + paragraph if paragraph < 0 else paragraph
+        if not 0 <= i < len(tops):
+            return rows
+        a, b = tops[i]
+        return rows[:a] + change(rows[a:b]) + rows[b:]
+
+    return rewrite(nodes, edit, section_index)
+
+
+def _under(rows: list[dict], depth: int) -> list[list[dict]]:
+    """Subtrees of the elements at a depth, in order."""
+    out: list[list[dict]] = []
+    for r in rows:
+        if r["depth"] == depth:
+            out.append([r])
+        elif r["depth"] > depth and out:
+            out[-1].append(r)
+    return out
+
+
+def set_paragraph_text(nodes: DataFrame, section_index: int, paragraph: int, text: str, char: str = "0") -> DataFrame:
+    """A paragraph's own text; runs that hold section properties or controls stay, without texts of their own."""
+    new = [r | {"depth": r["depth"] + 1} for r in fragment(f'<hp:run charPrIDRef="{char}"><hp:t/></hp:run>')]
+    new[1]["text"] = text
+
+    def change(rows: list[dict]) -> list[dict]:
+        kept = []
+        for run in _under(rows, 2):
+            inner = _under(run, 3)
+            if run[0]["local"] == "run" and any(x[0]["local"] in ("secPr", "ctrl") for x in inner):
+                kept += run[:1] + [r for x in inner if x[0]["local"] != "t" for r in x]
+        return rows[:1] + kept + [dict(r) for r in new]
+
+    return _edit_paragraph(nodes, section_index, paragraph, change)
+
+
+def replace_paragraph_xml(nodes: DataFrame, section_index: int, paragraph: int, xml: str) -> DataFrame:
+    new = fragment(xml)
+    return _edit_paragraph(nodes, section_index, paragraph, lambda rows: [dict(r) for r in new])
+
+
+def append_run_xml(nodes: DataFrame, section_index: int, paragraph: int, xml: str) -> DataFrame:
+    """A new last run of a paragraph (-1: the last one)."""
+    new = [r | {"depth": r["depth"] + 1} for r in fragment(xml)]
+    return _edit_paragraph(nodes, section_index, paragraph, lambda rows: rows + [dict(r) for r in new])
+
+
+def _controls(rows: list[dict]) -> list[tuple[int, int]]:
+    """[begin, end) of a paragraph's controls: what stands in its runs but texts and section properties."""
+    out = []
+    for i, r in enumerate(rows):
+        if r["depth"] == 3 and r["local"] not in ("t", "secPr"):
+            j = i + 1
+            while j < len(rows) and rows[j]["depth"] > 3:
+                j += 1
+            out.append((i, j))
+    return out
+
+
+def _in_run(control: list[dict]) -> list[dict]:
+    return [r | {"depth": r["depth"] + 1} for r in fragment('<hp:run charPrIDRef="0"/>')] + [dict(r) for r in control]
+
+
+def _with_control(rows: list[dict], at: int, control: list[dict]) -> list[dict]:
+    """A run of its own for a control, before the run of the control `at`, or last."""
+    found = _controls(rows)
+    if at >= len(found):
+        return rows + _in_run(control)
+    i = found[at][0]
+    while rows[i]["depth"] > 2:
+        i -= 1
+    return rows[:i] + _in_run(control) + rows[i:]
+
+
+def insert_control_xml_at(nodes: DataFrame, section_index: int, paragraph: int, control: int, xml: str) -> DataFrame:
+    new = [r | {"depth": r["depth"] + 2} for r in fragment(xml)]
+    return _edit_paragraph(nodes, section_index, paragraph, lambda rows: _with_control(rows, control, new))
+
+
+def delete_control(nodes: DataFrame, section_index: int, paragraph: int, control: int) -> DataFrame:
+    """Without one control of a paragraph; one that isn't there changes nothing."""
+
+    def change(rows: list[dict]) -> list[dict]:
+        found = _controls(rows)
+        return rows[: found[control][0]] + rows[found[control][1] :] if control < len(found) else rows
+
+    return _edit_paragraph(nodes, section_index, paragraph, change)
+
+
+def copy_control(nodes: DataFrame, section_index: int, paragraph: int, control: int, to_paragraph: int, to_control: int, keep: bool = True) -> DataFrame:
+    """Copy (or move) a control of a section to before the control `to_control` of another of its paragraphs."""
+
+    def edit(rows: list[dict]) -> list[dict]:
+        tops = _tops(rows)
+        if not (0 <= paragraph < len(tops) and 0 <= to_paragraph < len(tops)):
+            return rows
+        parts = [rows[a:b] for a, b in tops]
+        found = _controls(parts[paragraph])
+        if control >= len(found):
+            return rows
+        i, j = found[control]
+        own = parts[paragraph][i:j]
+        if not keep:
+            parts[paragraph] = parts[paragraph][:i] + parts[paragraph][j:]
+        parts[to_paragraph] = _with_control(parts[to_paragraph], to_control, own)
+        out, at = [], 0
+        for (a, b), new in zip(tops, parts, strict=True):
+            out += rows[at:a] + new
+            at = b
+        return out + rows[at:]
+
+    return rewrite(nodes, edit, section_index)
+
+
+def move_control(nodes: DataFrame, section_index: int, paragraph: int, control: int, to_paragraph: int, to_control: int) -> DataFrame:
+    return copy_control(nodes, section_index, paragraph, control, to_paragraph, to_control, keep=False)
+
+
+HPF, HEADER = "Contents/content.hpf", "Contents/header.xml"
+
+
+def _add_child(rows: list[dict], parent: str, new: list[dict]) -> list[dict]:
+    """With rows as the last child of the first element of a name; without such an element, as they are."""
+    at = next((i for i, r in enumerate(rows) if r["local"] == parent), None)
+    if at is None:
+        return rows
+    depth, end = rows[at]["depth"] + 1, at + 1
+    while end < len(rows) and rows[end]["depth"] >= depth:
+        end += 1
+    return rows[:end] + [r | {"depth": r["depth"] + depth - 1} for r in new] + rows[end:]
+
+
+def _sections_of(rows: list[dict]) -> list[int]:
+    return [int(m[1]) for r in rows if r["local"] == "item" and (m := re.match(P.SECTION, (r["attrs"] or {}).get("href") or ""))]
+
+
+def _count_sections(nodes: DataFrame) -> DataFrame:
+    """The declared number of sections is that of the parts."""
+    n = nodes.where("section_index is not null").groupBy("doc").agg(F.count_distinct("part").alias("_n"))
+    rows = nodes.join(n, "doc", "left")
+    head = (F.col("part") == HEADER) & (F.col("depth") == 0) & F.col("_n").isNotNull()
+    declared = F.map_concat(F.map_filter("attrs", lambda k, _: k != "secCnt"), F.create_map(F.lit("secCnt"), F.col("_n").cast("string")))
+    return rows.withColumn("attrs", F.when(head, declared).otherwise(F.col("attrs"))).select(*nodes.columns)
+
+
+def add_section(nodes: DataFrame, clone_from: int = 0) -> DataFrame:
+    """Clone a section of every document as its last one, with its manifest item, its place in the spine and the count."""
+    top = nodes.where("section_index is not null").groupBy("doc").agg((F.max("section_index") + 1).alias("_next"))
+    name = lambda c: F.concat(F.lit("Contents/section"), c.cast("string"), F.lit(".xml"))
+    new = nodes.where(F.col("section_index") == clone_from).join(top, "doc").withColumn("section_index", F.col("_next")).withColumn("part", name(F.col("_next"))).select(*[F.col(c).cast(nodes.schema[c].dataType) for c in nodes.columns])
+
+    def edit(rows: list[dict]) -> list[dict]:
+        n = max(_sections_of(rows), default=-1) + 1
+        ids = {(r["attrs"] or {}).get("id") for r in rows if r["local"] == "item"}
+        ident = next(x for x in (f"section{n}" + (f"_{k}" if k else "") for k in range(len(ids) + 1)) if x not in ids)
+        rows = _add_child(rows, "manifest", fragment(f'<opf:item id="{ident}" href="Contents/section{n}.xml" media-type="application/xml"/>'))
+        return _add_child(rows, "spine", fragment(f'<opf:itemref idref="{ident}"/>'))
+
+    return _count_sections(rewrite(nodes, edit, part=HPF).unionByName(new))
+
+
+def remove_section(nodes: DataFrame, section_index: int) -> DataFrame:
+    """Without a section, its manifest item and its place in the spine; a document's only section stays."""
+    many = nodes.where("section_index is not null").groupBy("doc").agg(F.count_distinct("part").alias("_n"), F.max(F.when(F.col("section_index") == section_index, F.col("part"))).alias("_gone")).where("_n > 1 and _gone is not null").select("doc", "_gone")
+    rows = nodes.join(many, "doc", "left").where("_gone is null or part <> _gone")
+    items = rows.where((F.col("part") == HPF) & (F.col("local") == "item") & (F.col("attrs")["href"] == F.col("_gone"))).select("doc", F.col("attrs")["id"].alias("_id"), F.col("_gone").alias("_href"))
+    rows = rows.drop("_gone").join(items, "doc", "left")
+    a = lambda k: F.col("attrs")[k]
+    goes = (F.col("part") == HPF) & (((F.col("local") == "item") & (a("href") == F.col("_href"))) | ((F.col("local") == "itemref") & (a("idref") == F.col("_id"))))
+    return _count_sections(rewrite(rows.where(~F.coalesce(goes, F.lit(False))).select(*nodes.columns), lambda rows: rows, part=HPF))
+
+
+#: Names of metadata and the names they are written under.
+META = {"creator": "creator", "subject": "subject", "description": "description", "lastsaveby": "lastsaveby", "created": "CreatedDate", "modified": "ModifiedDate", "date": "date", "keyword": "keyword"}
+
+
+def set_metadata(nodes: DataFrame, **values: str) -> DataFrame:
+    """Set the title, the language and named metadata of every document: the first element of a name gets the value, or a new one is added."""
+    if unknown := set(values) - {"title", "language", *META}:
+        raise ValueError(f"unknown metadata: {sorted(unknown)}")
+
+    def edit(rows: list[dict]) -> list[dict]:
+        for key, value in values.items():
+            tag, name = (key, None) if key in ("title", "language") else ("meta", META[key])
+            at = next((i for i, r in enumerate(rows) if r["local"] == tag and (name is None or (r["attrs"] or {}).get("name") == name)), None)
+            if at is None:
+                new = fragment(f"<opf:{tag}/>" if name is None else f'<opf:meta name="{name}"/>')
+                new[0]["text"] = value
+                rows = _add_child(rows, "metadata", new)
+            else:
+                rows[at]["text"] = value
+        return rows
+
+    return rewrite(nodes, edit, part=HPF)
+
+
+def set_preview_text(parts: DataFrame, text: str) -> DataFrame:
+    return put_part(parts, "Preview/PrvText.txt", text.encode())
+
+
+def append_definition(nodes: DataFrame, tag: str, parent: str, **attrs: str) -> DataFrame:
+    """A new definition (style, paraPr, charPr, memoPr) below `parent` in every header: its id is one more than the largest of its kind, unless given; `itemCnt` of the parent follows."""
+    new = fragment(f"<hh:{tag}/>")
+
+    def edit(rows: list[dict]) -> list[dict]:
+        ids = [int(x) for r in rows if r["local"] == tag and (x := (r["attrs"] or {}).get("id") or "").isdigit()]
+        rows = _add_child(rows, parent, [new[0] | {"attrs": {"id": str(max(ids, default=-1) + 1)} | attrs}])
+        for r in rows:
+            if r["local"] == parent and "itemCnt" in (r["attrs"] or {}):
+                r["attrs"] = dict(r["attrs"]) | {"itemCnt": str(len(ids) + 1)}
+        return rows
+
+    return rewrite(nodes, edit, part=HEADER)
+
+
 def delete_controls(nodes: DataFrame, *tags: str) -> DataFrame:
     """Without the elements of these names in sections, and all that is in them."""
 
@@ -252,3 +473,32 @@ def table_xml(rows: list[list[str]]) -> str:
 def append_control(nodes: DataFrame, section_index: int, xml: str) -> DataFrame:
     """A new last paragraph that holds a control."""
     return insert_paragraph_xml(nodes, section_index, 1 << 30, f'<hp:p id="0" paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0">{xml}</hp:run></hp:p>')
+
+
+def block_xml(kind: str, **values: str) -> str:
+    """XML of a block by any of its names: the alias is resolved, what isn't given is empty or a default."""
+    from foliospark.operators.convert import ALIASES
+
+    name = re.sub(" +", "_", kind.strip().lower())
+    name = ALIASES.get(name, name)
+    if name == "table":
+        return table_xml(values.get("rows") or [[""]])
+    if name == "note":
+        name = {"endNote": "endnote"}.get(values.get("which", ""), "footnote")
+    if name not in CONTROLS:
+        raise ValueError(f"unknown kind of block: {kind}")
+    given = {"id": "1", "type": "rect" if name == "shape" else "edit" if name == "form" else "PAGE", "num": "1", "name": "", "url": "", "script": "", "item": "", "text": "", "part": "", "paragraph": paragraph_xml(values.get("text", ""))}
+    return control_xml(name, **(given | {k: v for k, v in values.items() if v is not None}))
+
+
+def append_block(nodes: DataFrame, kind: str, section_index: int = 0, **values) -> DataFrame:
+    """A new last paragraph with a text or a control, by any of its names."""
+    if re.sub(" +", "_", kind.strip().lower()) in ("paragraph", "text", "para"):
+        return append_paragraph(nodes, section_index, values.get("text", ""))
+    return append_control(nodes, section_index, block_xml(kind, **values))
+
+
+def append_inline(nodes: DataFrame, kind: str, section_index: int = 0, paragraph: int = -1, **values) -> DataFrame:
+    """The same in a run of a paragraph that is there."""
+    xml = block_xml(kind, **values)
+    return append_run_xml(nodes, section_index, paragraph, f'<hp:run charPrIDRef="0">{xml}</hp:run>')

@@ -148,7 +148,7 @@ def span_extents(cells: DataFrame, sizes: DataFrame, group: list[str], at: str,
     rows = cells.join(last, group, "left").withColumn("_to", F.least(F.col(at) + F.col(span), F.col("_last")))
     rows = rows.join(ends.select(*group, F.col("_i").alias("_to"), F.col("_sum").alias("_b")), [*group, "_to"], "left")
     rows = rows.join(ends.select(*group, F.col("_i").alias(at), F.col("_sum").alias("_a")), [*group, at], "left")
-    return rows.withColumn("extent", F.greatest(F.coalesce("_b", F.lit(0)) - F.coalesce("_a", F.lit(0)), F.lit(0))).drop("_last", "_all", "_to", "_a", "_b")
+    return rows.withColumn("extent", F.coalesce("_b", F.lit(0)) - F.coalesce("_a", F.when(F.col(at) >= F.col("_last"), F.col("_all")), F.lit(0))).drop("_last", "_all", "_to", "_a", "_b")
 
 
 def field_pairs(rows: DataFrame, group: str, order: str, opens: Column, closes: Column) -> DataFrame:

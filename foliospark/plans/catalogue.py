@@ -205,6 +205,38 @@ def case_matrix(spark, sf):
     return cases.join(F.broadcast(counts), (cases.r_regionkey == counts.n_regionkey) & (cases.kind == counts.kind), "left").select("r_name", cases.kind, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+@query("select conv_id, coalesce(min(back) filter (a is distinct from b) - 1, count(*))::bigint as suffix from (select coalesce(x.conv_id, y.conv_id) as conv_id, coalesce(x.back, y.back) as back, x.role as a, y.role as b from (select conv_id, role, row_number() over (partition by conv_id order by turn desc) as back from conversations) x full outer join (select conv_id - 1 as conv_id, role, row_number() over (partition by conv_id order by turn desc) as back from conversations where conv_id > 0) y on x.conv_id = y.conv_id and x.back = y.back) where conv_id < (select max(conv_id) from conversations) group by conv_id")
+def common_suffix(spark, sf):
+    c = table(spark, sf, "conversations")
+    return R.common_suffix(c, c.where("conv_id > 0").withColumn("conv_id", F.col("conv_id") - 1), ["conv_id"], "turn", ["role"])
+
+
+@query("select a.conv_id, a.turn, coalesce(sum(length(b.text)), 0)::bigint as extent from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn >= a.turn and b.turn < a.turn + 1 + length(a.text) % 3 group by a.conv_id, a.turn")
+def span_extents(spark, sf):
+    c = table(spark, sf, "conversations")
+    cells = c.select("conv_id", "turn", (1 + F.length("text") % 3).alias("span"))
+    return R.span_extents(cells, c.select("conv_id", F.col("turn").alias("i"), F.length("text").alias("size")), ["conv_id"], "turn", "span", "i", "size").select("conv_id", "turn", F.col("extent").cast("long").alias("extent"))
+
+
+@query("select p_partkey, chr(39) || replace(p_name, chr(39), chr(39) || chr(39)) || chr(39) || '!$' || chr((65 + p_size % 26)::int) || '$2:$' || chr((65 + p_size % 26)::int) || '$' || (greatest(p_size, 1) + 1) as formula, trim(p_name) as sheet from part")
+def chart_ranges(spark, sf):
+    formula = numbers.a1_range(F.col("p_name"), F.col("p_size") % 26, F.col("p_size"))
+    return table(spark, sf, "part").select("p_partkey", formula.alias("formula"), numbers.sheet_anchor(formula).alias("sheet"))
+
+
+@query("select event_id, 'k' as path, json_extract_string(props, '$.k') as value from events")
+def flat_metadata(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.explode(text.flat_paths(F.col("props"))).alias("p")).select("event_id", "p.path", "p.value")
+
+
+@query("select conv_id, turn from conversations c where role = 'assistant' or not exists (select 1 from conversations p where p.conv_id = c.conv_id and p.turn < c.turn and p.role = 'system')")
+def outside_fields(spark, sf):
+    """A system turn opens a field that nothing closes: all user turns after it are skipped."""
+    c = table(spark, sf, "conversations")
+    opened = R.outside_open_fields(c.where("role <> 'assistant'"), ["conv_id"], "turn", F.col("role") == "system", F.lit(False))
+    return opened.select("conv_id", "turn").unionByName(c.where("role = 'assistant'").select("conv_id", "turn"))
+
+
 # -- ordinals, trees, windows ------------------------------------------------------------------
 
 

@@ -18,6 +18,7 @@ from foliospark.operators import validate as V
 from foliospark.plans.catalogue import query, table
 from foliospark.sources import binary as B
 from foliospark.sources import packages as P
+from foliospark.sources.shared import kept
 
 _SUB = '<hp:subList><hp:p id="0" paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0"><hp:t>in @</hp:t></hp:run></hp:p></hp:subList>'
 
@@ -94,8 +95,8 @@ def packages(spark, sf, faults: bool = False) -> DataFrame:
 
 
 def _read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    parts = P.parts(P.entries(files))
-    return parts, P.nodes(parts)
+    parts = kept(P.parts(P.entries(files)), "parts")
+    return parts, kept(P.nodes(parts), "nodes")
 
 
 @query(f"{_BASE}, p(path, kind) as (values ('mimetype', 'mimetype'), ('version.xml', 'version'), ('META-INF/container.xml', 'container'), ('Contents/content.hpf', 'content_hpf'), ('Contents/header.xml', 'header'), ('BinData/pic1.png', 'bindata'), ('Chart/chart1.xml', 'xml')) select doc, path, kind, path = 'mimetype' as stored, 1::bigint as copies from (select distinct doc from d) cross join p union all select distinct doc, 'Contents/section' || section_index || '.xml', 'section', false, 1::bigint from d")
@@ -269,8 +270,8 @@ def compound_files(spark, sf, faults: bool = False) -> DataFrame:
 
 
 def _records(spark, sf, faults: bool = False) -> tuple[DataFrame, DataFrame]:
-    streams = B.streams(compound_files(spark, sf, faults))
-    return streams, B.records(streams)
+    streams = kept(B.streams(compound_files(spark, sf, faults)), "streams")
+    return streams, kept(B.records(streams), "records")
 
 
 @query(f"{_NBASE} select distinct doc, unnest(['FileHeader', 'DocInfo', 'BinData/BIN0001.png']) as path, null::int as section from d union all select distinct doc, 'BodyText/Section' || section_index, section_index from d")
