@@ -337,3 +337,49 @@ def binary_round_trip(spark, sf):
     again = B.streams(B.rebuild(B.encode(records).unionByName(streams.where("path in ('FileHeader', 'BinData/BIN0001.png')").select("doc", "path", "logical"))))
     x, y = streams.select("doc", "path", F.sha2("logical", 256).alias("x")), again.select("doc", "path", F.sha2("logical", 256).alias("y"))
     return x.join(y, ["doc", "path"], "full_outer").groupBy("doc").agg(F.bool_and(F.col("x").eqNullSafe(F.col("y"))).alias("same"))
+
+
+# -- edits of whole documents ------------------------------------------------------------------
+
+
+@query(f"{_BASE} select doc, count(distinct section_index) + 1 as sections, (count(distinct section_index) + 1)::varchar as declared, count(*) + count(*) filter (section_index = 0) as paragraphs, 0::bigint as issues from d group by doc")
+def package_section_edits(spark, sf):
+    """The first section cloned as the last: parts, the declared count, paragraphs, and issues of the package written and read again."""
+    _, nodes = _read(packages(spark, sf))
+    parts, again = _read(P.assemble(P.serialize(E.add_section(nodes, 0)).select("doc", F.lit(0).alias("entry_ord"), "path", "content")))
+    top = again.where((F.col("depth") == 1) & (F.col("local") == "p") & F.col("section_index").isNotNull())
+    out = top.groupBy("doc").agg(F.countDistinct("part").alias("sections"), F.count("*").alias("paragraphs"))
+    declared = again.where((F.col("part") == E.HEADER) & (F.col("depth") == 0)).select("doc", F.col("attrs")["secCnt"].alias("declared"))
+    issues = V.spine_itemref(parts, again).unionByName(V.header_section_count(parts, again)).unionByName(V.manifest_item(parts, again)).groupBy("doc").agg(F.count("*").alias("n"))
+    return out.join(declared, "doc").join(issues, "doc", "left").select("doc", "sections", "declared", "paragraphs", F.coalesce("n", F.lit(0)).alias("issues"))
+
+
+@query(f"{_BASE} select distinct doc, 'new title' as title, 'ko' as language, 'some words' as keyword, 'calm' as mood from d")
+def package_metadata_edits(spark, sf):
+    """Title replaced, a keyword added; the rest stays."""
+    _, nodes = _read(packages(spark, sf))
+    return N.metadata(E.set_metadata(nodes, title="new title", keyword="some words")).select("doc", "title", "language", "keyword", F.col("extra")["mood"].alias("mood"))
+
+
+@query(f"{_BASE} select doc, paragraph, case when paragraph = 0 then 'set' || case when k in (0, 1, 5, 6, 7) then 'in ' || n else '' end else text || {_inner} end as text from d where section_index = 0 and (paragraph > 0 or k not between 12 and 15)")
+def package_text_edits(spark, sf):
+    """The first paragraph's own text set: controls that are kept keep their text, tables in runs of their own without controls go."""
+    _, nodes = _read(packages(spark, sf))
+    changed = N.paragraph_text(E.set_paragraph_text(nodes, 0, 0, "set")).where("section_index = 0")
+    fields = N.select(nodes, "fields").where("section_index = 0 and paragraph = 0").select("doc", "paragraph")
+    order = F.when(F.col("paragraph") == 0, F.regexp_replace("text", r"^(in \d+)set$", "set$1")).otherwise(F.col("text"))
+    return changed.join(fields, ["doc", "paragraph"], "left_anti").select("doc", F.col("paragraph"), order.alias("text"))
+
+
+@query(f"{_BASE} select doc, s as section_index, case when s = 0 then 3 else 1 end::bigint as appended from (select distinct doc from d) cross join (values (0), (1)) t(s)")
+def package_drafts(spark, sf):
+    """Blocks appended to documents read from packages, to the first section and to a new one."""
+    from foliospark.operators.blocks import Draft
+
+    _, nodes = _read(packages(spark, sf))
+    first = N.blocks(nodes).where("section_index = 0")
+    draft = Draft(first.select("doc").distinct(), first)
+    draft.append_paragraph("end").append_bookmark("m").append_footnote("n").append_section()
+    grown = draft.blocks().groupBy("doc", "section_index").agg(F.count("*").alias("m"))
+    was = first.groupBy("doc", "section_index").agg(F.count("*").alias("n"))
+    return grown.join(was, ["doc", "section_index"], "left").select("doc", "section_index", (F.col("m") - F.coalesce("n", F.lit(0))).alias("appended"))
