@@ -175,8 +175,13 @@ def table_matrices(nodes: DataFrame, most: int = 10_000) -> DataFrame:
     (row, column, text) of the cells it has as `cells`, in order, and no grid.
     """
     t = children(nodes, "tbl").select("doc", "part", F.col("pre").alias("table"), F.coalesce(attr("rowCnt").try_cast("int"), F.lit(0)).alias("n"), F.coalesce(attr("colCnt").try_cast("int"), F.lit(0)).alias("m"))
-    last = cells(nodes).groupBy("doc", "part", "table", "row", "column").agg(F.max_by("text", "pre").alias("text"))
-    got = last.groupBy("doc", "part", "table").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("row", "column"), "text"))).alias("at"))
+    return grids(t, cells(nodes), ["doc", "part", "table"], "pre", most)
+
+
+def grids(t: DataFrame, found: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
+    """(keys, rows, cells): grids of n x m texts for tables `t` from their cells (keys, row, column, text), see table_matrices."""
+    last = found.groupBy(*keys, "row", "column").agg(F.max_by("text", order).alias("text"))
+    got = last.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("row", "column"), "text"))).alias("at"))
     count = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     empty = F.create_map().cast("map<struct<row:int,column:int>,string>")
     cell = lambda r, c: F.coalesce(F.try_element_at(F.coalesce("at", empty), F.struct(r.alias("row"), c.alias("column"))), F.lit(""))
@@ -184,7 +189,7 @@ def table_matrices(nodes: DataFrame, most: int = 10_000) -> DataFrame:
     held = F.transform(F.map_entries(F.coalesce("at", empty)), lambda e: F.struct(e.key.row.alias("row"), e.key.column.alias("column"), e.value.alias("text")))
     held = F.array_sort(F.filter(held, lambda e: e.row.between(0, F.col("n") - 1) & e.column.between(0, F.col("m") - 1)))
     small = F.col("n").cast("long") * F.col("m") <= most
-    return t.join(got, ["doc", "part", "table"], "left").select("doc", "part", "table", F.when(small, grid).alias("rows"), F.when(~small, held).alias("cells"))
+    return t.join(got, keys, "left").select(*keys, F.when(small, grid).alias("rows"), F.when(~small, held).alias("cells"))
 
 
 def section_settings(nodes: DataFrame) -> DataFrame:
@@ -218,7 +223,9 @@ def blocks(nodes: DataFrame) -> DataFrame:
     tag = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
     controls = without_chart_fallbacks(nodes.where(F.col("section_index").isNotNull() & F.col("local").isin(*kinds)), nodes)
     hyper = F.when((F.col("local") == "fieldBegin") & (field_type() == "HYPERLINK"), "hyperlink")
-    rows = controls.select("doc", "section_index", "paragraph", "pre", F.coalesce(hyper, tag[F.col("local")]).alias("kind"), F.lit(None).cast("string").alias("text"), "attrs")
+    kind = F.coalesce(hyper, tag[F.col("local")])
+    which = F.when(kind.isin("shape", "note", "auto_number"), F.map_concat(F.map_filter("attrs", lambda k, _: k != "which"), F.create_map(F.lit("which"), "local"))).otherwise(F.col("attrs"))
+    rows = controls.select("doc", "section_index", "paragraph", "pre", kind.alias("kind"), F.lit(None).cast("string").alias("text"), which.alias("attrs"))
     owned = ("tbl", "footNote", "endNote", "hiddenComment", "header", "footer", *SHAPES)
     t = nodes.where("local = 't' and section_index is not null")
     inner = within(t, children(nodes, *owned)).select("doc", "part", "pre").distinct()

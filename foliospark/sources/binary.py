@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.numbers import control_id, little_endian, utf16_field
 from foliospark.operators import relational as R
+from foliospark.operators.nodes import grids
 from foliospark.operators.validate import ISSUE, issues
 from foliospark.sources import compound
 
@@ -27,7 +28,7 @@ TAGS = {
 #: What the counts of id mappings count, in their order.
 ID_MAPPINGS = ("bin_data", "ko_fonts", "en_fonts", "cn_fonts", "jp_fonts", "other_fonts", "symbol_fonts", "user_fonts", "border_fills", "char_shapes", "tab_defs", "numberings", "bullets", "para_shapes", "styles", "memo_shapes", "track_changes", "track_change_authors")
 #: Control ids -> kinds.
-CONTROLS = {"tbl ": "table", "bokm": "bookmark", "fn  ": "footnote", "en  ": "endnote", "pgnp": "page_number", "eqed": "equation", "form": "form", "head": "header", "foot": "footer", "secd": "section", "cold": "column", "atno": "auto_number", "nwno": "auto_number", "%hlk": "hyperlink", "%mai": "mail_merge_field", "%for": "calculation_field", "%cal": "calculation_field", "%ref": "cross_reference", "%pag": "cross_reference", "%cro": "cross_reference", "%doc": "doc_property_field", "%dat": "date_field"}
+CONTROLS = {"tbl ": "table", "bokm": "bookmark", "fn  ": "footnote", "en  ": "endnote", "pgnp": "page_number", "eqed": "equation", "form": "form", "mrof": "form", "omem": "memo", "head": "header", "foot": "footer", "secd": "section", "cold": "column", "atno": "auto_number", "nwno": "auto_number", "%hlk": "hyperlink", "%mai": "mail_merge_field", "%for": "calculation_field", "%cal": "calculation_field", "%ref": "cross_reference", "%pag": "cross_reference", "%cro": "cross_reference", "%doc": "doc_property_field", "%dat": "date_field"}
 #: Shapes by the records below a graphic control, the first that is there.
 SHAPES = ("chart_data", "ole", "picture", "container", "textart", "line", "rectangle", "ellipse", "arc", "polygon", "curve")
 
@@ -195,7 +196,7 @@ def document_text(found: DataFrame) -> DataFrame:
     return found.select("doc").distinct().join(R.joined_text(rows, ["doc"], "at", "text", "\n"), "doc", "left").select("doc", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _below(rows: DataFrame, tops: DataFrame) -> DataFrame:
+def below(rows: DataFrame, tops: DataFrame) -> DataFrame:
     """Records at any depth below each of `tops` (doc, stream, top), by their lists of ancestors."""
     own = rows.select("doc", "stream", "ord", "tag_id", "size", "payload", F.explode("ancestors").alias("top"))
     return own.join(tops.select("doc", "stream", F.col("ord").alias("top")), ["doc", "stream", "top"])
@@ -211,7 +212,7 @@ def controls(rows: DataFrame) -> DataFrame:
     heads = body.where(tag("ctrl_header")).withColumn("control_id", control_id(F.col("payload")))
     graphic = heads.where("control_id = 'gso '")
     rank = F.array_position(F.array(*[F.lit(TAGS[s]) for s in SHAPES]), F.col("tag_id"))
-    shapes = _below(rows.where("section_index is not null"), graphic).groupBy("doc", "stream", F.col("top").alias("ord")).agg(F.min(F.when(rank > 0, rank)).alias("r"), F.max(tag("shape_component") & F.startswith("payload", F.lit(CONNECT_LINE))).alias("connects"))
+    shapes = below(rows.where("section_index is not null"), graphic).groupBy("doc", "stream", F.col("top").alias("ord")).agg(F.min(F.when(rank > 0, rank)).alias("r"), F.max(tag("shape_component") & F.startswith("payload", F.lit(CONNECT_LINE))).alias("connects"))
     name = F.element_at(F.array(*[F.lit({"chart_data": "chart"}.get(s, s)) for s in SHAPES]), F.col("r").cast("int"))
     known = F.create_map(*[F.lit(x) for kv in CONTROLS.items() for x in kv])[F.col("control_id")]
     name = F.when(F.coalesce("connects", F.lit(False)) & (name == "line"), "connect_line").otherwise(name)
@@ -222,13 +223,40 @@ def controls(rows: DataFrame) -> DataFrame:
 def select(found: DataFrame, selector: str) -> DataFrame:
     """Controls of a selector: shapes hold oles and charts, lines don't hold connecting lines, fields hold all field kinds."""
     shapes = ("shape", "line", "connect_line", "rectangle", "ellipse", "arc", "polygon", "curve", "container", "textart", "ole", "chart")
-    groups = {"tables": ("table",), "pictures": ("picture",), "hyperlinks": ("hyperlink",), "bookmarks": ("bookmark",), "notes": ("footnote", "endnote"), "page_numbers": ("page_number",), "shapes": shapes, "forms": ("form",), "equations": ("equation",), "mail_merge_fields": ("mail_merge_field",), "calculation_fields": ("calculation_field",), "cross_references": ("cross_reference",), "doc_property_fields": ("doc_property_field",), "date_fields": ("date_field",)}
+    groups = {"tables": ("table",), "pictures": ("picture",), "hyperlinks": ("hyperlink",), "bookmarks": ("bookmark",), "notes": ("footnote", "endnote"), "page_numbers": ("page_number",), "shapes": shapes, "forms": ("form",), "memos": ("memo",), "equations": ("equation",), "mail_merge_fields": ("mail_merge_field",), "calculation_fields": ("calculation_field",), "cross_references": ("cross_reference",), "doc_property_fields": ("doc_property_field",), "date_fields": ("date_field",)}
     groups |= {f"{s}s": (s,) for s in shapes[1:]}
     if selector == "fields":
         return found.where(F.col("control_id").startswith("%"))
     return found.where(F.col("kind").isin(*groups[selector]))
 
 
+def table_cells(rows: DataFrame) -> DataFrame:
+    """(doc, section_index, table, ord, row, column, row_span, col_span, text) of native tables' cells; `table` is the control's place.
+
+    A cell is a list below the control after its table record; its paragraphs,
+    which follow it, are joined by line breaks. Tables within keep their own cells.
+    """
+    body = rows.where("section_index is not null")
+    p = F.col("payload")
+    tables = body.where(tag("ctrl_header") & (control_id(p) == "tbl ")).select("doc", "section_index", F.col("ord").alias("parent"))
+    inner = body.where(tag("list_header") | tag("para_header") | tag("table")).join(tables, ["doc", "section_index", "parent"])
+    order = Window.partitionBy("doc", "section_index", "parent").orderBy("ord")
+    inner = inner.withColumns({"cell": F.max(F.when(tag("list_header"), F.col("ord"))).over(order), "seen": F.max(tag("table")).over(order)}).where("seen")
+    found = paragraphs(rows).select("doc", "section_index", "ord", F.regexp_replace("text", "\r", "").alias("text"))
+    texts = R.joined_text(inner.where(tag("para_header")).select("doc", "section_index", "ord", "cell").join(found, ["doc", "section_index", "ord"]), ["doc", "section_index", "cell"], "ord", "text", "\n")
+    word = lambda at, other: F.coalesce(little_endian(p, at, 2), F.lit(other)).cast("int")
+    cells = inner.where(tag("list_header")).select("doc", "section_index", F.col("parent").alias("table"), "ord", word(10, 0).alias("row"), word(8, 0).alias("column"), word(14, 1).alias("row_span"), word(12, 1).alias("col_span"))
+    return cells.join(texts.withColumnRenamed("cell", "ord"), ["doc", "section_index", "ord"], "left").select("doc", "section_index", "table", "ord", "row", "column", "row_span", "col_span", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def table_matrices(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """(doc, section_index, table, rows, cells): grids of native tables, as of `nodes.table_matrices`."""
+    p, at = F.col("payload"), ["doc", "section_index", "table"]
+    size = lambda i: F.coalesce(little_endian(p, i, 2), F.lit(0)).cast("int")
+    t = rows.where(tag("table") & F.col("section_index").isNotNull()).select("doc", "section_index", F.col("parent").alias("table"), size(4).alias("n"), size(6).alias("m"))
+    return grids(t, table_cells(rows), at, "ord", most)
+
+
 # -- document information ----------------------------------------------------------------
 
 
@@ -324,10 +352,10 @@ def lint(found: DataFrame, rows: DataFrame) -> DataFrame:
     out.append(issues(p.where("style_id >= styles"), "docinfo_reference", said("Paragraph references missing style id %d.", "style_id"), context="ParagraphHeader", **where))
     ctrl = controls(rows)
     body = rows.where("section_index is not null")
-    need = [("gso ", ("shape_component", "chart_data"), "Graphic control does not contain a shape component or chart data record."), ("form", ("form_object",), "Form control does not contain a form object record."), ("tbl ", ("table",), "Table control does not contain a table record.")]
+    need = [("gso ", ("shape_component", "chart_data"), "Graphic control does not contain a shape component or chart data record."), *((f, ("form_object",), "Form control does not contain a form object record.") for f in ("form", "mrof")), ("tbl ", ("table",), "Table control does not contain a table record.")]
     for cid, wanted, text in need:
         own = ctrl.where(F.col("control_id") == cid)
-        have_it = _below(body, own).where(F.col("tag_id").isin(*[TAGS[w] for w in wanted])).select("doc", "stream", F.col("top").alias("ord"))
+        have_it = below(body, own).where(F.col("tag_id").isin(*[TAGS[w] for w in wanted])).select("doc", "stream", F.col("top").alias("ord"))
         out.append(issues(own.join(have_it, ["doc", "stream", "ord"], "left_anti"), "control_subtree", text, **where))
     for name, least, text in (("picture", 73, "Picture payload is shorter than the expected 73-byte minimum."), ("ole", 20, "OLE payload is shorter than the expected 20-byte minimum.")):
         out.append(issues(body.where(tag(name) & (F.col("size") < least)), "payload_sanity", text, section_index=F.col("section_index")))
@@ -384,3 +412,40 @@ def record_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Records that differ by place in their stream."""
     cut = lambda r: r.select("stream", "ord", "tag_id", "level", F.sha2("payload", 256).alias("digest"))
     return R.positional_diff(cut(a), cut(b), ["stream", "ord"], ["tag_id", "level", "digest"])
+
+
+def subtree_diff(a: DataFrame, b: DataFrame, kind: str = "shape_component") -> DataFrame:
+    """Records that differ below records of a kind, by place below the nth one of each stream."""
+
+    def cut(rows: DataFrame) -> DataFrame:
+        tops = R.ordinal(rows.where(tag(kind)), ["doc", "stream"], [F.col("ord")], "nth", 0).select("doc", "stream", F.col("ord").alias("top"), "nth", F.col("level").alias("base"))
+        own = rows.withColumn("top", F.explode(F.concat("ancestors", F.array("ord")))).join(tops, ["doc", "stream", "top"])
+        return own.select("stream", "nth", (F.col("ord") - F.col("top")).alias("at"), "tag_id", (F.col("level") - F.col("base")).alias("depth"), F.sha2("payload", 256).alias("digest"))
+
+    return R.positional_diff(cut(a), cut(b), ["stream", "nth", "at"], ["tag_id", "depth", "digest"])
+
+
+def layout_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Entries of two files' directories that differ, by path."""
+    return R.positional_diff(a.drop("doc"), b.drop("doc"), ["path"], ["kind", "start", "size"])
+
+
+def capacities(found: DataFrame) -> DataFrame:
+    """(doc, path, capacity, needed, fits): whether each stream's `logical` bytes, deflated where the header asks, fit in the room of its `raw` ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(deflate(b.as_py() or b"")) if packed else len(b.as_py() or b"") for b, packed in zip(batch.column(3), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64())], ["doc", "path", "capacity", "needed"])
+
+    packed = F.coalesce("compressed", F.lit(False)) & (F.col("path").startswith("BodyText/") | (F.col("path") == "DocInfo"))
+    rows = found.where("path is not null").join(file_header(found).select("doc", "compressed"), "doc", "left").select("doc", "path", F.octet_length("raw").cast("long").alias("capacity"), "logical", packed.alias("packed"))
+    return rows.mapInArrow(run, "doc string, path string, capacity long, needed long").withColumn("fits", F.col("needed") <= F.col("capacity"))
+
+
+def audit(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc, streams, same, changed, added, removed): streams of files before and after a save, by digest."""
+    x = before.where("path is not null").select("doc", "path", F.sha2("logical", 256).alias("x"))
+    y = after.where("path is not null").select("doc", "path", F.sha2("logical", 256).alias("y"))
+    a, b = F.col("x"), F.col("y")
+    return x.join(y, ["doc", "path"], "full_outer").groupBy("doc").agg(F.count("*").alias("streams"), F.count_if(a == b).alias("same"), F.count_if(a != b).alias("changed"), F.count_if(a.isNull()).alias("added"), F.count_if(b.isNull()).alias("removed"))
