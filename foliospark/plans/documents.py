@@ -383,3 +383,52 @@ def package_drafts(spark, sf):
     grown = draft.blocks().groupBy("doc", "section_index").agg(F.count("*").alias("m"))
     was = first.groupBy("doc", "section_index").agg(F.count("*").alias("n"))
     return grown.join(was, ["doc", "section_index"], "left").select("doc", "section_index", (F.col("m") - F.coalesce("n", F.lit(0))).alias("appended"))
+
+
+# -- drafts as binary documents ----------------------------------------------------------------
+
+
+def _draft_files(spark, sf) -> DataFrame:
+    """(doc, content): compound files of drafts, one a conversation, with a block of every kind."""
+    from foliospark.operators import convert
+    from foliospark.operators.blocks import Draft
+
+    name = F.col("conv_id").cast("string")
+    docs = _turns(spark, sf).select("doc", "conv_id").distinct()
+    d = Draft(docs).append_paragraph(F.concat(F.lit("p "), name)).append_table(2, 2, [["a", "b"], ["c"]]).append_hyperlink(F.concat(F.lit("http://x.org/"), name), "shown").append_bookmark(F.concat(F.lit("m"), name))
+    d.append_mail_merge_field("who", shown="w").append_calculation_field("1+2", shown="3").append_cross_reference("m", shown="see").append_doc_property_field("author", shown="me").append_date_field(shown="now")
+    d.append_footnote(F.concat(F.lit("f "), name)).append_endnote("e").append("form", "label", name="n").append("memo", F.concat(F.lit("c "), name)).append("chart", "title").append("auto_number", num=7)
+    d.append("header", "top").append("footer", F.concat(F.lit("page "), name)).append("equation", "x over y").append("shape", "in").append("shape", which="line").append("picture", data="UE5H").append("ole")
+    return convert.to_binary(kept(d.blocks(), "blocks"))
+
+
+#: What is read of a draft: kind, text and naming attribute, where `#` is the document's number.
+_DRAWN = (
+    ("table", '[["a","b"],["c",""]]', ""), ("hyperlink", "", "http://x.org/#"), ("bookmark", "", "m#"), ("field", "", "%mai"), ("field", "", "%for"), ("field", "", "%cro"), ("field", "", "%doc"), ("field", "", "%dat"), ("note", "f #", "footNote"),
+    ("note", "e", "endNote"), ("form", "label", "n"), ("memo", "c #", ""), ("chart", "title", ""), ("auto_number", "", "newNum"), ("header", "top", "BOTH"), ("footer", "page #", "BOTH"), ("equation", "x over y", ""), ("shape", "in", "rect"), ("shape", "", "line"), ("picture", "", ""), ("ole", "", ""),
+)
+_drawn = ", ".join(f"({i}, '{k}', '{t}', '{n}')" for i, (k, t, n) in enumerate(_DRAWN))
+
+
+@query(f"select 'c' || conv_id as doc, nth, kind, replace(text, '#', conv_id::varchar) as text, replace(name, '#', conv_id::varchar) as name from (select distinct conv_id from conversations) cross join (values {_drawn}) v(nth, kind, text, name)")
+def binary_drafts(spark, sf):
+    """Blocks of every kind written to compound files and read from them: texts and naming attributes, in order."""
+    from foliospark.operators import convert
+    from foliospark.operators import relational as R
+
+    found = convert.binary_blocks(kept(B.records(B.streams(_draft_files(spark, sf))), "records")).where("kind <> 'paragraph'")
+    at = lambda k: F.try_element_at("attrs", F.lit(k))
+    name = F.when(F.col("kind") == "field", at("type")).when(F.col("kind").isin("header", "footer"), at("applyPageType")).otherwise(F.coalesce(at("url"), at("which"), at("name"), F.lit("")))
+    return R.ordinal(found, ["doc"], [F.col("ord")], "nth", 0).select("doc", F.col("nth").cast("int").alias("nth"), "kind", F.coalesce("text", F.lit("")).alias("text"), name.alias("name"))
+
+
+@query("select 'c' || conv_id as doc, 0::bigint as issues, 1::bigint as bin_data, 'p ' || conv_id as preview, true as fits from (select distinct conv_id from conversations)")
+def binary_draft_checks(spark, sf):
+    """Drafts as compound files: lint, binary data, preview, and the room of streams that did not change."""
+    streams = kept(B.streams(_draft_files(spark, sf)), "streams")
+    records = kept(B.records(streams), "records")
+    issues = B.lint(streams, records).groupBy("doc").agg(F.count("*").alias("n"))
+    preview = streams.where("path = 'PrvText'").select("doc", F.decode("logical", "UTF-16LE").alias("preview"))
+    room = B.capacities(streams).groupBy("doc").agg(F.bool_and("fits").alias("fits"))
+    out = B.id_mappings(records).select("doc", F.col("counts")["bin_data"].alias("bin_data")).join(preview, "doc").join(room, "doc").join(issues, "doc", "left")
+    return out.select("doc", F.coalesce("n", F.lit(0)).alias("issues"), "bin_data", "preview", "fits")
