@@ -11,11 +11,12 @@ A search takes the posting lists of its terms shard by shard. Between two
 neighbouring ends of blocks, every list stands in one block: such a window is
 where all shallow pointers stay. The bound of a window is the sum of the
 weighted maxima of the blocks that its pointers stand in, found from the
-blocks' heads alone. Windows are walked in ascending order of document, the
-threshold is the least of the best documents so far, and blocks are
-decompressed only where the bound of a window passes it. The threshold starts
-from heads too: where k blocks of a list have a maximum of at least x, k
-documents score that much.
+blocks' heads alone. Lists with fewer postings than there are windows are
+walked by document instead, as their blocks span too many windows to bound
+any. Windows are taken in ascending order of document, the threshold is the
+least of the best documents so far, and blocks are decompressed only where the
+bound of a window passes it. The threshold starts from heads too: where k
+blocks of a list have a maximum of at least x, k documents score that much.
 """
 
 from __future__ import annotations
@@ -200,7 +201,7 @@ class _List:
         self.firsts, self.lasts, self.tops, self.data = firsts, lasts, tops.astype(np.int64), data
         self.wide, self.high = widths >> 3, widths & 7
         self.size = np.full(len(firsts), BLOCK)
-        self.size[-1] = df - BLOCK * (len(firsts) - 1)
+        self.df, self.size[-1] = df, df - BLOCK * (len(firsts) - 1)
         self.begin = np.concatenate([[0], np.cumsum(self.size * (self.wide + self.high))])
         self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -213,6 +214,10 @@ class _List:
             self.held[b] = doc, impact(count, m[doc])
         return self.held[b]
 
+    def blocks(self, some, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.block(b, m) for b in some]
+        return parts[0] if len(parts) == 1 else tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
 
 def best(lists: list[tuple[int, _List]], m: np.ndarray, k: int, score: np.ndarray, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """The k best documents (highest score first, then lowest place) of a shard and their scores.
@@ -220,38 +225,50 @@ def best(lists: list[tuple[int, _List]], m: np.ndarray, k: int, score: np.ndarra
     `lists` has the weight of each term, times its occurrences in the item, and
     its postings; `score` is zeros, one a document, and is left so.
     """
-    ends = np.unique(np.concatenate([x.lasts for _, x in lists]))
+    heads = len(np.unique(np.concatenate([x.lasts for _, x in lists])))
+    dense = [(w, x) for w, x in lists if x.df > heads]
+    ends = np.unique(np.concatenate([np.array([len(m) - 1]), *(x.lasts for _, x in dense)]))
     bound = np.zeros(len(ends), np.int64)
-    stands = []
+    stands, known = [], []
     low = 0  # what documents must pass: one less than k documents are sure to have
     for w, x in lists:
-        at = np.searchsorted(x.lasts, ends)
-        there = at < len(x.lasts)
-        there[there] = x.firsts[at[there]] <= ends[there]
-        bound[there] += w * x.tops[at[there]]
-        stands.append(np.where(there, at, -1))
         if len(x.tops) >= k:
             low = max(low, w * int(np.partition(x.tops, len(x.tops) - k)[len(x.tops) - k]) - 1)
+        if x.df > heads:
+            at = np.searchsorted(x.lasts, ends)
+            there = at < len(x.lasts)
+            there[there] = x.firsts[at[there]] <= ends[there]
+            bound[there] += w * x.tops[at[there]]
+            stands.append(np.where(there, at, -1))
+        else:
+            doc, add = x.blocks(range(len(x.tops)), m)
+            window = np.searchsorted(ends, doc)
+            first = np.flatnonzero(np.diff(window, prepend=-1))
+            bound[window[first]] += w * np.maximum.reduceat(add, first)
+            known.append((w, doc, add, window))
+            if x.df >= k:
+                low = max(low, w * int(np.partition(add, x.df - k)[x.df - k]) - 1)
     docs, scores, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     while at < len(ends):
         chosen = at + np.flatnonzero(bound[at : at + step] > low)
         at, step = at + step, step * 2
         if not len(chosen):
             continue
-        inside = np.zeros(len(ends) + 1, bool)
+        inside = np.zeros(len(ends), bool)
         inside[chosen] = True
         seen = []
-        for (w, x), stand in zip(lists, stands, strict=True):
+        for w, doc, add, window in known:
+            here = inside[window]
+            score[doc[here]] += w * add[here]
+            seen.append(doc[here])
+        for (w, x), stand in zip(dense, stands, strict=True):
             blocks = np.unique(stand[chosen])
-            blocks = blocks[blocks >= 0]
-            if not len(blocks):
-                continue
-            parts = [x.block(b, m) for b in blocks.tolist()]
-            doc, add = (np.concatenate(p) for p in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
-            here = inside[np.searchsorted(ends, doc)]
-            doc = doc[here]
-            score[doc] += w * add[here]
-            seen.append(doc)
+            blocks = blocks[blocks >= 0].tolist()
+            if blocks:
+                doc, add = x.blocks(blocks, m)
+                here = inside[np.searchsorted(ends, doc)]
+                score[doc[here]] += w * add[here]
+                seen.append(doc[here])
         found = np.unique(np.concatenate(seen))
         got = score[found]
         score[found] = 0
