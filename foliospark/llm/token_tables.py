@@ -23,11 +23,12 @@ from . import scratch
 
 #: The end id of the dealt format, words held at a time and the longest one held, the largest tokenizer file that is broadcast, the most parts whose totals are.
 END, HELD, LONG, LARGEST, PARTS = 2, 1 << 16, 64, 64 << 20, 1 << 17
-#: Parquet settings: bytes of a row group and a page, rows of a page, encodings by column.
+#: Parquet settings: bytes and rows of a row group and of a page, encodings by column.
 LAYOUT = {
     "compression": "zstd",
     "parquet.writer.version": "v2",
     "parquet.block.size": 16 << 20,
+    "parquet.block.row.count.limit": 1 << 16,
     "parquet.page.size": 64 << 10,
     "parquet.page.row.count.limit": 256,
     "parquet.dictionary.page.size": 1 << 20,

@@ -107,12 +107,12 @@ def test_encodings_row_groups_and_indexes(spark, tmp_path):
     docs = spark.range(20_000, numPartitions=2).selectExpr("id doc_id", "concat('alpha beta ', id, repeat(' gamma', cast(id % 50 as int))) text").coalesce(1)
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        token_tables.write(docs, f"file://{tmp_path}/t", TOKENIZER, layout={"parquet.block.size": 256 << 10})
+        token_tables.write(docs, f"file://{tmp_path}/t", TOKENIZER, layout={"parquet.block.row.count.limit": 6000})
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     (file,) = tmp_path.glob("t/*.parquet")
     meta = pq.ParquetFile(file).metadata
-    assert meta.num_row_groups > 1 and sum(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) == 20_000
+    assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [6000, 6000, 6000, 2000]
     columns = {meta.row_group(0).column(i).path_in_schema: meta.row_group(0).column(i) for i in range(meta.num_columns)}
     assert all(c.has_column_index and c.has_offset_index for c in columns.values())
     (ids,) = (c for name, c in columns.items() if name.startswith("ids"))
