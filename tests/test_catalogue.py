@@ -1,7 +1,7 @@
 import pytest
 from oracle import compare
 
-from foliospark.plans import catalogue, documents  # noqa: F401  (documents adds its queries to the catalogue)
+from foliospark.plans import catalogue, documents, structure  # noqa: F401  (these add their queries to the catalogue)
 
 SF = "/root/testdata/sf0.001"
 
