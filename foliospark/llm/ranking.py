@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import scratch, words
 
 #: Postings of a block; bytes of text and documents of a shard; bytes of items that are searched at a time.
-BLOCK, SHARD_BYTES, SHARD_DOCS, ITEM_BYTES = 128, 32 << 20, 1 << 18, 4 << 20
+BLOCK, SHARD_BYTES, SHARD_DOCS, ITEM_BYTES = 128, 16 << 20, 1 << 18, 4 << 20
 #: Fixed value: what separates terms.
 SEPARATORS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
