@@ -6,8 +6,8 @@ point, with no training and no vocabulary. The length of that offset array is
 n; the offsets of two ranks cut the text in three.
 
 A match looks at one code point only, so the offsets of a text are those of its
-pieces one after another. Texts are taken piece by piece (at spaces), and equal
-pieces are matched once.
+pieces one after another. Texts are cut into short pieces, and equal pieces are
+matched once.
 """
 
 from __future__ import annotations
@@ -23,41 +23,45 @@ from pyspark.sql import functions as F
 
 #: Marks before prefix, suffix and middle.
 MARKS = ("<P>", "<S>", "<M>")
-#: Code points matched at a time, pieces held at a time and the longest one held, code points after which a batch is given back.
-PIECE, HELD, LONG, BATCH = 4096, 1 << 16, 64, 8 << 20
+#: Where texts are cut into pieces: after common letters and spaces, so that few pieces differ; anywhere in what has none.
+CUTS = re.compile(r"[^ aeiou]{0,8}[ aeiou]|[^ aeiou]{1,8}")
+#: Pieces held at a time, code points after which a batch is given back.
+HELD, BATCH = 1 << 17, 8 << 20
 
 
 class Units:
-    """Counts code points by isolated matches."""
+    """Cuts texts into code points by isolated matches, and equal pieces of texts once."""
 
     def __init__(self) -> None:
         from tokenizers import Regex, pre_tokenizers
 
         self.split = pre_tokenizers.Split(Regex(r"[\s\S]"), behavior="isolated")
-        self.held: dict[str, list[int]] = {}
-
-    def _starts(self, piece: str) -> list[int]:
-        """Where the units of a piece begin."""
-        found = self.held.get(piece)
-        if found is None:
-            found = [at for _, (at, _) in self.split.pre_tokenize_str(piece)] if piece else []
-            if len(self.held) >= HELD:
-                self.held.clear()
-            if len(piece) <= LONG:
-                self.held[piece] = found
+        self.held: dict[str, int] = {}
+
+    def offsets(self, piece: str) -> list[tuple[int, int]]:
+        """(start, end) of each unit of a piece; the matches must cover it."""
+        found = [at for _, at in self.split.pre_tokenize_str(piece)]
+        if found[-1][1] != len(piece):
+            raise ValueError("the matches don't cover a text")
         return found
 
     def pieces(self, text: str) -> tuple[list[str], np.ndarray]:
-        """The pieces of a text and the number of units before each, and in all."""
-        parts = re.findall(rf"[^ ]{{1,{PIECE}}}| ", text) if len(text) > PIECE and re.search(rf"[^ ]{{{PIECE + 1}}}", text) else re.split("( )", text)
-        return parts, np.cumsum([0, *(len(self._starts(p)) for p in parts)])
+        """The pieces of a text, and the number of units before each and in all."""
+        parts = CUTS.findall(text)
+        if len(self.held) > HELD:
+            self.held.clear()
+        for p in set(parts).difference(self.held):
+            self.held[p] = len(self.offsets(p))
+        before = np.zeros(len(parts) + 1, np.int64)
+        np.cumsum(np.fromiter(map(self.held.__getitem__, parts), np.int64, len(parts)), out=before[1:])
+        return parts, before
 
     def offset(self, parts: list[str], before: np.ndarray, rank: int) -> int:
-        """The offset of the unit of a rank, or the end of the text."""
+        """Where the unit of a rank starts, or the end of the text."""
         if rank >= before[-1]:
             return sum(map(len, parts))
         at = int(np.searchsorted(before, rank, "right")) - 1
-        return sum(map(len, parts[:at])) + self._starts(parts[at])[rank - int(before[at])]
+        return sum(map(len, parts[:at])) + self.offsets(parts[at])[rank - int(before[at])][0]
 
 
 def _check(marks: tuple[str, str, str]) -> None:
