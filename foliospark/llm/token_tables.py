@@ -10,9 +10,11 @@ others. Readers of lengths never touch the ids.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from . import scratch
 
 #: The end id of the dealt format, words held at a time and the longest one held, the largest tokenizer file that is broadcast, the most parts whose totals are.
-END, HELD, LONG, LARGEST, PARTS = 2, 1 << 16, 64, 64 << 20, 1 << 17
+END, HELD, LONG, LARGEST, PARTS = 2, 1 << 18, 64, 64 << 20, 1 << 17
 #: Parquet settings: bytes and rows of a row group and of a page, encodings by column.
 LAYOUT = {
     "compression": "zstd",
@@ -38,42 +40,76 @@ LAYOUT = {
 }
 
 
+#: Words of printable ASCII without the apostrophe, and how the pattern below splits them once they are lowered.
+PLAIN, PIECES = re.compile("[!-&(-~]+"), re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+#: The steps before the merges of the tokenizer whose words can be taken one by one: normaliser and pattern.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _by_words(settings: dict) -> bool:
+    """Whether a tokenizer makes any white space one space, lowers, drops what its pattern doesn't match and merges the rest."""
+    steps = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+    last = steps[-1].get("type") == "ByteLevel" and not steps[-1].get("add_prefix_space") and not steps[-1].get("use_regex")
+    return (settings.get("normalizer") or {}).get("normalizers") == NORMAL and len(steps) == 2 and steps[0] == split and last
+
+
 class Encoder:
-    """Ids of texts, equal words encoded once.
+    """Ids of texts as bytes (32 bits each, lowest first), equal words encoded once.
 
-    The normaliser makes any white space one space and the pre-tokenizer drops
-    it, so no token spans a space or a line feed, and a text's ids are those of
-    its words one after another. `spaced=False` is for tokenizers of other
-    kinds: whole texts are encoded.
+    If the tokenizer works by words (see `_by_words`), no token spans a space
+    or a line feed, and a text's ids are those of its words one after another.
+    In plain words its pattern finds runs of letters, digits and runs of all
+    else, which go to the library's merges; all other words go through all of
+    the library. For tokenizers of other kinds whole texts do.
     """
 
-    def __init__(self, json: str, spaced: bool = True) -> None:
+    def __init__(self, json_text: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced, self.held = Tokenizer.from_str(json), spaced, {}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def encode(self, text: str) -> list[int]:
-        if not self.spaced:
-            return self._ids(text)
+        settings = json.loads(json_text)
+        self.tokenizer, self.words = Tokenizer.from_str(json_text), _by_words(settings)
+        self.model, self.added = self.tokenizer.model, [t["content"] for t in settings.get("added_tokens") or []]
+        self.held: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.held.get(piece)
+        if found is None:
+            found = array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
+            if len(piece) <= LONG:
+                self.held[piece] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        if not PLAIN.fullmatch(word) or any(a in word for a in self.added):
+            return self._whole(word)
+        return b"".join(map(self._piece, PIECES.findall(word.lower())))
+
+    def encode(self, text: str) -> bytes:
+        if not self.words:
+            return self._whole(text)
         words = text.replace("\n", " ").split(" ")
         if len(self.held) > HELD:
             self.held.clear()
         held, once = self.held, {}
         for w in set(words).difference(held):
-            (held if len(w) <= LONG else once)[w] = self._ids(w)
-        return list(chain.from_iterable([held[w] if w in held else once[w] for w in words] if once else map(held.__getitem__, words)))
+            (held if len(w) <= LONG else once)[w] = self._word(w)
+        return b"".join([held[w] if w in held else once[w] for w in words] if once else map(held.__getitem__, words))
+
 
+#: A worker's last encoder, kept from task to task with its words.
+_LAST: dict[str, Encoder] = {}
 
-def _spaced(json: str) -> bool:
-    """Whether a tokenizer drops white space between words, as far as its settings tell; others get whole texts."""
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_str(json)
-    probe = ["a", "zq", "don't", "x1", "--", "é", "́x", "<|endoftext|>"]
-    return all(t.encode(f"{a}{s}{b}", add_special_tokens=False).ids == t.encode(a, add_special_tokens=False).ids + t.encode(b, add_special_tokens=False).ids for a in probe for b in probe for s in (" ", "\n", "  "))
+def _encoder(json_text: str) -> Encoder:
+    if json_text not in _LAST:
+        _LAST.clear()
+        _LAST[json_text] = Encoder(json_text)
+    return _LAST[json_text]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", ident: str = "doc_id", end: int | None = END, layout: dict | None = None) -> None:
@@ -87,24 +123,24 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", ident:
     (`LARGEST` at most; anything larger is refused).
     """
     with open(tokenizer, encoding="utf-8") as f:
-        json = f.read()
-    if len(json) > LARGEST:
+        settings = f.read()
+    if len(settings) > LARGEST:
         raise ValueError(f"{tokenizer} is larger than {LARGEST} bytes")
-    shared = docs.sparkSession.sparkContext.broadcast((json, _spaced(json)))
-    kind, last = docs.schema[ident].dataType.simpleString(), [] if end is None else [end]
+    shared = docs.sparkSession.sparkContext.broadcast(settings)
+    kind, last = docs.schema[ident].dataType.simpleString(), b"" if end is None else array("i", [end]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, encoder, offset = TaskContext.get().partitionId(), None, 0
         for batch in batches:
-            encoder = encoder or Encoder(*shared.value)
+            encoder = encoder or _encoder(shared.value)
             for start in range(0, batch.num_rows, 512):
                 some = batch.slice(start, 512)
-                ids = [np.array(encoder.encode(t.as_py() or "") + last, np.int32) for t in some.column(1)]
-                n = np.array([len(x) for x in ids], np.int64)
+                ids = [encoder.encode(t.as_py() or "") + last for t in some.column(1)]
+                n = np.array([len(x) for x in ids], np.int64) // 4
                 upto = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), pa.array(np.concatenate(ids)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), some.column(0), pa.array(offset + upto - n), pa.array(n.astype(np.int32)), lists], ["part", "ident", "offset", "n_tokens", "ids"])
                 offset += int(upto[-1])
 

@@ -77,13 +77,21 @@ def ids_of(tokenizer, text):
 
 def test_words_give_the_ids_of_whole_texts():
     with open(TOKENIZER, encoding="utf-8") as f:
-        json = f.read()
-    assert token_tables._spaced(json)
-    coder, whole = token_tables.Encoder(json), Tokenizer.from_file(TOKENIZER)
-    for t in filter(None, ODD + mixed(3, 3000)):
-        assert coder.encode(t) == whole.encode(t, add_special_tokens=False).ids
+        settings = f.read()
+    coder, whole = token_tables.Encoder(settings), Tokenizer.from_file(TOKENIZER)
+    ids = lambda c, t: np.frombuffer(c.encode(t), "<i4").tolist()
+    assert coder.words
+    rng = random.Random(5)
+    ascii_ = ["".join(map(chr, rng.choices(range(0, 128), k=rng.randint(0, 60)))) for _ in range(3000)] + ["".join(rng.choices("abAB09'.,-<|>_ ", k=rng.randint(0, 40))) for _ in range(3000)]
+    for t in [*filter(None, ODD), *mixed(3, 3000), *ascii_]:
+        assert ids(coder, t) == whole.encode(t, add_special_tokens=False).ids
+    texts = [r["text"] for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pylist() if r["text"]]
+    for t in texts[:400]:
+        assert ids(coder, t) == whole.encode(t, add_special_tokens=False).ids
     with open("/opt/tokenizers/byte_bpe_50k.json", encoding="utf-8") as f:
-        assert not token_tables._spaced(f.read())  # there spaces are parts of tokens, and whole texts are encoded
+        other = token_tables.Encoder(f.read())  # there spaces are parts of tokens, and whole texts are encoded
+    assert not other.words
+    assert ids(other, "a  b c") == Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json").encode("a  b c", add_special_tokens=False).ids
 
 
 def test_tables_hold_all_documents(spark, tmp_path):
