@@ -40,8 +40,8 @@ LAYOUT = {
 }
 
 
-#: Words of printable ASCII without the apostrophe, and how the pattern below splits them once they are lowered.
-PLAIN, PIECES = re.compile("[!-&(-~]+"), re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words of Latin letters, ASCII digits and other signs but the apostrophe, and how the pattern below splits them once they are lowered. Up to U+024F nothing is changed by composition, and digits, letters and the rest are told alike by all versions of Unicode.
+PLAIN, PIECES = re.compile("[!-&(-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f]+"), re.compile(r"\n|[^\W\d_]+|\d|(?:[^\w\n]|_)+")
 #: The steps before the merges of the tokenizer whose words can be taken one by one: normaliser and pattern.
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -66,39 +66,53 @@ class Encoder:
     """
 
     def __init__(self, json_text: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         settings = json.loads(json_text)
         self.tokenizer, self.words = Tokenizer.from_str(json_text), _by_words(settings)
-        self.model, self.added = self.tokenizer.model, [t["content"] for t in settings.get("added_tokens") or []]
+        self.model, self.added = self.tokenizer.model, {t["content"][0] for t in settings.get("added_tokens") or []}
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.held: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.held.get(piece)
-        if found is None:
-            found = array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
-            if len(piece) <= LONG:
-                self.held[piece] = found
-        return found
-
-    def _word(self, word: str) -> bytes:
-        if not PLAIN.fullmatch(word) or any(a in word for a in self.added):
-            return self._whole(word)
-        return b"".join(map(self._piece, PIECES.findall(word.lower())))
-
-    def encode(self, text: str) -> bytes:
+    def _learn(self, words: set[str]) -> None:
+        """Hold the ids of these words."""
+        plain = [w for w in words if PLAIN.fullmatch(w) and self.added.isdisjoint(w)]
+        for w in words.difference(plain):
+            self.held[w] = self._whole(w)
+        parts = PIECES.findall("".join([w + "\n" for w in plain]).lower())
+        if len(self.pieces) > HELD:
+            self.pieces.clear()
+        for p in set(parts).difference(self.pieces):
+            seen = p if p.isascii() else self.bytes.pre_tokenize_str(p)[0][0]
+            self.pieces[p] = array("i", [t.id for t in self.model.tokenize(seen)]).tobytes()
+        ids, own = self.pieces, []
+        each = iter(plain)
+        for p in parts:
+            if p != "\n":
+                own.append(ids[p])
+            else:
+                self.held[next(each)] = b"".join(own)
+                own = []
+        for p in {p for p in parts if len(p) > LONG}:
+            del self.pieces[p]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if not self.words:
-            return self._whole(text)
-        words = text.replace("\n", " ").split(" ")
-        if len(self.held) > HELD:
-            self.held.clear()
-        held, once = self.held, {}
-        for w in set(words).difference(held):
-            (held if len(w) <= LONG else once)[w] = self._word(w)
-        return b"".join([held[w] if w in held else once[w] for w in words] if once else map(held.__getitem__, words))
+            return list(map(self._whole, texts))
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        seen = set().union(*split)
+        if len(self.held) > HELD:  # what was met again lately stays
+            self.held = {w: self.held[w] for w in seen.intersection(self.held)}
+        self._learn(seen.difference(self.held))
+        get = self.held.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        for w in [w for w in seen if len(w) > LONG]:
+            del self.held[w]
+        return out
 
 
 #: A worker's last encoder, kept from task to task with its words.
@@ -137,7 +151,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", ident:
             encoder = encoder or _encoder(shared.value)
             for start in range(0, batch.num_rows, 512):
                 some = batch.slice(start, 512)
-                ids = [encoder.encode(t.as_py() or "") + last for t in some.column(1)]
+                ids = [x + last for x in encoder.encode([t.as_py() or "" for t in some.column(1)])]
                 n = np.array([len(x) for x in ids], np.int64) // 4
                 upto = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))

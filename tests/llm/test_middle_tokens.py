@@ -79,11 +79,12 @@ def test_words_give_the_ids_of_whole_texts():
     with open(TOKENIZER, encoding="utf-8") as f:
         settings = f.read()
     coder, whole = token_tables.Encoder(settings), Tokenizer.from_file(TOKENIZER)
-    ids = lambda c, t: np.frombuffer(c.encode(t), "<i4").tolist()
+    ids = lambda c, t: np.frombuffer(c.encode([t])[0], "<i4").tolist()
     assert coder.words
     rng = random.Random(5)
     ascii_ = ["".join(map(chr, rng.choices(range(0, 128), k=rng.randint(0, 60)))) for _ in range(3000)] + ["".join(rng.choices("abAB09'.,-<|>_ ", k=rng.randint(0, 40))) for _ in range(3000)]
-    for t in [*filter(None, ODD), *mixed(3, 3000), *ascii_]:
+    latin = ["".join(map(chr, rng.choices([32, 39, 60, *range(0x21, 0x250)], k=rng.randint(0, 40)))) for _ in range(3000)] + [chr(c) + d for c in range(0x21, 0x250) for d in ("", "A", "1", ".", "\u0301")]
+    for t in [*filter(None, ODD), *mixed(3, 3000), *ascii_, *latin]:
         assert ids(coder, t) == whole.encode(t, add_special_tokens=False).ids
     texts = [r["text"] for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pylist() if r["text"]]
     for t in texts[:400]:
