@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,31 @@ def xml_safe(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"[\r\x00-\x08\x0B\x0C\x0E-\x1F￾￿]", ""))
 
 
+#: Fixed value: characters that XML 1.0 can't hold, and carriage returns, which its parsers turn into line feeds.
+UNSAFE = re.compile("[\r\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]")
+
+
+def markup_safe(text: str) -> str:
+    """Without characters that would make a part unreadable; for texts that are written as XML within a task."""
+    return UNSAFE.sub("", text)
+
+
+def reserved(text: Column) -> Column:
+    """With `%`, `;` and `=` as %25, %3B and %3D, so that it can stand in `k=v;k=v`."""
+    return F.replace(F.replace(F.replace(text, F.lit("%"), F.lit("%25")), F.lit(";"), F.lit("%3B")), F.lit("="), F.lit("%3D"))
+
+
+def unreserved(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("%3D"), F.lit("=")), F.lit("%3B"), F.lit(";")), F.lit("%25"), F.lit("%"))
+
+
+def noted(text: Column) -> Column:
+    """key_values(), and where a pair `escaped=1` says so, keys and values as they were before reserved()."""
+    found = key_values(text)
+    plain = F.map_from_entries(F.transform(F.filter(F.map_entries(found), lambda e: e.key != "escaped"), lambda e: F.struct(unreserved(e.key), unreserved(e.value))))
+    return F.when(F.map_contains_key(found, "escaped"), plain).otherwise(found)
+
+
 def first_filled(*values: Column) -> Column:
     """The first value that is neither null nor empty, else the last."""
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values[:-1]], values[-1])
@@ -62,8 +89,8 @@ def base64_lines(raw: Column, width: int = 76) -> Column:
 
 
 def hyperlink_parts(command: Column) -> Column:
-    """Parts of a hyperlink command: cut at `;`, `\\:` unescaped, one trailing empty part dropped."""
-    parts = F.transform(F.split(command, ";", -1), lambda p: F.replace(p, F.lit("\\:"), F.lit(":")))
+    """Parts of a hyperlink command: cut at `;` but not at `\\;`, `\\:` and `\\;` unescaped, one trailing empty part dropped."""
+    parts = F.transform(F.split(command, r"(?<!\\);", -1), lambda p: F.replace(F.replace(p, F.lit("\\:"), F.lit(":")), F.lit("\\;"), F.lit(";")))
     n = F.size(parts)
     return F.when((n > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, n - 1)).otherwise(parts)
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import occurrences
+from foliospark.functions.text import markup_safe, occurrences
 from foliospark.operators.relational import replace_within_budget
 from foliospark.sources import packages as P
 
@@ -95,7 +95,7 @@ def insert_paragraph_xml(nodes: DataFrame, section_index: int, index: int, xml:
 def paragraph_xml(text: str, para: str = "0", style: str = "0", char: str = "0") -> str:
     from xml.sax.saxutils import escape
 
-    return f'<hp:p id="0" paraPrIDRef="{para}" styleIDRef="{style}" pageBreak="0" columnBreak="0" merged="0"><hp:run charPrIDRef="{char}"><hp:t>{escape(text)}</hp:t></hp:run></hp:p>'
+    return f'<hp:p id="0" paraPrIDRef="{para}" styleIDRef="{style}" pageBreak="0" columnBreak="0" merged="0"><hp:run charPrIDRef="{char}"><hp:t>{escape(markup_safe(text))}</hp:t></hp:run></hp:p>'
 
 
 def insert_paragraph(nodes: DataFrame, section_index: int, index: int, text: str) -> DataFrame:
@@ -440,7 +440,7 @@ CONTROLS = {
     "bookmark": '<hp:ctrl><hp:bookmark name="{name}"/></hp:ctrl>',
     "field": '<hp:ctrl><hp:fieldBegin id="{id}" fieldid="{id}" type="{type}" name="{name}"/></hp:ctrl>',
     "field_end": '<hp:ctrl><hp:fieldEnd beginIDRef="{id}" fieldid="{id}"/></hp:ctrl>',
-    "hyperlink": '<hp:ctrl><hp:fieldBegin id="{id}" fieldid="{id}" type="HYPERLINK" name=""><hp:parameters cnt="1" name=""><hp:stringParam name="Command">{url};1;0;0;</hp:stringParam></hp:parameters></hp:fieldBegin></hp:ctrl>',
+    "hyperlink": '<hp:ctrl><hp:fieldBegin id="{id}" fieldid="{id}" type="HYPERLINK" name=""><hp:parameters cnt="2" name=""><hp:stringParam name="Command">{command};1;0;0;</hp:stringParam><hp:stringParam name="Path">{url}</hp:stringParam></hp:parameters></hp:fieldBegin></hp:ctrl>',
     "footnote": '<hp:ctrl><hp:footNote><hp:subList>{paragraph}</hp:subList></hp:footNote></hp:ctrl>',
     "endnote": '<hp:ctrl><hp:endNote><hp:subList>{paragraph}</hp:subList></hp:endNote></hp:ctrl>',
     "header": '<hp:ctrl><hp:header applyPageType="BOTH"><hp:subList>{paragraph}</hp:subList></hp:header></hp:ctrl>',
@@ -460,7 +460,9 @@ CONTROLS = {
 def control_xml(kind: str, **values: str) -> str:
     from xml.sax.saxutils import escape
 
-    given = {k: v if k == "paragraph" else escape(v, {'"': "&quot;"}) for k, v in values.items()}
+    given = {k: v if k == "paragraph" else escape(markup_safe(v), {'"': "&quot;", "\n": "&#10;", "\t": "&#9;"}) for k, v in values.items()}
+    if "url" in given:  # the command's own separators are escaped; the address stands whole beside it
+        given["command"] = escape(markup_safe(values["url"]).replace(":", "\\:").replace(";", "\\;"))
     return CONTROLS[kind].format(**given)
 
 

@@ -140,7 +140,7 @@ def fields(nodes: DataFrame) -> DataFrame:
     return rows.select(
         "doc", "part", "section_index", "paragraph", "pre", "ord", attr("id").alias("id"), attr("fieldid").alias("field_id"), attr("name").alias("name"), kind.alias("type"), "params",
         F.when(kind == "CROSSREF", first_filled(p("BookmarkName"), p("Path"), attr("name"))).alias("target"),
-        F.when(kind == "HYPERLINK", F.element_at(hyperlink_parts(F.coalesce(p("Command"), p("Path"), F.lit(""))), 1)).alias("url"),
+        F.when(kind == "HYPERLINK", F.when(p("Command").isNotNull() & p("Path").rlike(r"[;\\]"), p("Path")).otherwise(F.element_at(hyperlink_parts(F.coalesce(p("Command"), p("Path"), F.lit(""))), 1))).alias("url"),
         key_values(F.coalesce(p("Command"), F.lit(""))).alias("settings"),
     )
 
@@ -211,12 +211,8 @@ def signature(nodes: DataFrame) -> DataFrame:
     return controls.groupBy("doc", "section_index", "paragraph", label.alias("label")).agg(F.count("*").alias("n"))
 
 
-def blocks(nodes: DataFrame) -> DataFrame:
-    """(doc, section_index, paragraph, ord, kind, text, attrs): the document as a sequence of typed blocks.
-
-    Every control is a block at its place in document order; a paragraph's own
-    text is the block `paragraph` at its start.
-    """
+def block_rows(nodes: DataFrame) -> DataFrame:
+    """(doc, part, section_index, paragraph, pre, kind, text, attrs): blocks at the places of their nodes; controls have no text here."""
     # Tag -> kind of block.
     kinds = {"tbl": "table", "pic": "picture", "fieldBegin": "field", "bookmark": "bookmark", "autoNum": "auto_number", "newNum": "auto_number", "footNote": "note", "endNote": "note", "equation": "equation", "chart": "chart", "hiddenComment": "memo", "header": "header", "footer": "footer"}
     kinds |= {t: "form" for t in FORMS} | {t: "shape" for t in SHAPES} | {"ole": "ole"}
@@ -225,15 +221,25 @@ def blocks(nodes: DataFrame) -> DataFrame:
     hyper = F.when((F.col("local") == "fieldBegin") & (field_type() == "HYPERLINK"), "hyperlink")
     kind = F.coalesce(hyper, tag[F.col("local")])
     which = F.when(kind.isin("shape", "note", "auto_number"), F.map_concat(F.map_filter("attrs", lambda k, _: k != "which"), F.create_map(F.lit("which"), "local"))).otherwise(F.col("attrs"))
-    rows = controls.select("doc", "section_index", "paragraph", "pre", kind.alias("kind"), F.lit(None).cast("string").alias("text"), which.alias("attrs"))
+    rows = controls.select("doc", "part", "section_index", "paragraph", "pre", kind.alias("kind"), F.lit(None).cast("string").alias("text"), which.alias("attrs"))
     owned = ("tbl", "footNote", "endNote", "hiddenComment", "header", "footer", *SHAPES)
     t = nodes.where("local = 't' and section_index is not null")
     inner = within(t, children(nodes, *owned)).select("doc", "part", "pre").distinct()
     own = t.join(inner, ["doc", "part", "pre"], "left_anti").groupBy("doc", "section_index", "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda s: F.coalesce(s.text, F.lit(""))), "").alias("text"))
     p = nodes.where("depth = 1 and local = 'p' and section_index is not null").drop("text").join(own, ["doc", "section_index", "paragraph"], "left")
-    paragraphs = p.select("doc", "section_index", "paragraph", "pre", F.lit("paragraph").alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "attrs")
+    paragraphs = p.select("doc", "part", "section_index", "paragraph", "pre", F.lit("paragraph").alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "attrs")
+    return paragraphs.unionByName(rows)
+
+
+def blocks(nodes: DataFrame) -> DataFrame:
+    """(doc, section_index, paragraph, ord, kind, text, attrs): the document as a sequence of typed blocks.
+
+    Every control is a block at its place in document order, without its
+    contents (see `contents.package_blocks`); a paragraph's own text is the
+    block `paragraph` at its start.
+    """
     order = Window.partitionBy("doc", "section_index").orderBy("pre")
-    return paragraphs.unionByName(rows).withColumn("ord", F.row_number().over(order) - 1).drop("pre")
+    return block_rows(nodes).withColumn("ord", F.row_number().over(order) - 1).drop("part", "pre")
 
 
 def features(nodes: DataFrame) -> DataFrame:

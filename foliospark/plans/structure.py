@@ -7,9 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.operators import convert
+from foliospark.operators import relational as R
 from foliospark.operators import xpath as X
-from foliospark.plans.catalogue import query
+from foliospark.operators.contents import package_blocks
+from foliospark.plans.catalogue import query, table
 from foliospark.plans.documents import _BASE, _read, packages
+from foliospark.sources import binary as B
+from foliospark.sources.shared import kept
 
 #: Expressions on sections, and SQL over the turns `d` for their results: paragraph (for their order) and value.
 PATHS = {
@@ -41,3 +46,54 @@ def package_xpath(spark, sf) -> DataFrame:
     number = F.regexp_extract("part", r"section(\d+)", 1).cast("int").alias("section_index")
     found = [X.evaluate(sections, e).select(F.lit(e).alias("expression"), "doc", number, F.col("ord").cast("long").alias("ord"), "value") for e in PATHS]
     return reduce(DataFrame.unionByName, found)
+
+
+# -- blocks with their contents, from one format to the other -------------------------------------
+
+#: Kinds of blocks by number, with the name that each is told by: `#` is the turn's number. Names hold what the formats reserve.
+_BLOCKS = (
+    ("paragraph", ""), ("table", ""), ("hyperlink", "http://x.org/a;b?c=#&d=1"), ("bookmark", "m;=%#"), ("field", "f=;#"), ("note", "footNote"), ("note", "endNote"), ("form", "q;#"), ("memo", "a=#;"), ("chart", '["a","b;="]'), ("auto_number", "#"), ("header", "BOTH"), ("footer", "EVEN"),
+    ("equation", ""), ("shape", "rect"), ("picture", ""), ("ole", ""),
+)
+_NAMED = {"hyperlink": "url", "bookmark": "name", "field": "name", "note": "which", "form": "name", "memo": "author", "chart": "categories", "auto_number": "num", "header": "applyPageType", "footer": "applyPageType", "shape": "which"}
+
+
+def turn_blocks(spark, sf) -> DataFrame:
+    """Blocks of a document for each conversation, its turns their texts; the kind follows from conversation and turn."""
+    turns = table(spark, sf, "conversations").withColumns({"n": F.expr("conv_id * 10 + turn"), "k": F.expr(f"cast((conv_id + turn) % {len(_BLOCKS)} as int)")})
+    kind, number = F.get(F.array(*[F.lit(k) for k, _ in _BLOCKS]), F.col("k")), F.col("n").cast("string")
+    name = F.replace(F.get(F.array(*[F.lit(n) for _, n in _BLOCKS]), F.col("k")), F.lit("#"), number)
+    grid = F.to_json(F.array(F.array("text", number), F.array(F.lit("b;="), F.lit(""))))
+    text = F.when(kind == "table", grid).when(kind.isin("hyperlink", "field"), F.concat(F.lit("shown "), number)).when(~kind.isin("bookmark", "auto_number", "picture", "ole"), F.col("text"))
+    key = F.create_map(*[F.lit(x) for kv in _NAMED.items() for x in kv])[kind]
+    drawn = F.when(kind.isin("picture", "ole"), F.base64(F.encode("text", "UTF-8")))
+    more = {"rowCnt": F.when(kind == "table", "2"), "colCnt": F.when(kind == "table", "2"), "type": F.when(kind == "field", "MAILMERGE"), "data": drawn, "extension": F.when(drawn.isNotNull(), "bin")}
+    pairs = F.filter(F.array(F.struct(key.alias("key"), name.alias("value")), *[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in more.items()]), lambda e: e.key.isNotNull() & e.value.isNotNull())
+    place = F.floor(F.col("turn") / 2).cast("int")
+    return turns.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc"), (F.col("turn") % 2).cast("int").alias("section_index"), place.alias("paragraph"), place.alias("ord"), kind.alias("kind"), text.alias("text"), F.map_from_entries(pairs).alias("attrs"))
+
+
+def _told(blocks: DataFrame, stage: str) -> DataFrame:
+    at = lambda k: F.try_element_at("attrs", F.lit(k))
+    name = F.coalesce(*[F.when(F.col("kind") == k, at(a)) for k, a in _NAMED.items()], F.when(F.col("kind").isin("picture", "ole"), F.sha2(F.unbase64(at("data")), 256)), F.lit(""))
+    rows = R.ordinal(blocks.where("kind <> 'paragraph' or text <> ''"), ["doc", "section_index"], [F.col("ord")], "nth", 0)
+    return rows.select(F.lit(stage).alias("stage"), "doc", F.col("section_index").cast("long").alias("section_index"), F.col("nth").cast("long").alias("nth"), "kind", F.coalesce("text", F.lit("")).alias("text"), name.alias("name"))
+
+
+_rows = ", ".join(f"({i}, '{k}', '{n}')" for i, (k, n) in enumerate(_BLOCKS))
+_texts = "case when kind = 'table' then to_json([[text, n::varchar], ['b;=', '']])::varchar when kind in ('hyperlink', 'field') then 'shown ' || n when kind in ('bookmark', 'auto_number', 'picture', 'ole') then '' else text end"
+
+
+@query(
+    f"with b(k, kind, name) as (values {_rows}), d as (select 'c' || conv_id as doc, (turn % 2)::bigint as section_index, (turn // 2)::bigint as paragraph, text, conv_id * 10 + turn as n, kind, replace(name, '#', (conv_id * 10 + turn)::varchar) as name from conversations join b on k = (conv_id + turn) % {len(_BLOCKS)}) "
+    f", r as (select 'package' as stage, doc, section_index, paragraph, kind, {_texts} as text, case when kind in ('picture', 'ole') then sha256(text) else name end as name from d "
+    f"union all select 'binary', doc, section_index, paragraph, kind, case when kind in ('hyperlink', 'field') then '' else {_texts} end, name from d union all select 'binary', doc, section_index, paragraph, 'paragraph', 'shown ' || n, '' from d where kind in ('hyperlink', 'field')) "
+    "select stage, doc, section_index, row_number() over (partition by stage, doc, section_index order by paragraph, kind <> 'paragraph') - 1 as nth, kind, text, name from r"
+)
+def package_conversion(spark, sf) -> DataFrame:
+    """Turns as blocks of every kind, written as packages, read, written as binary documents, and read: texts, cells, addresses, names and data on either way."""
+    made = kept(convert.to_packages(turn_blocks(spark, sf)), "files")
+    found = kept(package_blocks(*_read(made)), "blocks")
+    native = convert.binary_blocks(kept(B.records(B.streams(convert.to_binary(found))), "records"))
+    # The picture's bytes are told of the package; a binary document keeps them in a stream.
+    return _told(found, "package").unionByName(_told(native, "binary").withColumn("name", F.when(F.col("kind").isin("picture", "ole"), "").otherwise(F.col("name"))))

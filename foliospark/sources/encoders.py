@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.functions.text import reserved
 from foliospark.sources.binary import CONNECT_LINE, ID_MAPPINGS, TAGS
 
 #: The units that mark a control in a paragraph's text, by the control's id.
@@ -17,12 +18,12 @@ MARKERS = {"head": 0x10, "foot": 0x10, "atno": 0x12, "nwno": 0x15, "pgnp": 0x15,
 FIELD_BEGIN, FIELD_END = 0x03, 0x04
 #: Shapes by the name that blocks use: the component's id and the record.
 SHAPES = {"line": ("$lin", "line"), "connectLine": ("$col", "line"), "rect": ("$rec", "rectangle"), "ellipse": ("$ell", "ellipse"), "arc": ("$arc", "arc"), "polygon": ("$pol", "polygon"), "curve": ("$cur", "curve"), "container": ("$con", "container"), "textart": ("$tat", "textart")}
-#: Codes of pages that headers and footers apply to, and the head of a bookmark's data.
+#: Codes of pages that headers and footers apply to, the head of a bookmark's data, the code of page numbers, what stands around a script.
 PAGES = {"BOTH": 0, "EVEN": 1, "ODD": 2}
 BOOKMARK = bytes.fromhex("1b020100000000400100")
 AUTO_NUMBER_PAGE = 0x0C
 EQUATION = ("* ", "`Equation Version 60\u0007HYhwpEQ")
-#: Own notes of controls are text: this word, then key=value pairs.
+#: Own notes of controls are text: this word, which is this engine's, then key=value pairs whose keys are fixed values of the format's users.
 NOTES = "FOLIO_CTRL_META"
 
 _NO_RECORDS = "array<struct<tag_id:int,level:int,payload:binary>>"
@@ -69,11 +70,10 @@ def marker(name: str | Column, code: int) -> Column:
     return F.concat(le(code, 2), raw, F.lit(b"\0" * 8), le(code, 2))
 
 
-def notes(**values: Column) -> Column:
-    """Key=value pairs as a control's data; nulls are left out, reserved characters become spaces."""
-    clean = lambda c: F.regexp_replace(c.cast("string"), "[;=]", " ")
-    pairs = [F.concat(F.lit(f"{k.replace('__', '.')}="), clean(v)) for k, v in values.items()]
-    return utf16(F.concat_ws(";", F.lit(NOTES), *pairs))
+def notes(values: dict[str, Column]) -> Column:
+    """Key=value pairs as a control's data; nulls are left out, reserved characters are escaped (see `text.noted`)."""
+    pairs = [F.concat(F.lit(f"{k}="), reserved(v.cast("string"))) for k, v in values.items()]
+    return utf16(F.concat_ws(";", F.lit(NOTES), F.lit("escaped=1"), *pairs))
 
 
 def attr(name: str, default: str | None = None) -> Column:
@@ -145,7 +145,7 @@ def shape() -> Column:
     known = {own: [k for k, (_, o) in SHAPES.items() if o == own] for _, own in SHAPES.values()}
     none = F.array().cast(_NO_RECORDS)
     inner = F.when(which.isin("rect", "curve", "container") & (F.length(text) > 0), listed(3, text)).otherwise(none)
-    noted = F.when(which.isin("ellipse", "arc", "polygon", "line", "connectLine"), F.array(record("ctrl_data", 2, notes(kind=which, text=F.nullif(text, F.lit("")))))).otherwise(none)
+    noted = F.when(which.isin("ellipse", "arc", "polygon", "line", "connectLine"), F.array(record("ctrl_data", 2, notes({"kind": which, "text": F.nullif(text, F.lit(""))})))).otherwise(none)
     own = F.coalesce(*[F.when(which.isin(*names), record(tag, 3, outline(tag, text))) for tag, names in known.items()])
     return F.when(own.isNotNull(), F.concat(F.array(record("ctrl_header", 1, F.col("graphic"))), noted, F.array(record("shape_component", 2, F.col("component"))), inner, F.array(own))).otherwise(none)
 
@@ -177,7 +177,9 @@ def field_id() -> Column:
 def field() -> Column:
     """A field, with its attributes but the type as data."""
     kept = F.map_filter("attrs", lambda k, _: ~k.isin("type", "id", "editable", "dirty"))
-    pairs = F.transform(F.map_entries(kept), lambda e: F.concat(e.key, F.lit("="), F.regexp_replace(e.value, "[;=]", " ")))
+    some = F.exists(F.map_entries(kept), lambda e: F.concat_ws("", e.key, e.value).rlike("[%;=]"))
+    pairs = F.transform(F.map_entries(kept), lambda e: F.concat(reserved(e.key), F.lit("="), F.coalesce(reserved(e.value), F.lit(""))))
+    pairs = F.when(some, F.array_append(pairs, F.lit("escaped=1"))).otherwise(pairs)
     head = record("ctrl_header", 1, F.concat(F.encode(F.reverse(field_id()), "ISO-8859-1"), F.lit(b"\0" * 11)))
     data = record("ctrl_data", 2, utf16(F.array_join(F.array_sort(pairs), ";")))
     return F.when(F.cardinality(kept) > 0, F.array(head, data)).otherwise(F.array(head))
@@ -194,21 +196,24 @@ def controls() -> dict[str, tuple[Column, Column, Column]]:
     page = F.coalesce(F.create_map(*[F.lit(x) for kv in PAGES.items() for x in kv])[F.upper(attr("applyPageType", "BOTH"))], F.lit(0))
     note = lambda name: (F.concat(F.array(head(name, F.concat(le(number("number", 1), 4), F.lit(b"\0" * 12)))), listed(2, text, b"\0" * 8)), *marked(name))
     area = lambda name, code: (F.concat(F.array(head(name, words("44", page, code))), listed(2, text, b"\0" * 26)), *marked(name))
-    command = F.concat(F.replace(F.coalesce(attr("url"), text, F.lit("")), F.lit(":"), F.lit("\\:")), F.lit(";1;0;0;"))
+    url = F.coalesce(attr("url"), text, F.lit(""))
+    command = F.concat(F.replace(F.replace(url, F.lit(":"), F.lit("\\:")), F.lit(";"), F.lit("\\;")), F.lit(";1;0;0;"))
     link = F.array(head("%hlk", F.concat(F.lit(b"\0" * 5), counted(command), F.lit(b"\0" * 4))))
+    # What the command's escapes may leave open is carried in the control's data too.
+    link = F.when(url.rlike(r"[;\\]"), F.array_append(link, record("ctrl_data", 2, notes({"url": url})))).otherwise(link)
     storage = F.coalesce(F.col("storage_id"), F.lit(0))
     drawn = lambda own, payload, *more: F.array(record("ctrl_header", 1, F.col("graphic")), *more, record("shape_component", 2, F.col("component")), record(own, 3, payload))
     w, h = F.col("w"), F.col("h")
     picture = F.concat(F.lit(b"\0" * 12), words("44444444", 0, 0, w, 0, w, h, 0, h), words("4444", 0, 0, w, h), F.lit(b"\0" * 11), le(storage, 2), F.lit(b"\0" * 18))
-    form = {k: attr(a) for k, a in (("form__name", "name"), ("form__value", "value"), ("form__checked", "checked"), ("form__placeholder", "placeholder"), ("form__items", "items"))}
+    form = {f"form.{k}": attr(k) for k in ("name", "value", "checked", "placeholder", "items", "tag")}
     return {
         "table": (table(), *marked("tbl ")), "note": first(attr("which", "footNote") == "endNote", note("en  "), note("fn  ")), "header": area("head", 1), "footer": area("foot", 2),
         "bookmark": (F.array(head("bokm", F.lit(b"")), record("ctrl_data", 2, F.concat(F.lit(BOOKMARK), counted(attr("name", ""))))), *marked("bokm")),
         "hyperlink": (link, *shown("%hlk")), "field": (field(), *shown(field_id())),
         "auto_number": first(attr("which", "newNum") == "autoNum", (F.array(head("atno", words("444", 0, AUTO_NUMBER_PAGE, 0))), *marked("atno")), (F.array(head("nwno", words("42", 0, number("num", 1)))), *marked("nwno"))),
-        "form": (F.array(head("mrof", F.lit(b"")), record("ctrl_data", 2, notes(form__type=F.upper(attr("form_type", "INPUT")), form__label=text, **form)), record("form_object", 2, utf16(text))), *plain),
-        "memo": (F.array(head("omem", F.lit(b"")), record("ctrl_data", 2, notes(memo__author=attr("author"), memo__memoId=attr("memo_id"), memo__anchorId=attr("anchor_id"), memo__order=attr("order"))), record("memo_list", 2, utf16(text))), *plain),
-        "chart": (drawn("chart_data", utf16(text), record("ctrl_data", 2, notes(chart__title=text, chart__chartType=F.upper(attr("chart_type", "BAR")), chart__categories=attr("categories"), chart__series=attr("series"), chart__dataRef=attr("data_ref")))), *marked("gso ")),
+        "form": (F.array(head("mrof", F.lit(b"")), record("ctrl_data", 2, notes({"form.type": F.upper(F.coalesce(attr("form_type"), attr("type", "INPUT"))), "form.label": text, **form})), record("form_object", 2, utf16(text))), *plain),
+        "memo": (F.array(head("omem", F.lit(b"")), record("ctrl_data", 2, notes({"memo.author": attr("author"), "memo.memoId": F.coalesce(attr("memo_id"), attr("memoId")), "memo.anchorId": F.coalesce(attr("anchor_id"), attr("anchorId")), "memo.order": attr("order")})), record("memo_list", 2, utf16(text))), *plain),
+        "chart": (drawn("chart_data", utf16(text), record("ctrl_data", 2, notes({"chart.title": text, "chart.chartType": F.upper(F.coalesce(attr("chart_type"), attr("chartType", "BAR"))), "chart.categories": attr("categories"), "chart.series": attr("series"), "chart.dataRef": attr("data_ref")}))), *marked("gso ")),
         "equation": (F.array(record("ctrl_header", 1, F.col("graphic")), record("eqedit", 2, F.concat(F.lit(b"\0" * 4), utf16(F.concat(F.lit(EQUATION[0]), F.coalesce(text, F.lit("")), F.lit(EQUATION[1])))))), *plain),
         "shape": (shape(), *marked("gso ")), "picture": (drawn("picture", picture), *marked("gso ")),
         "ole": (drawn("ole", F.concat(words("4442", 0, w, h, storage), F.lit(b"\0" * 10))), *marked("gso ")),
@@ -253,7 +258,7 @@ def definition_records(blocks: DataFrame) -> DataFrame:
     level = F.concat(words("4224", 0, 0, 0, -1), counted(attr("format", "^1.")))
     numbering = F.concat(*[level] * 7, le(0, 2), *[le(number("start", 1), 4)] * 7)
     bullet = F.concat(words("4224", 0, 0, 0, -1), F.substring(F.concat(utf16(attr("char", "●")), F.lit(b"\0\0")), 1, 2))
-    memo = notes(width=attr("width"), lineWidth=attr("lineWidth"), lineType=attr("lineType"), lineColor=attr("lineColor"), fillColor=attr("fillColor"), activeColor=attr("activeColor"), memoType=attr("memoType"))
+    memo = notes({k: attr(k) for k in ("width", "lineWidth", "lineType", "lineColor", "fillColor", "activeColor", "memoType")})
     made = {"style": ("style", style), "paragraph_style": ("para_shape", para), "character_style": ("char_shape", char), "numbering": ("numbering", numbering), "bullet": ("bullet", bullet), "memo_shape": ("memo_shape", memo)}
     tags = F.create_map(*[F.lit(x) for k, (t, _) in made.items() for x in (k, TAGS[t])])
     payload = F.coalesce(*[F.when(F.col("kind") == k, p) for k, (_, p) in made.items()])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import normal_path
+from foliospark.functions.text import markup_safe, normal_path
 
 #: The namespaces of document parts.
 NAMESPACES = {
@@ -218,17 +218,17 @@ def serialize(tree: DataFrame) -> DataFrame:
 
         def close():
             _, tag, tail = stack.pop()
-            out.append(f"</{tag}>" + escape(tail if isinstance(tail, str) else ""))
+            out.append(f"</{tag}>" + escape(markup_safe(tail) if isinstance(tail, str) else ""))
 
         for r in pdf.itertuples():
             while stack and stack[-1][0] < r.pre:
                 close()
             tag = name(r.ns, r.local)
             attrs = dict(r.attrs) if r.attrs is not None else {}
-            text = "".join(f" {name(*m.groups()) if (m := re.match(r'{(.*)}(.*)', k)) else k}={quoteattr(v)}" for k, v in attrs.items())
+            text = "".join(f" {name(*m.groups()) if (m := re.match(r'{(.*)}(.*)', k)) else k}={quoteattr(markup_safe(v))}" for k, v in attrs.items())
             if head is None:
                 head = len(out)
-            out.append(f"<{tag}{text}>" + escape(r.text if isinstance(r.text, str) else ""))
+            out.append(f"<{tag}{text}>" + escape(markup_safe(r.text) if isinstance(r.text, str) else ""))
             stack.append((r.end, tag, r.tail))
         while stack:
             close()

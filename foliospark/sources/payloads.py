@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.numbers import little_endian
-from foliospark.functions.text import key_values
+from foliospark.functions.text import noted
 from foliospark.sources.binary import tag
 
 #: Names of codes in records.
@@ -332,7 +332,7 @@ def list_header(p: Column) -> Fields:
 def properties(p: Column) -> Column:
     """Own notes kept as a text `NAME_META;key=value;...`, as a map; empty where there are none."""
     found = text(p, 0, F.octet_length(p))
-    return F.when(found.rlike(r"^[A-Z_]+_META(;|$)"), key_values(F.regexp_replace(found, r"^[A-Z_]+_META;?", ""))).otherwise(F.create_map().cast("map<string,string>"))
+    return F.when(found.rlike(r"^[A-Z_]+_META(;|$)"), noted(F.regexp_replace(found, r"^[A-Z_]+_META;?", ""))).otherwise(F.create_map().cast("map<string,string>"))
 
 
 def memo_shape(p: Column) -> Fields:

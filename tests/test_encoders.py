@@ -61,7 +61,7 @@ def test_all_kinds_come_back(blocks, read):
     assert fields == [("%mai", {"name": "who"}), ("%for", {"expression": "1+2"}), ("%cro", {"bookmark": "mark"}), ("%doc", {"name": "author"}), ("%dat", {})]
     assert [(r.text, r.attrs["which"]) for r in of(read["blocks"], "note")] == [("foot", "footNote"), ("end", "endNote")]
     (form,) = of(read["blocks"], "form")
-    assert form.text == "label" and (form.attrs["name"], form.attrs["value"], form.attrs["checked"], form.attrs["type"]) == ("n  1", "v", "True", "INPUT")
+    assert form.text == "label" and (form.attrs["name"], form.attrs["value"], form.attrs["checked"], form.attrs["type"]) == ("n;=1", "v", "True", "INPUT")
     (memo,) = of(read["blocks"], "memo")
     assert memo.text == "remark" and memo.attrs["author"] == "me"
     (chart,) = of(read["blocks"], "chart")
