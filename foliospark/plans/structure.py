@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.operators import convert
+from foliospark.operators import nodes as N
 from foliospark.operators import relational as R
 from foliospark.operators import xpath as X
 from foliospark.operators.contents import package_blocks
+from foliospark.operators.editlog import apply_log
 from foliospark.plans.catalogue import query, table
 from foliospark.plans.documents import _BASE, _read, packages
 from foliospark.sources import binary as B
+from foliospark.sources import packages as P
 from foliospark.sources.shared import kept
 
 #: Expressions on sections, and SQL over the turns `d` for their results: paragraph (for their order) and value.
@@ -97,3 +100,48 @@ def package_conversion(spark, sf) -> DataFrame:
     native = convert.binary_blocks(kept(B.records(B.streams(convert.to_binary(found))), "records"))
     # The picture's bytes are told of the package; a binary document keeps them in a stream.
     return _told(found, "package").unionByName(_told(native, "binary").withColumn("name", F.when(F.col("kind").isin("picture", "ole"), "").otherwise(F.col("name"))))
+
+
+# -- logged edits -----------------------------------------------------------------------------------
+
+
+def edit_log(spark, sf) -> DataFrame:
+    """Edits that differ by document; some name what isn't there."""
+    number = F.col("conv_id").cast("string")
+    names = ("seq", "op", "section", "paragraph", "at", "control", "to_section", "to_paragraph", "text", "old", "xml")
+
+    def row(seq: int, op: str, section: int, **given):
+        value = lambda n: given.get(n, {"seq": seq, "op": op, "section": section}.get(n))
+        kind = lambda n: "string" if n in ("op", "text", "old", "xml") else "int"
+        return F.struct(*[(v if hasattr(v := value(n), "alias") else F.lit(v)).cast(kind(n)).alias(n) for n in names])
+
+    first = F.array(row(1, "insert_paragraph", 0, at=0, text=F.concat(F.lit("begun "), number)), row(2, "set_text", 0, paragraph=0, text=F.concat(F.lit("set; <&> "), number)), row(3, "move_paragraph", 0, paragraph=0, at=-1), row(4, "append_paragraph", 0, text="end"), row(5, "copy_paragraph", 0, paragraph=0, at=1))
+    second = F.array(row(1, "delete_paragraph", 0, paragraph=0), row(2, "insert_paragraph", 0, at=1, text="mid"), row(3, "replace_text", 0, old="the", text="THE"), row(4, "insert_control", 0, paragraph=0, xml='<hp:ctrl><hp:bookmark name="log"/></hp:ctrl>'))
+    third = F.array(row(1, "append_paragraph", 1, text="only second"), row(2, "copy_control", 0, paragraph=0, control=0, to_section=1, to_paragraph=-1), row(3, "set_text", 1, paragraph=99, text="nowhere"))
+    docs = table(spark, sf, "conversations").select("conv_id").distinct()
+    case = F.when(F.col("conv_id") % 4 == 0, first).when(F.col("conv_id") % 4 == 1, second).when(F.col("conv_id") % 4 == 2, third)
+    return docs.select(F.concat(F.lit("c"), number).alias("doc"), F.explode(case).alias("r")).select("doc", "r.*")
+
+
+_SHOWN = "case when k in (0, 1, 5, 6, 7) then 'in ' || n when k = 2 then n || 'bc' || conv_id when k between 12 and 15 then 'shown ' || n else '' end"
+
+
+@query(
+    f"{_BASE}, s as (select doc, conv_id, section_index, list(text || {_SHOWN} order by paragraph) as p, max(case when section_index = 0 and paragraph = 0 then case when k between 12 and 15 then '' else {_SHOWN} end end) as c, max(case when section_index = 0 and paragraph = 0 then k end) as k0 from d group by all), "
+    "g as (select doc, max(c) as c, max(k0) as k0, count(*) as n, max(case when section_index = 0 then len(p) end) as first from s group by doc), "
+    "x as (select s.doc, conv_id, section_index, g.k0, n, first, case when conv_id % 4 = 0 and section_index = 0 then list_concat(list_concat(p[1:len(p) - 1], ['set; <&> ' || conv_id]), list_concat(p[len(p):len(p)], ['end'])) "
+    "when conv_id % 4 = 1 and section_index = 0 then list_transform(list_concat(list_concat(case when len(p) > 1 then p[2:2] else p end, ['mid']), p[3:]), lambda t: replace(t, 'the', 'THE')) "
+    "when conv_id % 4 = 2 and section_index = 1 then list_concat(p, ['only second' || g.c]) else p end as q from s join g on s.doc = g.doc), "
+    "y as (select *, case when conv_id % 4 = 0 and section_index = 0 then list_concat(q[1:1], q) else q end as r, case conv_id % 4 when 0 then 0 when 1 then (first = 1)::int when 2 then case when n = 1 then 3 else 1 + (k0 = 28)::int end else 0 end as failed, "
+    "7 + n - case conv_id % 4 when 3 then 0 when 2 then (n > 1)::int else 1 end as kept from x) "
+    "select doc, section_index, unnest(range(len(r))) as paragraph, unnest(r) as text, failed::bigint as failed, kept::bigint as kept from y"
+)
+def package_edit_log(spark, sf) -> DataFrame:
+    """A log of other edits for each document, applied at once: the texts, the edits that couldn't be applied, and the parts that stayed byte for byte."""
+    files = kept(packages(spark, sf), "files")
+    done = kept(apply_log(files, edit_log(spark, sf)), "edited")
+    digest = lambda df: P.entries(df).select("doc", "path", F.sha2("content", 256).alias("digest"))
+    same = digest(files).join(digest(done), ["doc", "path", "digest"]).groupBy("doc").agg(F.count("*").alias("kept"))
+    failed = done.select("doc", F.size(F.filter("results", lambda r: ~r.ok)).cast("long").alias("failed"))
+    texts = N.paragraph_text(_read(done)[1]).select("doc", F.col("section_index").cast("long").alias("section_index"), F.col("paragraph").cast("long").alias("paragraph"), "text")
+    return texts.join(failed, "doc").join(same, "doc")
