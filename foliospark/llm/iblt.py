@@ -4,18 +4,25 @@ A text is cut into paragraphs (lines, the sentences of a line, and long
 sentences where their words say so), each a 64-bit digest that also counts its
 earlier repeats, so a text is a set of digests. Every digest is added to three
 cells of a table; a cell holds a count, the exclusive or of its digests and
-that of their checks. The stored tables of two texts are subtracted cell by
-cell, and peeling cells that hold a single digest recovers what differs. Where
-peeling gets stuck the tables were too small for the difference, and both are
-built anew, four times as large and then twice as large each time.
+that of their checks. A table has cells in proportion to its text's paragraphs,
+and more where these don't suffice to peel it: sizes double until every digest
+of the text is recovered from its table alone. Sizes are powers of two, so a
+table folds to any smaller size.
+
+The tables of two texts are folded to one size and subtracted cell by cell, and
+peeling cells that hold a single digest recovers what differs. Where that gets
+stuck, the texts differ in more than the smaller table has room for; then each
+table is peeled alone. So the fingerprints give every likeness by themselves.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +34,8 @@ from . import scratch
 from .sharding import range_of
 from .words import mix
 
-#: Cells of a stored fingerprint; three tables side by side, each of a third.
-CELLS = 12
+#: Cells of a third of the smallest table; a power of two.
+LEAST = 8
 
 
 #: Characters beyond which a sentence is cut further.
@@ -72,10 +79,15 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return doc, mix(d + mix(nth.astype(np.uint64) + np.uint64(1)))
 
 
-def cells_of(d: np.ndarray, cells) -> np.ndarray:
-    """The three cells of each digest in a table of so many cells (one size, or one a digest)."""
-    third = np.asarray(cells, np.uint64) // np.uint64(3)
-    return np.stack([(mix(d ^ np.uint64(0xA5A5_0000 + i)) % third + third * np.uint64(i)).astype(np.int64) for i in range(3)])
+def cells_of(d: np.ndarray, third: int) -> np.ndarray:
+    """The three cells of each digest in a table of three thirds; a smaller third has the same cells but for the high bits."""
+    return np.stack([(mix(d ^ np.uint64(0xA5A5_0000 + i)) & np.uint64(third - 1)).astype(np.int64) + third * i for i in range(3)])
+
+
+def third_for(n: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """The third that a table of n digests starts with: half as many cells as digests, more where few digests may meet in all three."""
+    want = np.maximum.reduce([np.full(len(n), least), n / 2 + 2, np.cbrt(33.0 * n * n)])
+    return 1 << np.ceil(np.log2(want)).astype(np.int64)
 
 
 def check_of(d: np.ndarray) -> np.ndarray:
@@ -90,13 +102,21 @@ def _xor_into(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
         out[at[begins]] ^= np.bitwise_xor.reduceat(values, begins)
 
 
-def tables(doc: np.ndarray, d: np.ndarray, n: int, cells: int) -> list[np.ndarray]:
-    """Counts, digests and checks of the cells of n tables side by side; `doc` says which one each digest goes to."""
+def tables(doc: np.ndarray, d: np.ndarray, n: int, third: int) -> list[np.ndarray]:
+    """Counts, digests and checks of the cells of n tables, a row each; `doc` says which one each digest goes to."""
+    cells = 3 * third
     keys, checks = np.zeros(n * cells, np.uint64), np.zeros(n * cells, np.uint64)
-    at = (cells_of(d, cells) + doc * cells).ravel()
+    at = (cells_of(d, third) + doc * cells).ravel()
     _xor_into(keys, at, np.tile(d, 3))
     _xor_into(checks, at, np.tile(check_of(d), 3))
-    return [np.bincount(at, minlength=n * cells).astype(np.int64), keys, checks]
+    return [x.reshape(n, cells) for x in (np.bincount(at, minlength=n * cells).astype(np.int64), keys, checks)]
+
+
+def folded(found: list[np.ndarray], third: int) -> list[np.ndarray]:
+    """Tables at a smaller size."""
+    n, cells = found[0].shape
+    parts = [x.reshape(n, 3, cells // 3 // third, third) for x in found]
+    return [(np.add if i == 0 else np.bitwise_xor).reduce(x, axis=2).reshape(n, 3 * third) for i, x in enumerate(parts)]
 
 
 def subtract(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
@@ -104,30 +124,32 @@ def subtract(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
 
 
 #: A stored cell.
-CELL = np.dtype([("n", ">u4"), ("k", ">u8"), ("c", ">u4")])
+CELL = np.dtype([("n", ">u2"), ("k", ">u8"), ("c", ">u4")])
 
 
-def stored(found: list[np.ndarray], n: int) -> list[str]:
-    """Fingerprints: the cells of each of n tables, in hex."""
-    raw = np.zeros((n, len(found[0]) // n if n else 0), CELL)
+def stored(found: list[np.ndarray]) -> list[str]:
+    """Fingerprints: the cells of each table of some that are of one size, in base 64."""
+    raw = np.zeros(found[0].shape, CELL)
     for name, values in zip("nkc", found, strict=True):
-        raw[name] = values.reshape(raw.shape)
-    return [r.tobytes().hex() for r in raw]
+        raw[name] = values
+    return [base64.b64encode(r.tobytes()).decode() for r in raw]
 
 
-def loaded(fingerprints: list[str]) -> list[np.ndarray]:
-    """The tables that stored() wrote."""
-    raw = np.frombuffer(bytes.fromhex("".join(fingerprints)), CELL)
+def loaded(fingerprint: str) -> list[np.ndarray]:
+    """The table that stored() wrote, as one row."""
+    raw = np.frombuffer(base64.b64decode(fingerprint), CELL)[None, :]
     return [raw["n"].astype(np.int64), raw["k"].astype(np.uint64), raw["c"].astype(np.uint64)]
 
 
 def peel(found: list[np.ndarray], n: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Of n subtracted tables, all peeled together: (table, digest) of what only the first and only the second held, and which got stuck."""
-    counts, keys, checks = (x.copy() for x in found)
-    size = len(counts) // n
+    counts, keys, checks = (x.ravel().copy() for x in found)
+    size = len(counts) // max(n, 1)
     got: tuple[list, list] = ([], [])
     look = np.arange(len(counts))
-    while len(look):
+    for _ in range(size + 1):  # a table gives no more digests than it has cells, but one that isn't a text's could go on
+        if not len(look):
+            break
         look = look[np.abs(counts[look]) == 1]
         look = look[check_of(keys[look]) == checks[look]]
         # A digest may be alone in two or three of its cells at once.
@@ -139,7 +161,7 @@ def peel(found: list[np.ndarray], n: int) -> tuple[list[tuple[np.ndarray, np.nda
         which, key, s = which[first], key[first], s[first]
         for k, side in ((0, s > 0), (1, s < 0)):
             got[k].append((which[side], key[side]))
-        at = (cells_of(key, size) + which * size).ravel()
+        at = (cells_of(key, size // 3) + which * size).ravel()
         np.add.at(counts, at, -np.tile(s, 3))
         _xor_into(keys, at, np.tile(key, 3))
         _xor_into(checks, at, np.tile(check_of(key), 3))
@@ -149,37 +171,87 @@ def peel(found: list[np.ndarray], n: int) -> tuple[list[tuple[np.ndarray, np.nda
     return [tuple(np.concatenate([x[i] for x in side]) if side else np.zeros(0, (np.int64, np.uint64)[i]) for i in (0, 1)) for side in got], stuck
 
 
-def differences(first: list[np.ndarray], doc_a: np.ndarray, a: np.ndarray, doc_b: np.ndarray, b: np.ndarray, n: int):
-    """Digests only in the first and only in the second text of each of n pairs: (pair, digest) twice.
-
-    `first` are the subtracted stored tables. Only pairs that get stuck in
-    these look at the digests (a, b) again, in larger tables, whatever it takes.
-    """
-    out: tuple[list, list] = ([], [])
-    open_, found, size = np.arange(n), first, len(first[0]) // max(n, 1) * 4
-    while len(open_):
-        got, stuck = peel(found, len(open_))
-        for k in (0, 1):
-            which, key = got[k]
-            fine = ~stuck[which]
-            out[k].append((open_[which[fine]], key[fine]))
-        open_ = open_[stuck]
-        if len(open_):
-            place = np.full(n, -1)
-            place[open_] = np.arange(len(open_))
-            found = subtract(*(tables(place[doc][place[doc] >= 0], d[place[doc] >= 0], len(open_), size) for doc, d in ((doc_a, a), (doc_b, b))))
-            size *= 2
-    return tuple(tuple(np.concatenate([x[i] for x in side]) if side else np.zeros(0, (np.int64, np.uint64)[i]) for i in (0, 1)) for side in out)
-
-
-def likeness(table_a: list[np.ndarray], table_b: list[np.ndarray], doc_a, a, doc_b, b, n: int) -> np.ndarray:
-    """Shared paragraphs of all paragraphs of each pair, from the recovered differences; 1 for two empty texts."""
-    (only_a, _), (only_b, _) = differences(subtract(table_a, table_b), doc_a, a, doc_b, b, n)
-    count = lambda x: np.bincount(x, minlength=n)
-    sizes = table_a[0].reshape(n, -1).sum(axis=1) // 3
-    shared = sizes - count(only_a)
-    union = shared + count(only_a) + count(only_b)
-    return np.where(union == 0, 1.0, shared / np.maximum(union, 1))
+@dataclass
+class Tables:
+    """Tables of many texts by size, and the digests that each gives when it is peeled alone."""
+
+    third: np.ndarray  # of each text
+    place: np.ndarray  # of each text among those of its size
+    found: dict[int, list[np.ndarray]]
+    doc: np.ndarray  # what was peeled, sorted by text
+    d: np.ndarray
+
+    def at(self, texts: np.ndarray, third: int) -> list[np.ndarray]:
+        """The tables of some texts of one size, folded."""
+        size = int(self.third[texts[0]])
+        return folded([x[self.place[texts]] for x in self.found[size]], third)
+
+    def sizes(self, texts: np.ndarray) -> np.ndarray:
+        """How many digests each of some texts of one size has."""
+        return self.found[int(self.third[texts[0]])][0][self.place[texts]].sum(axis=1) // 3
+
+
+def build(doc: np.ndarray, d: np.ndarray, n: int, least: int = LEAST) -> Tables:
+    """A table for each of n texts, of the first size from which it can be peeled."""
+    third = third_for(np.bincount(doc, minlength=n), least)
+    place, found, got = np.zeros(n, np.int64), {}, []
+    for size in iter_sizes(third):
+        mine = np.flatnonzero(third == size)
+        row = np.full(n, -1)
+        row[mine] = np.arange(len(mine))
+        own = row[doc] >= 0
+        made = tables(row[doc[own]], d[own], len(mine), size)
+        ((which, key), _), stuck = peel(made, len(mine))
+        third[mine[stuck]] = size * 2
+        fine = np.flatnonzero(~stuck)
+        place[mine[fine]] = np.arange(len(fine))
+        found[size] = [x[fine] for x in made]
+        keep = ~stuck[which]
+        got.append((mine[which[keep]], key[keep]))
+    which, key = (np.concatenate([x[i] for x in got]) if got else np.zeros(0, (np.int64, np.uint64)[i]) for i in (0, 1))
+    order = np.lexsort((key, which))
+    return Tables(third, place, found, which[order], key[order])
+
+
+def iter_sizes(third: np.ndarray) -> Iterator[int]:
+    """Sizes from the smallest up, also those that come to be asked for on the way."""
+    size = 0
+    while len(more := third[third > size]):
+        size = int(more.min())
+        yield size
+
+
+def likeness(t: Tables, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shared paragraphs of all paragraphs of each pair of texts, from their tables alone; 1 for two empty texts."""
+    out = np.ones(len(a))
+    for ta, tb in sorted({*zip(t.third[a].tolist(), t.third[b].tolist(), strict=True)}):
+        pairs = np.flatnonzero((t.third[a] == ta) & (t.third[b] == tb))
+        x, y, third = a[pairs], b[pairs], min(ta, tb)
+        ((only_a, _), (only_b, _)), stuck = peel(subtract(t.at(x, third), t.at(y, third)), len(pairs))
+        sizes_a, sizes_b = t.sizes(x), t.sizes(y)
+        shared = sizes_a - np.bincount(only_a, minlength=len(pairs))
+        union = shared + np.bincount(only_a, minlength=len(pairs)) + np.bincount(only_b, minlength=len(pairs))
+        for i in np.flatnonzero(stuck):  # each table is peeled alone
+            first, second = (t.d[slice(*np.searchsorted(t.doc, [k, k + 1]))] for k in (x[i], y[i]))
+            shared[i] = len(np.intersect1d(first, second, assume_unique=True))
+            union[i] = sizes_a[i] + sizes_b[i] - shared[i]
+        out[pairs] = np.where(union == 0, 1.0, shared / np.maximum(union, 1))
+    return out
+
+
+def compare(first: str, second: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of two fingerprints: the digests only in the first, those only in the second, and the likeness."""
+    a, b = loaded(first), loaded(second)
+    third = min(a[0].shape[1], b[0].shape[1]) // 3
+    ((_, x), (_, y)), stuck = peel(subtract(folded(a, third), folded(b, third)), 1)
+    if stuck[0]:
+        (((_, own), _), no), (((_, other), _), nor) = (peel(f, 1) for f in (a, b))
+        if no[0] or nor[0]:
+            raise ValueError("not a fingerprint")
+        x, y = np.setdiff1d(own, other), np.setdiff1d(other, own)
+    shared = int(a[0].sum()) // 3 - len(x)
+    union = shared + len(x) + len(y)
+    return x, y, shared / union if union else 1.0
 
 
 def neighbours(docs: DataFrame, text: str = "text", ident: str = "doc_id", rows: int = 4096, most: int = 4096) -> DataFrame:
@@ -241,14 +313,15 @@ def _pairs(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[
                 ids.append(ident)
 
 
-def fingerprint_pairs(docs: DataFrame, text: str = "text", ident: str = "doc_id", cells: int = CELLS) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and likenesses recovered from tables.
+def fingerprint_pairs(docs: DataFrame, text: str = "text", ident: str = "doc_id", least: int = LEAST) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and likenesses recovered from them.
 
     The edited text has its last floor(n / 2) code points replaced by the first
     as many (or all) of the next document by descending ident. Columns: ident,
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next. A null text is empty; a single document is its own successor;
-    an empty table gives an empty result.
+    an empty table gives an empty result. compare() gives the same likeness
+    for any two of the returned strings.
     """
     kind = docs.schema[ident].dataType.simpleString()
     rows = neighbours(docs, text, ident).repartition("block").sortWithinPartitions("block", "tail", F.desc_nulls_last("id"), F.desc("h"))
@@ -257,21 +330,20 @@ def fingerprint_pairs(docs: DataFrame, text: str = "text", ident: str = "doc_id"
         for ids, texts in _pairs(batches):
             n = len(ids)
             edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, texts[1:], strict=False)]
-            doc, d = digests(texts)
-            edoc, ed = digests(edited)
-            own, following = doc < n, doc > 0
-            # The same tables are stored and subtracted.
-            every, eds = tables(doc, d, n + 1, cells), tables(edoc, ed, n, cells)
-            mine, theirs = [x[: n * cells] for x in every], [x[cells:] for x in every]
+            t = build(*digests(texts + edited), 2 * n + 1, least)
+            prints = np.empty(2 * n + 1, object)
+            for size, found in t.found.items():
+                prints[t.third == size] = stored(found)
+            every = np.arange(n)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, id_type),
-                    pa.array([len(t) for t in texts[:n]], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-                    pa.array(stored(mine, n)),
-                    pa.array(stored(eds, n)),
-                    pa.array(likeness(mine, eds, doc[own], d[own], edoc, ed, n)),
-                    pa.array(likeness(mine, theirs, doc[own], d[own], doc[following] - 1, d[following], n)),
+                    pa.array([len(x) for x in texts[:n]], pa.int64()),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited]),
+                    pa.array(prints[:n].tolist(), pa.string()),
+                    pa.array(prints[n + 1 :].tolist(), pa.string()),
+                    pa.array(likeness(t, every, every + n + 1)),
+                    pa.array(likeness(t, every, every + 1)),
                 ],
                 [ident, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )

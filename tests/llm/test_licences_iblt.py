@@ -112,29 +112,46 @@ def test_fingerprints_odd(spark):
 def test_differences_recovered():
     rnd = random.Random(5)
     a = [rnd.getrandbits(64) for _ in range(900)]
-    b = a[400:] + [rnd.getrandbits(64) for _ in range(700)]
-    a, b = np.array(a, np.uint64), np.array(b, np.uint64)
-    first = iblt.subtract(*(iblt.tables(np.zeros(len(x), int), x, 1, 12) for x in (a, b)))
-    (_, only_a), (_, only_b) = iblt.differences(first, np.zeros(900, int), a, np.zeros(len(b), int), b, 1)
-    assert set(only_a.tolist()) == set(a.tolist()) - set(b.tolist()) and set(only_b.tolist()) == set(b.tolist()) - set(a.tolist())
+    for b in (a[400:] + [rnd.getrandbits(64) for _ in range(700)], a[:899], a[5:8], [], [rnd.getrandbits(64) for _ in range(5000)]):
+        d, doc = np.array(a + b, np.uint64), np.repeat([0, 1], [len(a), len(b)])
+        t = iblt.build(doc, d, 2)
+        prints = [iblt.stored([x[[t.place[i]]] for x in t.found[int(t.third[i])]])[0] for i in (0, 1)]
+        only_a, only_b, near = iblt.compare(*prints)
+        assert set(only_a.tolist()) == set(a) - set(b) and set(only_b.tolist()) == set(b) - set(a)
+        assert near == pytest.approx(len(set(a) & set(b)) / len(set(a) | set(b))) and iblt.likeness(t, np.array([0]), np.array([1]))[0] == near
+    with pytest.raises(ValueError):
+        iblt.compare(prints[0][:-56] + "A" * 56, prints[1])
+
+
+def test_tables_fold():
+    d = np.array([random.Random(i).getrandbits(64) for i in range(50)], np.uint64)
+    zero = np.zeros(50, int)
+    for third in (8, 16, 64):
+        assert all((x == y).all() for x, y in zip(iblt.folded(iblt.tables(zero, d, 1, 128), third), iblt.tables(zero, d, 1, third), strict=True))
+
+
+def test_every_table_is_peeled_alone():
+    """Whatever its size, a text's digests come back from its table; few tables need more room than they start with."""
+    rnd, grown = random.Random(8), 0
+    sizes = [*range(120)] * 5 + [1000, 5000]
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    d = np.array([rnd.getrandbits(64) for _ in range(len(doc))], np.uint64)
+    t = iblt.build(doc, d, len(sizes))
+    order = np.lexsort((d, doc))
+    assert (t.doc == doc[order]).all() and (t.d == d[order]).all()
+    grown = (t.third > iblt.third_for(np.array(sizes))).sum()
+    assert grown < 0.05 * len(sizes)
 
 
 def test_likeness_follows_from_the_fingerprints(spark):
-    """Where the returned strings can be peeled, they alone give the likeness; for some they do, for others they are too small."""
-    lines = [f"line {i} of many" for i in range(400)]
-    rows = [(2000 - i, "\n".join(lines[i : i + 40 + i % 3])) for i in range(200)] + [(5, "a\nb")]
-    got = iblt.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    by, peeled = {r.doc_id: r for r in got}, 0
+    """The returned strings alone give the likeness, in every row."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = iblt.fingerprint_pairs(docs).collect()
+    by = {r.doc_id: r for r in got}
     order = sorted(by, reverse=True)
     for i, j in zip(order, order[1:] + order[:1], strict=True):
-        for other, near in ((by[i].edited_fingerprint, by[i].near_edited), (by[j].fingerprint, by[i].near_next)):
-            a, b = iblt.loaded([by[i].fingerprint]), iblt.loaded([other])
-            ((_, only_a), (_, only_b)), stuck = iblt.peel(iblt.subtract(a, b), 1)
-            if not stuck[0]:
-                shared = int(a[0].sum()) // 3 - len(only_a)
-                assert near == pytest.approx(shared / max(1, shared + len(only_a) + len(only_b)))
-                peeled += 1
-    assert 150 < peeled < 2 * len(rows)
+        assert iblt.compare(by[i].fingerprint, by[i].edited_fingerprint)[2] == pytest.approx(by[i].near_edited)
+        assert iblt.compare(by[i].fingerprint, by[j].fingerprint)[2] == pytest.approx(by[i].near_next)
 
 
 def test_long_sentences_are_cut():
