@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import scratch
 
 #: The end id of the dealt format, words held at a time and the longest one held, the largest tokenizer file that is broadcast, the most parts whose totals are.
-END, HELD, LONG, LARGEST, PARTS = 2, 1 << 18, 64, 64 << 20, 1 << 17
+END, HELD, LONG, LARGEST, PARTS = 2, 1 << 17, 64, 64 << 20, 1 << 17
 #: Parquet settings: bytes and rows of a row group and of a page, encodings by column.
 LAYOUT = {
     "compression": "zstd",
