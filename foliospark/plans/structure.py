@@ -14,7 +14,7 @@ from foliospark.operators import xpath as X
 from foliospark.operators.contents import package_blocks
 from foliospark.operators.editlog import apply_log
 from foliospark.plans.catalogue import query, table
-from foliospark.plans.documents import _BASE, _read, packages
+from foliospark.plans.documents import _BASE, _read, _records, packages
 from foliospark.sources import binary as B
 from foliospark.sources import packages as P
 from foliospark.sources.shared import kept
@@ -145,3 +145,47 @@ def package_edit_log(spark, sf) -> DataFrame:
     failed = done.select("doc", F.size(F.filter("results", lambda r: ~r.ok)).cast("long").alias("failed"))
     texts = N.paragraph_text(_read(done)[1]).select("doc", F.col("section_index").cast("long").alias("section_index"), F.col("paragraph").cast("long").alias("paragraph"), "text")
     return texts.join(failed, "doc").join(same, "doc")
+
+
+# -- tokens of binary texts, differences ------------------------------------------------------------
+
+#: Controls that stand in a paragraph's text, by kind of block; `@` marks what a field shows.
+_MARKS = {"table": "tbl ", "hyperlink": "%hlk", "bookmark": "bokm", "field": "%mai", "chart": "gso ", "auto_number": "nwno", "header": "head", "footer": "foot", "shape": "gso ", "picture": "gso ", "ole": "gso "}
+_mark = "case when kind = 'note' then case when name = 'endNote' then 'en  ' else 'fn  ' end " + " ".join(f"when kind = '{k}' then '{v}'" for k, v in _MARKS.items()) + " end"
+_entry = lambda kind, value, matched: f"{{'kind': '{kind}', 'value': {value}, 'matched': {matched}}}"
+
+
+@query(
+    f"with b(k, kind, name) as (values {_rows}), d as (select 'c' || conv_id as doc, (turn % 2)::bigint as section_index, (turn // 2)::bigint as nth, text, conv_id * 10 + turn as n, kind, name from conversations join b on k = (conv_id + turn) % {len(_BLOCKS)}), "
+    f"t as (select doc, section_index, nth, case when kind = 'paragraph' then [{_entry('text', 'text', 'null::boolean')}] when kind in ('hyperlink', 'field') then [{_entry('control', _mark, 'true')}, {_entry('text', chr(39) + 'shown ' + chr(39) + ' || n', 'null')}, {_entry('end', chr(39) * 2, 'null')}, {_entry('text', chr(39) * 2, 'null')}] "
+    f"else [{_entry('control', _mark, 'true')}, {_entry('text', chr(39) * 2, 'null')}] end as ts from d where kind not in ('equation', 'form', 'memo')) "
+    "select doc, section_index, nth, unnest(range(len(ts))) as token, unnest(ts).kind as kind, unnest(ts).value as value, unnest(ts).matched as matched from t"
+)
+def binary_tokens(spark, sf) -> DataFrame:
+    """Texts of top-level paragraphs as characters and controls, each control with its record."""
+    records = kept(B.records(B.streams(convert.to_binary(kept(turn_blocks(spark, sf), "blocks")))), "records")
+    at = ["doc", "section_index", "paragraph"]
+    tops = R.ordinal(B.paragraphs(records).where("level = 0").select(*at), ["doc", "section_index"], [F.col("paragraph")], "nth", 0)
+    tokens = kept(B.text_tokens(records), "tokens")
+    found = B.inline_controls(tokens, B.controls(records)).select(*at, "token", F.col("ord").isNotNull().alias("matched"))
+    value = F.when(F.col("kind") == "control", F.col("control_id")).otherwise(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")))
+    rows = tokens.join(tops, at).join(found, [*at, "token"], "left")
+    return rows.select("doc", F.col("section_index").cast("long").alias("section_index"), F.col("nth").cast("long").alias("nth"), F.col("token").cast("long").alias("token"), "kind", value.alias("value"), "matched")
+
+
+@query(
+    f"{_BASE}, s as (select distinct doc, conv_id, section_index from d) select doc, 'BodyText/Section' || section_index as path, case when conv_id % 3 = 0 and section_index = 0 then 'changed' else 'removed' end as status, case when conv_id % 3 = 0 and section_index = 0 then 1 else 0 end::bigint as records "
+    "from s where (conv_id % 3 = 0 and section_index = 0) or (conv_id % 3 = 1 and section_index = 1) union all select distinct doc, 'BodyText/Section9', 'added', 0::bigint from s where conv_id % 3 = 2"
+)
+def binary_diffs(spark, sf) -> DataFrame:
+    """Two versions of every document: a record changed in some, a stream removed or added in others; each told of its own document."""
+    streams, records = _records(spark, sf)
+    number = F.substring("doc", 2, 20).cast("int")
+    first = records.groupBy("doc", "stream").agg(F.min(F.when(B.tag("para_text"), F.col("ord"))).alias("at"))
+    later = records.join(first, ["doc", "stream"]).withColumn("payload", F.when((F.col("ord") == F.col("at")) & (F.col("stream") == "BodyText/Section0") & (number % 3 == 0), F.encode(F.lit("other\r"), "UTF-16LE")).otherwise(F.col("payload")))
+    rest = streams.where("path not like 'BodyText/%'").select("doc", "path", "logical")
+    bodies = B.encode(later.where("stream like 'BodyText/%'").select("doc", "stream", "ord", "tag_id", "level", "payload")).where(~((number % 3 == 1) & (F.col("path") == "BodyText/Section1")))
+    new = streams.select("doc").distinct().where(number % 3 == 2).select("doc", F.lit("BodyText/Section9").alias("path"), F.lit(b"new").alias("logical"))
+    after = kept(rest.unionByName(bodies).unionByName(new), "after")
+    changed = B.record_diff(records, later).groupBy("doc", F.col("stream").alias("path")).agg(F.count("*").alias("records"))
+    return B.stream_diff(streams, after).join(changed, ["doc", "path"], "left").select("doc", "path", "status", F.coalesce("records", F.lit(0)).alias("records"))

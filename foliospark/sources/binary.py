@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,6 +190,95 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     return heads.join(texts, ["doc", "section_index", "paragraph"], "left").withColumn("raw_text", F.coalesce("raw_text", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def text_tokens(rows: DataFrame) -> DataFrame:
+    """(doc, section_index, paragraph, token, at, units, kind, text, control_id): texts of paragraphs as runs of characters and controls.
+
+    A control is eight units whose fourth to seventh are 0, after a code below
+    32; it is a `control` with the id that it names, or the `end` of a field. A
+    code without that form is passed over, but for tabs and breaks, which are
+    characters. `at` counts units from the paragraph's start; lone surrogates
+    are dropped from texts.
+    """
+
+    def cut(raw: bytes) -> list[tuple[int, int, str, str | None, str | None]]:
+        u = np.frombuffer(raw, "<u2", len(raw) // 2)
+        out, i, begin, kept = [], 0, None, []
+
+        def close(end: int) -> None:
+            nonlocal begin
+            if begin is not None:
+                out.append((begin, end - begin, "text", np.array(kept, "<u2").tobytes().decode("utf-16-le", "ignore"), None))
+                begin = None
+                kept.clear()
+
+        for stop in [*np.flatnonzero(u < 32).tolist(), len(u)]:
+            if stop < i:  # within a control
+                continue
+            if stop > i:
+                begin = i if begin is None else begin
+                kept.extend(u[i:stop].tolist())
+            if stop == len(u):
+                i = stop
+                break
+            if stop + 7 < len(u) and not u[stop + 3 : stop + 7].any():
+                if u[stop] in (9, 10, 13):
+                    begin = stop if begin is None else begin
+                    kept.append(int(u[stop]))
+                close(stop)
+                name = u[stop + 1 : stop + 3].tobytes()[::-1].decode("latin-1")
+                out.append((stop, 8, "end", None, None) if name == "\0\0\0\0" else (stop, 8, "control", None, name))
+                i = stop + 8
+            else:
+                if u[stop] in (9, 10, 13):
+                    begin = stop if begin is None else begin
+                    kept.append(int(u[stop]))
+                i = stop + 1
+        close(i)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = [(n, *t) for n, t in enumerate(cut(batch.column(1)[i].as_py() or b""))]
+                for j in range(0, len(found), 20_000):
+                    piece = list(zip(*found[j : j + 20_000], strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(piece[0]))), *(pa.array(c, t) for c, t in zip(piece, types, strict=True))], ["p", "token", "at", "units", "kind", "text", "control_id"])
+
+    body = rows.where("section_index is not null")
+    order = Window.partitionBy("doc", "section_index").orderBy("ord")
+    marked = body.where(tag("para_header") | tag("para_text")).withColumn("paragraph", F.sum(F.when(tag("para_header"), 1).otherwise(0)).over(order) - 1).where("paragraph >= 0")
+    last = marked.where(tag("para_text")).groupBy("doc", "section_index", "paragraph").agg(F.max_by("payload", "ord").alias("payload"))
+    made = last.select(F.struct("doc", "section_index", "paragraph").alias("p"), "payload").mapInArrow(run, "p struct<doc:string,section_index:int,paragraph:bigint>, token int, at int, units int, kind string, text string, control_id string")
+    return made.select("p.*", "token", "at", "units", "kind", "text", "control_id")
+
+
+def inline_controls(tokens: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, section_index, paragraph, token, ord): each control in a text with its record, in order; `ord` is null where there is none.
+
+    `tokens` are text_tokens(), `found` controls(). A token takes the first
+    record of its id after the last one taken, as records follow their texts.
+    """
+    at = ["doc", "section_index", "paragraph"]
+    mine = tokens.where("kind = 'control'").select(*at, F.col("token").cast("long").alias("ord"), "control_id")
+    theirs = found.select(*at, F.col("ord").cast("long").alias("ord"), "control_id")
+    pairs = R.forward_matches(mine, theirs.join(mine.select(*at).distinct(), at, "left_semi"), at, "ord", "control_id")
+    return pairs.select(*at, F.col("token_ord").cast("int").alias("token"), F.col("item_ord").cast("int").alias("ord"))
+
+
+def shown_texts(tokens: DataFrame) -> DataFrame:
+    """(doc, section_index, paragraph, token, text): what each field shows, by the token that begins it; texts in a field within count for the inner one."""
+    at = ["doc", "section_index", "paragraph"]
+    order = Window.partitionBy(*at).orderBy("token").rowsBetween(Window.unboundedPreceding, 0)
+    field = (F.col("kind") == "control") & F.startswith("control_id", F.lit("%"))
+    # Ends are matched like brackets: at every depth the last field begun is the open one.
+    deep = tokens.withColumn("_begin", F.when(field, F.col("token"))).withColumn("_depth", F.sum(F.when(field, 1).when(F.col("kind") == "end", -1).otherwise(0)).over(order))
+    level = Window.partitionBy(*at, "_depth").orderBy("token").rowsBetween(Window.unboundedPreceding, 0)
+    owned = deep.withColumn("_open", F.max("_begin").over(level)).where("kind = 'text' and _depth > 0 and _open is not null")
+    texts = R.joined_text(owned, [*at, "_open"], "token", "text", "").withColumnRenamed("_open", "token")
+    return deep.where(field).select(*at, "token").join(texts, [*at, "token"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def document_text(found: DataFrame) -> DataFrame:
     """(doc, text): carriage returns are line breaks, breaks at the ends and empty paragraphs go."""
     clean = F.regexp_replace(F.replace("text", F.lit("\r"), F.lit("\n")), r"^\n+|\n+$", "")
@@ -401,33 +491,32 @@ def encode(rows: DataFrame) -> DataFrame:
 
 
 def stream_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(path, status) of streams that differ between two documents, by digest: missing on a side, or different."""
-    x = a.select("path", F.sha2("logical", 256).alias("x"))
-    y = b.select("path", F.sha2("logical", 256).alias("y"))
+    """(doc, path, status) of streams that differ between two versions of each document, by digest: added, removed or changed."""
+    cut = lambda r, name: r.where("path is not null").select("doc", "path", F.sha2("logical", 256).alias(name))
     status = F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").otherwise("changed")
-    return x.join(y, "path", "full_outer").where(~F.col("x").eqNullSafe(F.col("y"))).select("path", status.alias("status"))
+    return cut(a, "x").join(cut(b, "y"), ["doc", "path"], "full_outer").where(~F.col("x").eqNullSafe(F.col("y"))).select("doc", "path", status.alias("status"))
 
 
 def record_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Records that differ by place in their stream."""
-    cut = lambda r: r.select("stream", "ord", "tag_id", "level", F.sha2("payload", 256).alias("digest"))
-    return R.positional_diff(cut(a), cut(b), ["stream", "ord"], ["tag_id", "level", "digest"])
+    """Records of each document that differ by place in their stream."""
+    cut = lambda r: r.select("doc", "stream", "ord", "tag_id", "level", F.sha2("payload", 256).alias("digest"))
+    return R.positional_diff(cut(a), cut(b), ["doc", "stream", "ord"], ["tag_id", "level", "digest"])
 
 
 def subtree_diff(a: DataFrame, b: DataFrame, kind: str = "shape_component") -> DataFrame:
-    """Records that differ below records of a kind, by place below the nth one of each stream."""
+    """Records of each document that differ below records of a kind, by place below the nth one of each stream."""
 
     def cut(rows: DataFrame) -> DataFrame:
         tops = R.ordinal(rows.where(tag(kind)), ["doc", "stream"], [F.col("ord")], "nth", 0).select("doc", "stream", F.col("ord").alias("top"), "nth", F.col("level").alias("base"))
         own = rows.withColumn("top", F.explode(F.concat("ancestors", F.array("ord")))).join(tops, ["doc", "stream", "top"])
-        return own.select("stream", "nth", (F.col("ord") - F.col("top")).alias("at"), "tag_id", (F.col("level") - F.col("base")).alias("depth"), F.sha2("payload", 256).alias("digest"))
+        return own.select("doc", "stream", "nth", (F.col("ord") - F.col("top")).alias("at"), "tag_id", (F.col("level") - F.col("base")).alias("depth"), F.sha2("payload", 256).alias("digest"))
 
-    return R.positional_diff(cut(a), cut(b), ["stream", "nth", "at"], ["tag_id", "depth", "digest"])
+    return R.positional_diff(cut(a), cut(b), ["doc", "stream", "nth", "at"], ["tag_id", "depth", "digest"])
 
 
 def layout_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Entries of two files' directories that differ, by path."""
-    return R.positional_diff(a.drop("doc"), b.drop("doc"), ["path"], ["kind", "start", "size"])
+    """Entries of each document's directory that differ between two files of it, by path."""
+    return R.positional_diff(a, b, ["doc", "path"], ["kind", "start", "size"])
 
 
 def capacities(found: DataFrame) -> DataFrame:
