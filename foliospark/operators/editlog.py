@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import copy
 import io
+import json
 import re
 import zipfile
 from dataclasses import dataclass, field
@@ -32,8 +33,9 @@ OPERATIONS: dict[str, tuple[str, ...]] = {
     "insert_paragraph": ("at", "text"), "insert_xml": ("at", "xml"), "append_paragraph": ("text",), "delete_paragraph": ("paragraph",), "move_paragraph": ("paragraph", "at"), "copy_paragraph": ("paragraph", "at"),
     "set_text": ("paragraph", "text"), "replace_xml": ("paragraph", "xml"), "replace_text": ("old", "text"), "set_style": ("paragraph",), "insert_control": ("paragraph", "xml"), "delete_control": ("paragraph", "control"),
     "move_control": ("paragraph", "control", "to_paragraph"), "copy_control": ("paragraph", "control", "to_paragraph"),
+    "append_row": ("table",), "merge_cells": ("table", "row", "col", "to_row", "to_col"), "set_cell": ("table", "row", "col", "text"),
 }
-COLUMNS = "doc string, seq int, op string, section int, paragraph int, at int, control int, to_section int, to_paragraph int, to_control int, n int, text string, old string, xml string, attrs map<string,string>"
+COLUMNS = "doc string, seq int, op string, section int, paragraph int, at int, control int, to_section int, to_paragraph int, to_control int, table int, row int, col int, to_row int, to_col int, n int, text string, old string, xml string, attrs map<string,string>"
 RESULT = "doc string, content binary, changed boolean, results array<struct<seq:int,ok:boolean,reason:string>>"
 _TAG = re.compile(rb"""<[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
 
@@ -99,6 +101,68 @@ def _index(i: int, n: int, what: str, past: int = 0) -> int:
     return at
 
 
+def _attr(tag: bytes, name: str) -> str | None:
+    found = re.search(rb"\s" + name.encode() + rb"""\s*=\s*(?:"([^"]*)"|'([^']*)')""", tag)
+    return (found[1] if found[1] is not None else found[2]).decode() if found else None
+
+
+def _with_attrs(tag: bytes, values: dict[str, str]) -> bytes:
+    """A start tag with attributes set: in their place, or first."""
+    for k, v in sorted(values.items()):
+        new = f" {k}={quoteattr(markup_safe(v))}".encode()
+        found = re.search(rb"\s" + re.escape(k.encode()) + rb"""\s*=\s*("[^"]*"|'[^']*')""", tag)
+        at = re.match(rb"<[^\s/>]+", tag).end()
+        tag = tag[: found.start()] + new + tag[found.end() :] if found else tag[:at] + new + tag[at:]
+    return tag
+
+
+def _spliced(p: bytes, start: int, end: int, cuts: list[tuple[int, int, bytes]]) -> bytes:
+    """Bytes [start, end) with ranges replaced."""
+    out, at = [], start
+    for a, b, new in sorted(cuts, key=lambda c: (c[0], c[1])):
+        out += [p[at:a], new]
+        at = b
+    return b"".join([*out, p[at:end]])
+
+
+@dataclass
+class Cell:
+    """A table's cell: its elements, and the places that it takes."""
+
+    tc: Span
+    address: Span | None
+    span: Span | None
+    row: int = 0
+    col: int = 0
+    row_span: int = 1
+    col_span: int = 1
+
+
+class Table:
+    """A table in a paragraph's bytes; tables within its cells are no part of it."""
+
+    def __init__(self, p: bytes, top: Span, found: list[Span]) -> None:
+        self.p, self.top, self.found, self.cells = p, top, found, []
+        own = self.within(top)
+        self.rows = [e for e in own if e.local == "tr" and e.depth == top.depth + 1]
+        number = lambda e, name, other: int(v) if e is not None and (v := _attr(p[e.start : e.inner], name) or "").isdigit() else other
+        for tc in (e for e in own if e.local == "tc" and e.depth == top.depth + 2):
+            address, span = (next((e for e in self.within(tc) if e.local == name and e.depth == tc.depth + 1), None) for name in ("cellAddr", "cellSpan"))
+            self.cells.append(Cell(tc, address, span, number(address, "rowAddr", 0), number(address, "colAddr", 0), number(span, "rowSpan", 1), number(span, "colSpan", 1)))
+        self.height = max([number(top, "rowCnt", 0), *(c.row + c.row_span for c in self.cells)])
+        self.columns = max([number(top, "colCnt", 0), *(c.col + c.col_span for c in self.cells)])
+
+    def within(self, e: Span, *names: str) -> list[Span]:
+        return [x for x in self.found if e.start < x.start < e.end and (not names or x.local in names)]
+
+    def at(self, row: int, col: int) -> Cell:
+        """The cell that begins at a place."""
+        found = [c for c in self.cells if (c.row, c.col) == (row, col)]
+        if len(found) != 1:
+            raise ValueError(f"{'no cell begins' if not found else 'cells overlap'} at {row}, {col}")
+        return found[0]
+
+
 class Section:
     """A section part as its paragraphs' bytes and what stands around them."""
 
@@ -167,11 +231,7 @@ class Section:
         if layout:
             gone = [(e.start, e.end) for e in found if e.depth == 1 and e.local == "linesegarray"]
             cuts = [c for c in cuts if not any(a <= c[0] and c[1] <= b for a, b in gone)] + [(a, b, b"") for a, b in gone]
-        out, at = [], 0
-        for a, b, new in sorted(cuts, key=lambda c: (c[0], c[1])):
-            out += [p[at:a], new]
-            at = b
-        return b"".join([*out, p[at:]])
+        return _spliced(p, 0, len(p), cuts)
 
     def opened(self, p: bytes) -> tuple[bytes, bytes]:
         """A paragraph's start and end tags, also of an empty element."""
@@ -259,13 +319,76 @@ class Section:
         """Attributes of a paragraph's start tag."""
         i = self.at(r)
         first, p = self.inside(self.items[i][0])[0], self.items[i][0]
-        tag = p[: first.inner]
-        for k, v in sorted((r.attrs or {}).items()):
-            new = f" {k}={quoteattr(markup_safe(v))}".encode()
-            found = re.search(rb"\s" + re.escape(k.encode()) + rb"""\s*=\s*("[^"]*"|'[^']*')""", tag)
-            at = re.match(rb"<[^\s/>]+", tag).end()
-            tag = tag[: found.start()] + new + tag[found.end() :] if found else tag[:at] + new + tag[at:]
-        self.items[i][0] = tag + p[first.inner :]
+        self.items[i][0] = _with_attrs(p[: first.inner], r.attrs or {}) + p[first.inner :]
+
+    # -- tables -------------------------------------------------------------------------
+
+    def table(self, r) -> tuple[int, Table]:
+        """The nth table of the section in document order, and the paragraph that it stands in."""
+        found = [(i, e) for i, (p, _) in enumerate(self.items) if b"tbl" in p for e in self.inside(p) if e.local == "tbl"]
+        i, e = found[_index(r.table, len(found), "table")]
+        return i, Table(self.items[i][0], e, self.inside(self.items[i][0]))
+
+    def append_row(self, r) -> None:
+        """A row like the last one, with the texts of a JSON list and empty cells after them; cells that span from above end there."""
+        i, t = self.table(r)
+        texts = json.loads(r.text) if r.text else []
+        if not isinstance(texts, list) or len(texts) > t.columns:
+            raise ValueError("the texts are no list, or more than there are columns")
+        if not t.rows:
+            raise ValueError("the table has no rows")
+        last = t.rows[-1]
+        if any(e.local != "t" and any(run.start < e.start < run.end and run.depth == e.depth - 1 for run in t.within(last, "run")) for e in t.within(last)):
+            raise ValueError("the last row holds controls, which aren't cloned")
+        own = sorted((c for c in t.cells if last.start < c.tc.start < last.end), key=lambda c: c.col)
+        taken = {k for c in own for k in range(c.col, c.col + c.col_span)}
+        like = own or t.cells[-1:]
+        if not like:
+            raise ValueError("the table has no cells")
+        new = [(c, c.col, c.col_span) for c in own] + [(like[0], k, 1) for k in range(t.columns) if k not in taken]
+        new.sort(key=lambda x: x[1])
+        cells = b"".join(self.cell(t, c, str(texts[n]) if n < len(texts) and texts[n] is not None else "", {"rowAddr": str(t.height), "colAddr": str(col)}, {"rowSpan": "1", "colSpan": str(span)}) for n, (c, col, span) in enumerate(new))
+        p = self.items[i][0]
+        row = p[last.start : last.inner] + cells + p[last.last : last.end]
+        self.items[i][0] = self.edited(p, [(t.top.start, t.top.inner, _with_attrs(p[t.top.start : t.top.inner], {"rowCnt": str(t.height + 1)})), (last.end, last.end, row)])
+
+    def cell(self, t: Table, c: Cell, text: str, address: dict, span: dict | None) -> bytes:
+        """A cell's bytes with a text in its first paragraph, the others empty, and other addresses."""
+        p, cuts, first = t.p, [], True
+        for e in t.within(c.tc, "p"):
+            if not any(o.start < e.start < o.end for o in t.within(c.tc, "p")):
+                name = re.match(rb"<([^\s/>]+)", p[e.start :])[1]
+                tag = p[e.start : e.inner]
+                tag = tag[:-2].rstrip() + b">" if tag.endswith(b"/>") else tag
+                cuts.append((e.start, e.end, tag + self.run(self.text(text if first else "")) + b"</" + name + b">"))
+                first = False
+        cuts += [(e.start, e.inner, _with_attrs(p[e.start : e.inner], v)) for e, v in ((c.address, address), (c.span, span)) if e is not None and v]
+        return _spliced(p, c.tc.start, c.tc.end, cuts)
+
+    def set_cell(self, r) -> None:
+        i, t = self.table(r)
+        c = t.at(r.row, r.col)
+        self.items[i][0] = self.edited(t.p, [(c.tc.start, c.tc.end, self.cell(t, c, r.text, {}, None))])
+
+    def merge_cells(self, r) -> None:
+        """Cells of a range become one, that of its first place; a cell that crosses the range's edge is refused."""
+        i, t = self.table(r)
+        if not (0 <= r.row <= r.to_row < t.height and 0 <= r.col <= r.to_col < t.columns):
+            raise ValueError("the range isn't in the table")
+        anchor, inside = t.at(r.row, r.col), []
+        for c in t.cells:
+            rows, cols = (c.row, c.row + c.row_span - 1), (c.col, c.col + c.col_span - 1)
+            if rows[0] <= r.to_row and rows[1] >= r.row and cols[0] <= r.to_col and cols[1] >= r.col:
+                if rows[0] < r.row or rows[1] > r.to_row or cols[0] < r.col or cols[1] > r.to_col:
+                    raise ValueError(f"the cell at {c.row}, {c.col} crosses the edge of the range")
+                inside.append(c)
+        spans_ = {"rowSpan": str(r.to_row - r.row + 1), "colSpan": str(r.to_col - r.col + 1)}
+        cuts = [(c.tc.start, c.tc.end, b"") for c in inside if c is not anchor]
+        if anchor.span is not None:
+            cuts.append((anchor.span.start, anchor.span.inner, _with_attrs(t.p[anchor.span.start : anchor.span.inner], spans_)))
+        else:
+            cuts.append((anchor.tc.last, anchor.tc.last, self.element("cellSpan", b"", **spans_)))
+        self.items[i][0] = self.edited(t.p, cuts)
 
     def add_control(self, i: int, to: int | None, raw: bytes) -> None:
         """A run of its own for a control, before the run of the control `to`, or last."""

@@ -147,6 +147,24 @@ def package_edit_log(spark, sf) -> DataFrame:
     return texts.join(failed, "doc").join(same, "doc")
 
 
+@query(
+    f"{_BASE}, f as (select doc, conv_id, arg_min(n, paragraph) as n from d where section_index = 0 and k = 2 group by all) "
+    "select doc, r.row::int as \"row\", r.col::int as \"column\", r.rs::int as row_span, r.cs::int as col_span, r.t as text, 1::bigint as failed from (select doc, unnest([{'row': 0, 'col': 0, 'rs': 1, 'cs': 2, 't': n::varchar}, {'row': 1, 'col': 0, 'rs': 1, 'cs': 1, 't': 'c'}, {'row': 1, 'col': 1, 'rs': 1, 'cs': 1, 't': 'z<'}, "
+    "{'row': 2, 'col': 0, 'rs': 1, 'cs': 1, 't': 'x;'}, {'row': 2, 'col': 1, 'rs': 1, 'cs': 1, 't': ''}]) as r from f)"
+)
+def package_table_edits(spark, sf) -> DataFrame:
+    """A row appended to the first table of every document, cells merged, a cell set; a merge that crosses a span is refused."""
+    files = kept(packages(spark, sf), "files")
+    steps = [("merge_cells", 0, 0, 0, 1, None), ("append_row", None, None, None, None, '["x;"]'), ("set_cell", 1, 1, None, None, "z<"), ("merge_cells", 0, 1, 1, 1, None)]
+    rows = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(op).alias("op"), *[F.lit(v).cast("int").alias(n) for n, v in zip(("row", "col", "to_row", "to_col"), at, strict=True)], F.lit(text).cast("string").alias("text")) for i, (op, *at, text) in enumerate(steps)])
+    log = files.select("doc", F.lit(0).alias("section"), F.lit(0).alias("table"), F.explode(rows).alias("r")).select("doc", "section", "table", "r.*")
+    done = kept(apply_log(files, log), "edited")
+    failed = done.where("changed").select("doc", F.size(F.filter("results", lambda r: ~r.ok)).cast("long").alias("failed"))
+    _, nodes = _read(done)
+    tables = nodes.where("local = 'tbl' and section_index = 0").groupBy("doc", "part").agg(F.min("pre").alias("table"))
+    return N.cells(nodes).join(tables, ["doc", "part", "table"], "left_semi").join(failed, "doc").select("doc", "row", "column", "row_span", "col_span", "text", "failed")
+
+
 # -- tokens of binary texts, differences ------------------------------------------------------------
 
 #: Controls that stand in a paragraph's text, by kind of block; `@` marks what a field shows.

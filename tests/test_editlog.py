@@ -22,7 +22,7 @@ RAW = (
 
 class R:
     def __init__(self, **kv):
-        self.__dict__.update(dict.fromkeys(("seq", "op", "section", "paragraph", "at", "control", "to_section", "to_paragraph", "to_control", "n", "text", "old", "xml", "attrs")) | kv)
+        self.__dict__.update(dict.fromkeys(("seq", "op", "section", "table", "row", "col", "to_row", "to_col", "paragraph", "at", "control", "to_section", "to_paragraph", "to_control", "n", "text", "old", "xml", "attrs")) | kv)
 
 
 def done(*rows, raw=RAW, others=()):
@@ -80,6 +80,55 @@ def test_controls_between_sections():
     assert raw.count(b"<q:tbl>") == 2 and told[0][1]
 
 
+def grid(*cells, rows=3, cols=3):
+    """A section with one table; a cell is (row, column, row span, column span, text)."""
+    by = {}
+    for r, c, rs, cs, x in cells:
+        by.setdefault(r, []).append(f'<hp:tc name="k"><hp:subList>{p(t(x))}{p(t("more"))}</hp:subList><hp:cellAddr colAddr="{c}" rowAddr="{r}"/><hp:cellSpan colSpan="{cs}" rowSpan="{rs}"/></hp:tc>')
+    body = "".join(f"<hp:tr>{''.join(by.get(r, []))}</hp:tr>" for r in range(rows))
+    return f'<hs:sec xmlns:hs="x" xmlns:hp="{HP}">{p(t("before"))}{p(f"""<hp:tbl rowCnt="{rows}" colCnt="{cols}">{body}</hp:tbl>""")}</hs:sec>'.encode()
+
+
+def cells_of(raw):
+    """(row, column, row span, column span, texts) of all cells, and the declared rows."""
+    section = L.Section(raw)
+    i, table = section.table(R(table=0))
+    texts = lambda c: ["".join(e.text) for e in table.within(c.tc, "t")]
+    return [(c.row, c.col, c.row_span, c.col_span, texts(c)) for c in table.cells], L._attr(table.p[table.top.start : table.top.inner], "rowCnt")
+
+
+FULL = [(r, c, 1, 1, f"{r}{c}") for r in range(3) for c in range(3)]
+SPANNED = [(0, 0, 3, 1, "tall"), (0, 1, 1, 2, "wide"), (1, 1, 2, 2, "block")]
+
+
+def test_rows_and_merges():
+    raw, told, _ = done(dict(op="append_row", table=0, text='["a<", null]'), raw=grid(*FULL))
+    cells, n = cells_of(raw)
+    assert n == "4" and told == [(0, True, None)]
+    assert cells[:9] == [(r, c, 1, 1, [x, "more"]) for r, c, _, _, x in FULL] and cells[9:] == [(3, 0, 1, 1, ["a<", ""]), (3, 1, 1, 1, ["", ""]), (3, 2, 1, 1, ["", ""])]
+    raw, told, _ = done(dict(op="merge_cells", table=0, row=0, col=1, to_row=1, to_col=2), dict(op="merge_cells", table=0, row=0, col=0, to_row=0, to_col=1), dict(op="set_cell", table=0, row=0, col=1, text="one"), dict(op="set_cell", table=0, row=1, col=1, text="gone"), raw=grid(*FULL))
+    assert [ok for _, ok, _ in told] == [True, False, True, False] and "crosses the edge" in told[1][2]
+    assert cells_of(raw)[0] == [(0, 0, 1, 1, ["00", "more"]), (0, 1, 2, 2, ["one", ""]), (1, 0, 1, 1, ["10", "more"]), *((2, c, 1, 1, [f"2{c}", "more"]) for c in range(3))]
+
+
+def test_rows_below_spans():
+    """Spans that end at the last row get cells below them."""
+    raw, told, _ = done(dict(op="append_row", table=0, text='["x", "y"]'), dict(op="merge_cells", table=0, row=1, col=1, to_row=2, to_col=2), dict(op="merge_cells", table=0, row=2, col=0, to_row=3, to_col=0), raw=grid(*SPANNED))
+    cells, n = cells_of(raw)
+    assert n == "4" and [ok for _, ok, _ in told] == [True, True, False]
+    assert cells[3:] == [(3, 0, 1, 1, ["x", ""]), (3, 1, 1, 1, ["y", ""]), (3, 2, 1, 1, ["", ""])]
+    taken = [(r + i, c + j) for r, c, rs, cs, _ in cells for i in range(rs) for j in range(cs)]
+    assert sorted(taken) == [(r, c) for r in range(4) for c in range(3)]
+
+
+def test_tables_that_are_refused():
+    raw = grid(*FULL[:8], (2, 2, 1, 1, "x"))
+    held = raw.replace(b"<hp:t>22</hp:t>", b"").replace(b"<hp:t>x</hp:t>", b'<hp:ctrl><hp:bookmark name="b"/></hp:ctrl>')
+    for source, row in ((held, dict(op="append_row", table=0)), (raw, dict(op="append_row", table=1)), (raw, dict(op="append_row", table=0, text="[1,2,3,4]")), (raw, dict(op="append_row", table=0, text="{")), (raw, dict(op="merge_cells", table=0, row=1, col=1, to_row=0, to_col=1)), (raw, dict(op="merge_cells", table=0, row=0, col=0, to_row=3, to_col=0)), (grid(rows=0), dict(op="append_row", table=0)), (raw, dict(op="set_cell", table=0, row=0, col=0))):
+        new, told, _ = done(dict(row), raw=source)
+        assert new == source and told[0][1] is False
+
+
 @pytest.mark.parametrize("row", [dict(op="fly"), dict(op="set_text", paragraph=9, text=""), dict(op="set_text", paragraph=0), dict(op="append_paragraph", text="x", section=5), dict(op="insert_xml", at=0, xml="<hp:p/><hp:p/>"), dict(op="insert_xml", at=0, xml="<hp:p>"), dict(op="insert_xml", at=0, xml=""), dict(op="delete_control", paragraph=0, control=0), dict(op="move_control", paragraph=1, control=0, to_paragraph=7), dict(op="move_control", paragraph=1, control=0, to_paragraph=0, to_control=5), dict(op="insert_paragraph", at=4, text=""), dict(op="replace_text", old="", text="x")])
 def test_what_cant_be_applied_changes_nothing(row):
     raw, told, _ = done(row)
