@@ -144,3 +144,41 @@ def filled_json(row: Column) -> Column:
 def carried_json(comment: Column, prefix: str, kind: str) -> Column:
     """What a comment carries as JSON after its prefix, as a struct or map of this type; null if it has none or can't be read."""
     return F.when(F.startswith(comment, F.lit(prefix)), F.from_json(F.substring(comment, len(prefix) + 1, 1 << 30), kind))
+
+
+#: How many characters away from its target a cut may be worth, by the character before it and the one after it; ten count as one.
+BEFORE, AFTER = {")": 40, "]": 40, ",": 30, " ": 10}, {"[": 25, "(": 10, " ": 5}
+
+
+def _snapped(text: Column, target: Column, least: Column, most: Column) -> Column:
+    """The best place to cut near `target`: nearest, but rather at brackets, commas and spaces; of equal ones the first."""
+    worth = lambda at, values: F.coalesce(F.create_map(*[x for c, v in values.items() for x in (F.lit(c), F.lit(v))])[F.substring(text, at, F.lit(1))], F.lit(0))
+    near = F.least(F.greatest(target, least), most)
+    window = F.greatest(F.lit(8), F.floor(F.length(text) / 12).cast("int"))
+    places = F.sequence(F.greatest(least, near - window), F.least(most, near + window))
+    score = lambda i: F.abs(i - near) * 10 - F.when(i > 0, worth(i, BEFORE)).otherwise(0) - worth(i + 1, AFTER)
+    return F.when(least >= most, least).otherwise(F.array_min(F.transform(places, lambda i: F.struct(score(i).alias("score"), i.alias("at"))))["at"])
+
+
+def distributed(text: Column, lengths: Column) -> Column:
+    """A new text for paragraphs that had texts of these lengths: its lines if it has any, else pieces in proportion.
+
+    Cuts are made in order, none before the one before it, and leave a
+    character for each paragraph that is left where the text has as many.
+    Targets are rounded half to even. Paragraphs that were all empty leave the
+    text to the first; without paragraphs it is one piece.
+    """
+    n, m = F.length(text), F.size(lengths)
+    total = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def step(a: Column, i: Column) -> Column:
+        upto = a["upto"] + F.get(lengths, i - 1)
+        target = F.bround(n * (upto / total), 0).cast("int")
+        cut = _snapped(text, target, F.element_at(a["cuts"], -1), n - (m - i))
+        return F.struct(F.array_append(a["cuts"], cut).alias("cuts"), upto.alias("upto"))
+
+    first = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).cast("long").alias("upto"))
+    cuts = F.aggregate(F.sequence(F.lit(1), m - 1), first, step, lambda a: a["cuts"])
+    pieces = F.transform(cuts, lambda c, i: F.substring(text, c + 1, F.coalesce(F.get(cuts, i + 1), n) - c))
+    rest = F.array_repeat(F.lit(""), m - 1)
+    return F.when(F.contains(text, F.lit("\n")) & (m > 0), F.split(text, "\n", -1)).when(m < 2, F.array(text)).when(total <= 0, F.concat(F.array(text), rest)).otherwise(pieces)

@@ -54,6 +54,24 @@ def section_text(spark, sf):
     return R.joined_text(table(spark, sf, "conversations"), ["conv_id"], "turn", "text", "\n")
 
 
+_worth = lambda at, values: "case substr(t, " + at + ", 1) " + " ".join(f"when '{c}' then {v}" for c, v in values.items()) + " else 0 end"
+_score = f"abs(j - near) * 10 - case when j > 0 then {_worth('j', text.BEFORE)} else 0 end - {_worth('j + 1', text.AFTER)}"
+
+
+@query(
+    "with recursive c as (select conv_id, turn, t, ls, length(t) as n, list_sum(ls) as total, len(ls) as m from (select conv_id, turn, replace(text, chr(10), ' ') as t, list_transform(string_split(text, chr(10)), lambda x: length(x)) as ls from conversations)), "
+    "r as (select conv_id, turn, 0::bigint as i, 0::bigint as cut from c union all "
+    "select conv_id, turn, i + 1, case when cut >= most then cut else list_sort(list_transform(range(greatest(cut, near - win), least(most, near + win) + 1), lambda j: {'score': " + _score + ", 'j': j}))[1].j end from "
+    "(select r.conv_id, r.turn, i, cut, t, n - (m - (i + 1)) as most, greatest(8, n // 12) as win, least(greatest(round_even(n * (list_sum(ls[1:i + 1]) / total), 0)::bigint, cut), n - (m - (i + 1))) as near from r join c using (conv_id, turn) where i + 1 < m)) "
+    "select conv_id, turn, i::int as ord, substr(t, cut + 1, coalesce(lead(cut) over (partition by conv_id, turn order by i), n) - cut) as piece from r join c using (conv_id, turn)"
+)
+def proportional_split(spark, sf):
+    """Each turn's text without its line breaks, dealt to as many paragraphs as it had lines."""
+    c = table(spark, sf, "conversations")
+    lengths = F.transform(text.paragraphs(F.col("text")), lambda x: F.length(x))
+    return c.select("conv_id", "turn", F.posexplode(text.distributed(F.replace("text", F.lit("\n"), F.lit(" ")), lengths)).alias("ord", "piece"))
+
+
 @query("select page_id, i - 1 as ord, u as url from (select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as u, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), 1) as i from pages)")
 def hyperlinks(spark, sf):
     links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
