@@ -40,6 +40,8 @@ PROBES = 4
 CHUNK = 1 << 21
 #: Bytes of text for which there is one more segment.
 SEGMENT = 1 << 23
+#: Tasks that segments are dealt to, at most; a task answers one after another.
+TASKS = 1 << 14
 #: Bits of a pair's hash beyond the logarithm of the bytes of text: two pairs share a hash with a chance of 2**-SPARE.
 SPARE = 18
 
@@ -134,6 +136,13 @@ def edges(segments: int) -> np.ndarray:
     return np.array([(i << 64) // segments for i in range(1, segments)], np.uint64)
 
 
+def ranges(h: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted hashes: the segments that hold any, and where the hashes of each begin and end."""
+    part = np.searchsorted(least, h, "right")
+    begin = np.flatnonzero(np.diff(part, prepend=-1))
+    return part[begin], begin, np.append(begin[1:], len(h))[: len(begin)]
+
+
 def _pairs(t: np.ndarray, lengths: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the tokens that aren't the first of their document, and the hashes of the pairs that end there."""
     inner = np.ones(len(t), bool)
@@ -168,14 +177,16 @@ def _ask(batches: Iterator[pa.RecordBatch], segments: int, shift: int) -> Iterat
         grams, back = np.unique(h, return_inverse=True)
         twos = np.bincount(back[learn[second]], minlength=len(grams))
         del h, back, second, learn
-        data = []
-        for h, c, least in ((words, counts, bounds), (grams, twos, bounds >> np.uint64(shift))):
-            cut = [0, *np.searchsorted(h, least).tolist(), len(h)]
-            ranges = list(zip(cut, cut[1:], strict=False))
-            data += [[_sorted_planes(h[i:j]) for i, j in ranges], [planes(c[i:j].astype(np.uint32)) for i, j in ranges]]
-        n, m = len(rows), segments + 1
+        # Only segments that are asked something get a row: a chunk has no more rows than n-grams, however many segments there are.
+        data, cuts = [], [ranges(h, least) for h, least in ((words, bounds), (grams, bounds >> np.uint64(shift)))]
+        live = np.union1d(cuts[0][0], cuts[1][0])
+        for h, c, (part, begin, end) in ((words, counts, cuts[0]), (grams, twos, cuts[1])):
+            own = np.zeros((len(live), 2), np.int64)
+            own[np.searchsorted(live, part)] = np.stack([begin, end], axis=1)
+            data += [[_sorted_planes(h[i:j]) for i, j in own.tolist()], [planes(c[i:j].astype(np.uint32)) for i, j in own.tolist()]]
+        n, m = len(rows), len(live) + 1
         first = [pa.array([at, *data[0]], pa.binary()), pa.array([planes(lengths.astype(np.uint32)), *data[1]], pa.binary()), *[pa.array([None, *x], pa.binary()) for x in data[2:]]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array([-2, *range(segments)], pa.int32()), pa.array([0] * m, pa.int32()), pa.nulls(m, rows.type), *first], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array([-2, *live.tolist()], pa.int32()), pa.array([0] * m, pa.int32()), pa.nulls(m, rows.type), *first], names)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.full(n, -1, np.int32)), pa.array(np.arange(n, dtype=np.int32)), rows, *[pa.nulls(n, pa.binary())] * 4], names)
 
     for batch in batches:
@@ -294,7 +305,7 @@ def score(docs: DataFrame, training, text: str = "text", mixing: float = 0.4, bi
     # Chunks must not change when a task runs again: they are written.
     chunks = whole.mapInArrow(lambda it: _ask(it, segments, shift), f"chunk long, part int, seq int, row {kind}, a binary, b binary, c binary, d binary")
     chunks = scratch.cut(chunks, "chunks")
-    asked = chunks.where("part >= 0").select("part", "chunk", "a", "b", "c", "d").repartition(segments, "part").sortWithinPartitions("part")
+    asked = chunks.where("part >= 0").select("part", "chunk", "a", "b", "c", "d").repartition(min(segments, TASKS), "part").sortWithinPartitions("part")
     answers = scratch.cut(asked.mapInArrow(lambda it: _answer(it, bits_a_gram), "chunk long, part int, a binary, b binary, c binary, total long, distinct long"), "answers")
     total, distinct = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     told = answers.select("chunk", "part", F.lit(1).alias("seq"), F.lit(None).cast(kind).alias("row"), "a", "b", "c")

@@ -144,6 +144,26 @@ def test_scores_all_pairs(spark):
             assert got[i] == pytest.approx(sum(map(math.log10, p)), rel=1e-6)
 
 
+def test_rows_follow_the_text(spark):
+    """A chunk asks segments that its n-grams are in, so rows grow with the text and not with chunks times segments."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices("abcdefghij", k=30))) for i in range(20)]
+    whole = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).select(F.struct("doc_id").alias("row"), F.col("text").alias("_text"), F.lit(True).alias("_learn"))
+    grams = len({w for _, t in rows for w in words(t)}) + len({p for _, t in rows for p in zip(words(t), words(t)[1:])})  # noqa: B905
+    kind = "chunk long, part int, seq int, row struct<doc_id:bigint>, a binary, b binary, c binary, d binary"
+    for segments in (1, 7, 1 << 12, 1 << 18):
+        found = whole.mapInArrow(lambda it: bloom_lm._ask(it, segments, 0), kind).where("part >= 0").select("part").collect()  # noqa: B023
+        parts = [r.part for r in found]
+        assert parts == sorted(set(parts)) and len(parts) <= min(segments, grams) and max(parts) < segments
+    assert len(parts) > 0.9 * grams
+    import numpy as np
+
+    h = np.sort(np.random.default_rng(0).integers(0, 2**63, 500, np.uint64) * np.uint64(2))
+    for segments in (1, 3, 64, 4096):
+        part, begin, end = bloom_lm.ranges(h, bloom_lm.edges(segments))
+        assert [(int(x) * segments) >> 64 for x in h] == np.repeat(part, end - begin).tolist() and begin.tolist() == [0, *end[:-1].tolist()] and end[-1] == 500
+
+
 def test_filter_levels(spark):
     import numpy as np
 
