@@ -158,12 +158,13 @@ def _windows(starts, s, weight, many, size, items: Items, radius: int, least: fl
             best[item] = (int(starts[w]), words, like)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = RADIUS, most_bytes: int = 64 << 20, keep: list[str] | None = None) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = RADIUS, most_bytes: int = 8 << 20, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all) of `docs` with `leaks`: array of (item, first_word, words, similarity), a benchmark item each, empty if clean.
 
     Null and empty texts are clean; null or wordless items match nothing;
-    repeated items are all named. The benchmark is held by every worker; its
-    size is checked first, and beyond `most_bytes` this raises.
+    repeated items are all named. The benchmark is held by every worker, in
+    some 64 times the bytes of its text; its size is checked first, and beyond
+    `most_bytes` this raises.
     """
     spark = docs.sparkSession
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
