@@ -361,28 +361,27 @@ def package_metadata_edits(spark, sf):
     return N.metadata(E.set_metadata(nodes, title="new title", keyword="some words")).select("doc", "title", "language", "keyword", F.col("extra")["mood"].alias("mood"))
 
 
-@query(f"{_BASE} select doc, paragraph, case when paragraph = 0 then 'set' || case when k in (0, 1, 5, 6, 7) then 'in ' || n else '' end else text || {_inner} end as text from d where section_index = 0 and (paragraph > 0 or k not between 12 and 15)")
+@query(f"{_BASE} select doc, paragraph, case when paragraph = 0 then case when k in (0, 1, 5, 6, 7) then 'in ' || n else '' end || 'set' else text || {_inner} end as text from d where section_index = 0")
 def package_text_edits(spark, sf):
-    """The first paragraph's own text set: controls that are kept keep their text, tables in runs of their own without controls go."""
+    """The first paragraph's own text set: runs with controls stay, without texts of their own, and the new text follows them; other runs go, and what is in them."""
     _, nodes = _read(packages(spark, sf))
-    changed = N.paragraph_text(E.set_paragraph_text(nodes, 0, 0, "set")).where("section_index = 0")
-    fields = N.select(nodes, "fields").where("section_index = 0 and paragraph = 0").select("doc", "paragraph")
-    order = F.when(F.col("paragraph") == 0, F.regexp_replace("text", r"^(in \d+)set$", "set$1")).otherwise(F.col("text"))
-    return changed.join(fields, ["doc", "paragraph"], "left_anti").select("doc", F.col("paragraph"), order.alias("text"))
+    return N.paragraph_text(E.set_paragraph_text(nodes, 0, 0, "set")).where("section_index = 0").select("doc", "paragraph", "text")
 
 
-@query(f"{_BASE} select doc, s as section_index, case when s = 0 then 3 else 1 end::bigint as appended from (select distinct doc from d) cross join (values (0), (1)) t(s)")
+@query(
+    f"{_BASE}, b as (select doc, section_index, paragraph, 0 as place, 'paragraph' as kind, text || case when k between 12 and 15 then 'shown ' || n else '' end as text from d union all select doc, section_index, paragraph, 1, {_case}, null from d where k < 28 "
+    "union all select doc, 0, 1000 + i, 0, kind, text from (select distinct doc from d) cross join (values (1, 'paragraph', 'end'), (2, 'bookmark', null), (3, 'note', 'n')) t(i, kind, text) union all select doc, max(section_index) + 1, 0, 0, 'paragraph', '' from d group by doc) "
+    "select doc, section_index, row_number() over (partition by doc, section_index order by paragraph, place) - 1 as ord, kind, text from b"
+)
 def package_drafts(spark, sf):
-    """Blocks appended to documents read from packages, to the first section and to a new one."""
+    """Blocks appended to documents read from packages, to the first section and to a new one: all blocks in order."""
     from foliospark.operators.blocks import Draft
 
     _, nodes = _read(packages(spark, sf))
-    first = N.blocks(nodes).where("section_index = 0")
-    draft = Draft(first.select("doc").distinct(), first)
+    base = N.blocks(nodes)
+    draft = Draft(base.select("doc").distinct(), base)
     draft.append_paragraph("end").append_bookmark("m").append_footnote("n").append_section()
-    grown = draft.blocks().groupBy("doc", "section_index").agg(F.count("*").alias("m"))
-    was = first.groupBy("doc", "section_index").agg(F.count("*").alias("n"))
-    return grown.join(was, ["doc", "section_index"], "left").select("doc", "section_index", (F.col("m") - F.coalesce("n", F.lit(0))).alias("appended"))
+    return draft.blocks().select("doc", "section_index", F.col("ord").cast("long").alias("ord"), "kind", "text")
 
 
 # -- drafts as binary documents ----------------------------------------------------------------

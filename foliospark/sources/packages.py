@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import markup_safe, normal_path
@@ -169,8 +169,6 @@ def nodes(rows: DataFrame) -> DataFrame:
 
 def sections(rows: DataFrame) -> DataFrame:
     """(doc, path, suffix, section_index): section parts in the order of their numbers."""
-    from pyspark.sql import Window
-
     found = rows.where("kind = 'section'").select("doc", "path", F.regexp_extract("path", SECTION, 1).cast("int").alias("suffix"))
     return found.withColumn("section_index", F.row_number().over(Window.partitionBy("doc").orderBy("suffix")) - 1)
 
@@ -240,6 +238,35 @@ def serialize(tree: DataFrame) -> DataFrame:
     return tree.where("pre is not null").select("doc", "part", "pre", "end", "ns", "local", "text", "tail", "attrs").groupBy("doc", "part").applyInPandas(write, "doc string, path string, content binary")
 
 
+def tree_digests(tree: DataFrame) -> DataFrame:
+    """(doc, part, n, digest): the nodes of each part as one digest: their order, names, texts and attributes."""
+    facts = F.sha2(F.to_json(F.struct("pre", "end", "ns", "local", "text", "tail", F.array_sort(F.map_entries("attrs")).alias("attrs"))), 256)
+    # Sums of four pieces of the nodes' own digests, so that nothing is gathered.
+    pieces = [F.sum(F.conv(F.substring(facts, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"d{i}") for i in range(4)]
+    rows = tree.where("pre is not null").groupBy("doc", "part").agg(F.count("*").alias("n"), *pieces)
+    return rows.select("doc", "part", "n", F.concat_ws("-", *[F.col(f"d{i}").cast("string") for i in range(4)]).alias("digest"))
+
+
+def with_changed(rows: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Parts with the content of those whose nodes changed written anew; all others keep their bytes.
+
+    `before` and `after` are the nodes of `rows` and those nodes edited. A part
+    that is only in `after` comes last in its package; one that is only in
+    `before` goes.
+    """
+    was, now = tree_digests(before).withColumnRenamed("digest", "was"), tree_digests(after).withColumnRenamed("digest", "now")
+    both = was.join(now.drop("n"), ["doc", "part"], "full_outer")
+    changed = both.where("now is not null and not was <=> now").select("doc", "part")
+    gone = both.where("now is null").select("doc", F.col("part").alias("path"))
+    new = serialize(after.join(changed, ["doc", "part"], "left_semi"))
+    last = rows.groupBy("doc").agg(F.max("entry_ord").alias("_last"))
+    added = new.join(rows.select("doc", "path"), ["doc", "path"], "left_anti").join(last, "doc", "left")
+    order = F.row_number().over(Window.partitionBy("doc").orderBy("path"))
+    added = added.select("doc", (F.coalesce("_last", F.lit(-1)) + order).cast("int").alias("entry_ord"), "path", kind(F.col("path"), F.col("content")).alias("kind"), "content", F.lit(False).alias("stored"), F.lit(1).cast("long").alias("copies"))
+    kept = rows.join(gone, ["doc", "path"], "left_anti").join(new.withColumnRenamed("content", "_new"), ["doc", "path"], "left")
+    return kept.withColumn("content", F.coalesce("_new", "content")).select("doc", "entry_ord", "path", "kind", "content", "stored", "copies").unionByName(added)
+
+
 def save(packages: DataFrame, folder: str, suffix: str = ".hwpx") -> DataFrame:
     """Write each package as a file below `folder` (any file system that Arrow knows); (doc, path) of what was written."""
 

@@ -132,3 +132,17 @@ def test_escapes_are_inverse(spark):
     got = spark.createDataFrame([(x,) for x in odd], "t string").select("t", T.unreserved(T.reserved(F.col("t"))).alias("u"), T.noted(F.concat(F.lit("escaped=1;k="), T.reserved(F.col("t")))).alias("m"), T.noted(F.concat(F.lit("k="), "t")).alias("raw")).collect()
     assert all(r.u == r.t and r.m == {"k": r.t} for r in got)
     assert [r.raw for r in got if r.t == "%3B"] == [{"k": "%3B"}]  # without the mark nothing is decoded
+
+
+def test_only_changed_parts_are_written(spark, tmp_path):
+    """An edit elsewhere leaves a part's bytes alone; new parts come last, parts without nodes left go."""
+    parts_, nodes = read(spark, tmp_path, spark.createDataFrame([("a", package()), ("b", package())], "doc string, content binary"))
+    edited = E.set_attributes(nodes, (F.col("doc") == "a") & (F.col("local") == "bookmark"), name="other")
+    out = {(r.doc, r.path): r for r in P.with_changed(parts_, nodes, edited).collect()}
+    was = {(r.doc, r.path): bytes(r.content) for r in parts_.collect()}
+    assert {k for k in was if bytes(out[k].content) != was[k]} == {("a", "Contents/section0.xml")} and set(out) == set(was)
+    assert b'name="other"' in bytes(out["a", "Contents/section0.xml"].content)
+    grown = nodes.where("part <> 'Chart/chart1.xml'").unionByName(nodes.where("part = 'Contents/section10.xml'").withColumn("part", F.lit("Contents/section11.xml")))
+    out = {(r.doc, r.path): r for r in P.with_changed(parts_, nodes, grown).collect()}
+    assert ("a", "Chart/chart1.xml") not in out and out["a", "Contents/section11.xml"].kind == "section"
+    assert out["b", "Contents/section11.xml"].entry_ord == 1 + max(r.entry_ord for r in parts_.where("doc = 'b'").collect())
