@@ -53,6 +53,20 @@ def select(nodes: DataFrame, selector: str, section_index: int | None = None) ->
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy("doc").orderBy(F.col("section_index").asc_nulls_first(), major, "pre")) - 1)
 
 
+def select_all(nodes: DataFrame) -> DataFrame:
+    """Rows with each `selector` that finds them and their order `ord` in its result: all selectors in one pass."""
+    tags = sorted({t for ts in TAGS.values() for t in ts})
+    entry = lambda s, major: F.struct(F.lit(s).alias("selector"), F.lit(major).alias("major"))
+    in_header, in_section = (F.create_map(*[x for t in tags for x in (F.lit(t), F.array(*[entry(s, ts.index(t) + 1 if s in TAG_MAJOR else 0) for s, ts in TAGS.items() if t in ts and (s in IN_HEADER) == header]).cast("array<struct<selector:string,major:int>>"))]) for header in (True, False))
+    fields = F.filter(F.array(*[F.when(field_type().isin(*kinds), entry(s, 0)) for s, kinds in FIELD_TYPES.items()]), lambda e: e.isNotNull())
+    known = nodes.where(F.col("local").isin(*tags) & ((F.col("part") == "Contents/header.xml") | F.col("section_index").isNotNull()))
+    own = F.when(F.col("part") == "Contents/header.xml", in_header[F.col("local")]).otherwise(in_section[F.col("local")])
+    both = F.when(F.col("local") == "fieldBegin", F.concat(own, fields)).otherwise(own)
+    rows = without_chart_fallbacks(known, nodes).withColumn("_s", F.explode(both)).withColumns({"selector": F.col("_s.selector"), "_major": F.col("_s.major")})
+    order = Window.partitionBy("doc", "selector").orderBy(F.col("section_index").asc_nulls_first(), "_major", "pre")
+    return rows.withColumn("ord", F.row_number().over(order) - 1).drop("_s", "_major")
+
+
 def within(rows: DataFrame, ancestors: DataFrame, name: str = "ancestor") -> DataFrame:
     """Pairs of rows with those of `ancestors` (doc, part, pre) they lie in, by their lists of ancestors."""
     own = rows.withColumn("_up", F.explode("ancestors"))

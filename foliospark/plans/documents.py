@@ -118,11 +118,7 @@ _values = ", ".join(f"('{s}', {k}, {i if s in N.TAG_MAJOR else 0})" for s, ks in
 def package_selectors(spark, sf):
     """Every selector, with the order of its rows in the document."""
     _, nodes = _read(packages(spark, sf))
-    out = None
-    for selector in (*SELECTED, *_HEADERS):
-        found = N.select(nodes, selector).select(F.lit(selector).alias("selector"), "doc", "section_index", "paragraph", F.col("ord").cast("long").alias("ord"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    return N.select_all(nodes).select("selector", "doc", "section_index", "paragraph", F.col("ord").cast("long").alias("ord"))
 
 
 _inner = "case when k in (0, 1, 5, 6, 7) then 'in ' || n when k = 2 then n || 'bc' || conv_id when k between 12 and 15 then 'shown ' || n else '' end"
@@ -287,12 +283,7 @@ _nvalues = ", ".join(f"('{s}', {k})" for s, ks in NATIVE_SELECTED.items() for k
 @query(f"{_NBASE}, s(selector, k) as (values {_nvalues}) select selector, doc, section_index, paragraph::bigint as paragraph from d join s using (k)")
 def binary_selectors(spark, sf):
     """Every selector of binary documents, with the paragraph of each control."""
-    found = B.controls(_records(spark, sf)[1])
-    out = None
-    for selector in NATIVE_SELECTED:
-        rows = B.select(found, selector).select(F.lit(selector).alias("selector"), "doc", "section_index", "paragraph")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return B.select_all(B.controls(_records(spark, sf)[1])).select("selector", "doc", "section_index", "paragraph")
 
 
 @query(f"{_NBASE} select doc, section_index, paragraph::bigint as paragraph, text || chr(13) as text, length(text) + 1 as char_count from d")

@@ -310,14 +310,25 @@ def controls(rows: DataFrame) -> DataFrame:
     return heads.join(shapes, ["doc", "stream", "ord"], "left").select("doc", "stream", "section_index", "paragraph", "ord", "control_id", kind.alias("kind"), "payload")
 
 
+_SHAPE_KINDS = ("shape", "line", "connect_line", "rectangle", "ellipse", "arc", "polygon", "curve", "container", "textart", "ole", "chart")
+#: Selector -> kinds of controls: shapes hold oles and charts, lines don't hold connecting lines. Fields go by their ids.
+SELECTORS: dict[str, tuple[str, ...]] = {
+    "tables": ("table",), "pictures": ("picture",), "hyperlinks": ("hyperlink",), "bookmarks": ("bookmark",), "notes": ("footnote", "endnote"), "page_numbers": ("page_number",), "shapes": _SHAPE_KINDS, "forms": ("form",), "memos": ("memo",), "equations": ("equation",),
+    "mail_merge_fields": ("mail_merge_field",), "calculation_fields": ("calculation_field",), "cross_references": ("cross_reference",), "doc_property_fields": ("doc_property_field",), "date_fields": ("date_field",), **{f"{s}s": (s,) for s in _SHAPE_KINDS[1:]},
+}
+
+
 def select(found: DataFrame, selector: str) -> DataFrame:
-    """Controls of a selector: shapes hold oles and charts, lines don't hold connecting lines, fields hold all field kinds."""
-    shapes = ("shape", "line", "connect_line", "rectangle", "ellipse", "arc", "polygon", "curve", "container", "textart", "ole", "chart")
-    groups = {"tables": ("table",), "pictures": ("picture",), "hyperlinks": ("hyperlink",), "bookmarks": ("bookmark",), "notes": ("footnote", "endnote"), "page_numbers": ("page_number",), "shapes": shapes, "forms": ("form",), "memos": ("memo",), "equations": ("equation",), "mail_merge_fields": ("mail_merge_field",), "calculation_fields": ("calculation_field",), "cross_references": ("cross_reference",), "doc_property_fields": ("doc_property_field",), "date_fields": ("date_field",)}
-    groups |= {f"{s}s": (s,) for s in shapes[1:]}
-    if selector == "fields":
-        return found.where(F.col("control_id").startswith("%"))
-    return found.where(F.col("kind").isin(*groups[selector]))
+    """Controls of a selector (see SELECTORS); fields are all that have a field's id."""
+    return found.where(F.col("control_id").startswith("%")) if selector == "fields" else found.where(F.col("kind").isin(*SELECTORS[selector]))
+
+
+def select_all(found: DataFrame) -> DataFrame:
+    """Controls with each `selector` that finds them: a row for each, in one pass."""
+    kinds = sorted({k for ks in SELECTORS.values() for k in ks})
+    by_kind = F.create_map(*[x for k in kinds for x in (F.lit(k), F.array(*[F.lit(s) for s, ks in SELECTORS.items() if k in ks]))])
+    own = F.coalesce(by_kind[F.col("kind")], F.array().cast("array<string>"))
+    return found.withColumn("selector", F.explode(F.when(F.col("control_id").startswith("%"), F.array_append(own, F.lit("fields"))).otherwise(own)))
 
 
 def table_cells(rows: DataFrame) -> DataFrame:

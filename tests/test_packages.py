@@ -55,6 +55,15 @@ def test_selectors(good):
     assert N.select(nodes, "tables", 1).count() == 0
 
 
+def test_all_selectors_at_once(good):
+    nodes = good[2]
+    got = {}
+    for r in N.select_all(nodes).collect():
+        got.setdefault(r.selector, set()).add((r.part, r.pre, r.ord))
+    for selector in (*N.TAGS, *N.FIELD_TYPES):
+        assert got.get(selector, set()) == {(r.part, r.pre, r.ord) for r in N.select(nodes, selector).collect()}
+
+
 def test_text(good):
     nodes = good[2]
     got = {(r.section_index, r.paragraph): r.text for r in N.paragraph_text(nodes).collect()}
