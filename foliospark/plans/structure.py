@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import convert
 from foliospark.operators import nodes as N
+from foliospark.operators import profiles
 from foliospark.operators import relational as R
 from foliospark.operators import xpath as X
 from foliospark.operators.contents import package_blocks
 from foliospark.operators.editlog import apply_log
 from foliospark.plans.catalogue import query, table
-from foliospark.plans.documents import _BASE, _read, _records, packages
+from foliospark.plans.documents import _BASE, _NBASE, _read, _records, packages
 from foliospark.sources import binary as B
 from foliospark.sources import packages as P
 from foliospark.sources.shared import kept
@@ -207,3 +208,24 @@ def binary_diffs(spark, sf) -> DataFrame:
     after = kept(rest.unionByName(bodies).unionByName(new), "after")
     changed = B.record_diff(records, later).groupBy("doc", F.col("stream").alias("path")).agg(F.count("*").alias("records"))
     return B.stream_diff(streams, after).join(changed, ["doc", "path"], "left").select("doc", "path", "status", F.coalesce("records", F.lit(0)).alias("records"))
+
+
+# -- profiles ---------------------------------------------------------------------------------------
+
+_PROFILE = {"table": "tbl ", "footnote": "fn  ", "page": "pgnp"}
+
+
+@query(
+    f"{_NBASE}, z as (select *, case when k in (0, 6) then 4 when k >= 17 then 5 else 3 end as size from d), y as (select *, sum(size) over (partition by doc, section_index order by paragraph) - size + 2 as ord from z), "
+    "o as (select *, case k when 0 then 'table' when 2 then 'footnote' else 'page' end as feature from y where k in (0, 2, 4)), "
+    "b as (select feature, arg_min(doc, (size, section_index, ord, doc)) as doc, arg_min(section_index, (size, section_index, ord, doc)) as section_index, arg_min(text, (size, section_index, ord, doc)) as text, arg_min(size, (size, section_index, ord, doc)) as records from o group by feature), "
+    "w as (select doc, section_index from o group by all having count(distinct feature) = 3), n as (select doc, count(*) filter (k = 0) as a, count(*) filter (k = 2) as c, count(*) filter (k = 4) as e from o where doc in (select doc from w) group by doc), "
+    "t as (select doc from n order by a desc, c desc, e desc, doc limit 1), f as (select doc, section_index, text, size, row_number() over (order by (select count(*) from w v where v.doc = z.doc)) as i from z where doc in (select doc from t) and paragraph = 0 and (doc, section_index) in (select doc, section_index from w)) "
+    "select feature, doc, section_index, records::bigint as records, text from b where (select count(*) from t) > 0 union all select 'base', doc, section_index, size::bigint, text from f where i = 1"
+)
+def binary_profile(spark, sf) -> DataFrame:
+    """The smallest example of each feature in a collection, and the first paragraph of the donor's section that has all of them."""
+    streams, records = _records(spark, sf)
+    profile = kept(profiles.build(streams, records, _PROFILE), "profile")
+    text = F.element_at(F.filter("records", lambda r: r.tag_id == B.TAGS["para_text"]), 1)["payload"]
+    return profile.select("feature", "doc", "section_index", F.size("records").cast("long").alias("records"), F.replace(F.decode(text, "UTF-16LE"), F.lit("\r"), F.lit("")).alias("text"))
