@@ -53,9 +53,12 @@ def unreserved(text: Column) -> Column:
 
 def noted(text: Column) -> Column:
     """key_values(), and where a pair `escaped=1` says so, keys and values as they were before reserved()."""
-    found = key_values(text)
-    plain = F.map_from_entries(F.transform(F.filter(F.map_entries(found), lambda e: e.key != "escaped"), lambda e: F.struct(unreserved(e.key), unreserved(e.value))))
-    return F.when(F.map_contains_key(found, "escaped"), plain).otherwise(found)
+
+    def plain(found: Column) -> Column:
+        others = F.filter(F.map_entries(found), lambda e: e.key != "escaped")
+        return F.when(F.map_contains_key(found, "escaped"), F.map_from_entries(F.transform(others, lambda e: F.struct(unreserved(e.key), unreserved(e.value))))).otherwise(found)
+
+    return F.get(F.transform(F.array(key_values(text)), plain), F.lit(0))  # the map is made once
 
 
 def first_filled(*values: Column) -> Column:
