@@ -11,20 +11,20 @@ others. Readers of lengths never touch the ids.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scratch
 
-#: The end id of the dealt format, words held at a time and the longest one held, the largest tokenizer file that is broadcast, the most parts whose totals are.
-END, HELD, LONG, LARGEST, PARTS = 2, 1 << 17, 64, 64 << 20, 1 << 17
+#: The end id of the dealt format, words held at a time and the longest one held, the largest tokenizer file that is broadcast, the most parts whose totals are, bytes of texts encoded at a time (one text at least).
+END, HELD, LONG, LARGEST, PARTS, BATCH = 2, 1 << 17, 64, 64 << 20, 1 << 17, 6 << 20
 #: Parquet settings: bytes and rows of a row group and of a page, encodings by column.
 LAYOUT = {
     "compression": "zstd",
@@ -41,7 +41,7 @@ LAYOUT = {
 
 
 #: Words of Latin letters, ASCII digits and other signs but the apostrophe, and how the pattern below splits them once they are lowered. Up to U+024F nothing is changed by composition, and digits, letters and the rest are told alike by all versions of Unicode.
-PLAIN, PIECES = re.compile("[!-&(-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f]+"), re.compile(r"\n|[^\W\d_]+|\d|(?:[^\w\n]|_)+")
+PLAIN, PIECES = "[!-&(-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f]+", r"\pL+|\pN|[^\pL\pN\n]+"
 #: The steps before the merges of the tokenizer whose words can be taken one by one: normaliser and pattern.
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -55,14 +55,19 @@ def _by_words(settings: dict) -> bool:
     return (settings.get("normalizer") or {}).get("normalizers") == NORMAL and len(steps) == 2 and steps[0] == split and last
 
 
+def _lists(offsets: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
 class Encoder:
-    """Ids of texts as bytes (32 bits each, lowest first), equal words encoded once.
+    """Ids of texts, equal words of a batch encoded once.
 
     If the tokenizer works by words (see `_by_words`), no token spans a space
     or a line feed, and a text's ids are those of its words one after another.
     In plain words its pattern finds runs of letters, digits and runs of all
     else, which go to the library's merges; all other words go through all of
-    the library. For tokenizers of other kinds whole texts do.
+    the library. Both are held from batch to batch. For tokenizers of other
+    kinds whole texts do.
     """
 
     def __init__(self, json_text: str) -> None:
@@ -78,41 +83,58 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Hold the ids of these words."""
-        plain = [w for w in words if PLAIN.fullmatch(w) and self.added.isdisjoint(w)]
-        for w in words.difference(plain):
-            self.held[w] = self._whole(w)
-        parts = PIECES.findall("".join([w + "\n" for w in plain]).lower())
-        if len(self.pieces) > HELD:
-            self.pieces.clear()
-        for p in set(parts).difference(self.pieces):
-            seen = p if p.isascii() else self.bytes.pre_tokenize_str(p)[0][0]
-            self.pieces[p] = array("i", [t.id for t in self.model.tokenize(seen)]).tobytes()
-        ids, own = self.pieces, []
-        each = iter(plain)
-        for p in parts:
-            if p != "\n":
-                own.append(ids[p])
-            else:
-                self.held[next(each)] = b"".join(own)
-                own = []
-        for p in {p for p in parts if len(p) > LONG}:
-            del self.pieces[p]
+    def _merged(self, piece: str) -> bytes:
+        seen = piece if piece.isascii() else self.bytes.pre_tokenize_str(piece)[0][0]
+        return array("i", [t.id for t in self.model.tokenize(seen)]).tobytes()
+
+    @staticmethod
+    def _known(keys: pa.Array, held: dict[str, bytes], learn: Callable[[str], bytes]) -> pa.ListArray:
+        """What `learn` makes of each of these keys, all of them distinct; it is asked only for those that aren't held."""
+        own = keys.to_numpy(zero_copy_only=False).tolist()
+        new = [k for k in own if k not in held]
+        if len(held) + len(new) > HELD:  # what was met again lately stays
+            for k in held.keys() - set(own):
+                del held[k]
+        held.update(zip(new, map(learn, new), strict=True))
+        data = [held[k] for k in own]
+        for k in [k for k in new if len(k) > LONG]:
+            del held[k]
+        return _lists(np.cumsum([0, *map(len, data)]) // 4, np.frombuffer(b"".join(data), np.int32))
+
+    def _plain(self, words: pa.Array) -> pa.ListArray:
+        """The ids of each of these plain words, of which there is one at least: each piece gets a line, and an empty one ends a word."""
+        lines = pc.binary_join(_lists(np.array([0, len(words)]), words.cast(pa.string())), "\n")[0].as_py().lower()
+        parts = pc.split_pattern(pc.replace_substring_regex(pa.array([lines]), PIECES, "\\0\n"), "\n").flatten().dictionary_encode()
+        ids = self._known(parts.dictionary, self.pieces, self._merged).take(parts.indices)
+        ends = np.flatnonzero(pc.equal(parts.indices, pc.index(parts.dictionary, "")).to_numpy(zero_copy_only=False))
+        return _lists(np.concatenate([[0], ids.offsets.to_numpy()[ends]]), ids.values)
+
+    def _distinct(self, words: pa.Array) -> pa.ListArray:
+        """The ids of each of these words, all of them distinct."""
+        plain = pc.match_substring_regex(words, f"^{PLAIN}$")
+        for sign in self.added:
+            plain = pc.and_not(plain, pc.match_substring(words, sign))
+        first = plain.to_numpy(zero_copy_only=False)
+        rest = self._known(words.filter(pc.invert(plain)), self.held, self._whole)
+        if not first.any():
+            return rest
+        place = np.where(first, np.cumsum(first) - 1, first.sum() + np.cumsum(~first) - 1)
+        return pa.concat_arrays([self._plain(words.filter(plain)), rest]).take(pa.array(place))
+
+    def lists(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text; none may be null."""
+        if not self.words:
+            ids = [self._whole(t) for t in texts.to_pylist()]
+            return _lists(np.cumsum([0, *map(len, ids)]) // 4, np.frombuffer(b"".join(ids), np.int32))
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        ids = self._distinct(words.dictionary).take(words.indices)
+        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        return _lists(ids.offsets.to_numpy()[upto], ids.values)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.words:
-            return list(map(self._whole, texts))
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        seen = set().union(*split)
-        if len(self.held) > HELD:  # what was met again lately stays
-            self.held = {w: self.held[w] for w in seen.intersection(self.held)}
-        self._learn(seen.difference(self.held))
-        get = self.held.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for w in [w for w in seen if len(w) > LONG]:
-            del self.held[w]
-        return out
+        """The ids of each text as bytes (32 bits each, lowest first)."""
+        return [x.values.to_numpy().tobytes() for x in self.lists(pa.array(texts, pa.string()))]
 
 
 #: A worker's last encoder, kept from task to task with its words.
@@ -126,6 +148,13 @@ def _encoder(json_text: str) -> Encoder:
     return _LAST[json_text]
 
 
+def portions(texts: pa.Array, most: int = BATCH) -> Iterator[pa.Array]:
+    """Runs of these texts of about so many bytes, one text at least."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    cuts = (np.flatnonzero(np.diff(total // most)) + 1).tolist()
+    return (texts.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True) if a < b)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", ident: str = "doc_id", end: int | None = END, layout: dict | None = None) -> None:
     """Encode every whole text and write the table in ascending order of ident.
 
@@ -141,7 +170,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", ident:
     if len(settings) > LARGEST:
         raise ValueError(f"{tokenizer} is larger than {LARGEST} bytes")
     shared = docs.sparkSession.sparkContext.broadcast(settings)
-    kind, last = docs.schema[ident].dataType.simpleString(), b"" if end is None else array("i", [end]).tobytes()
+    kind = docs.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -149,14 +178,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", ident:
         part, encoder, offset = TaskContext.get().partitionId(), None, 0
         for batch in batches:
             encoder = encoder or _encoder(shared.value)
-            for start in range(0, batch.num_rows, 512):
-                some = batch.slice(start, 512)
-                ids = [x + last for x in encoder.encode([t.as_py() or "" for t in some.column(1)])]
-                n = np.array([len(x) for x in ids], np.int64) // 4
-                upto = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), some.column(0), pa.array(offset + upto - n), pa.array(n.astype(np.int32)), lists], ["part", "ident", "offset", "n_tokens", "ids"])
-                offset += int(upto[-1])
+            at = 0
+            for texts in portions(batch.column(1)):
+                lists = encoder.lists(pc.fill_null(texts, ""))
+                ids, upto = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+                if end is not None:
+                    ids, upto = np.insert(ids, upto[1:], end), upto + np.arange(len(upto))
+                n = np.diff(upto)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), batch.column(0).slice(at, len(n)), pa.array(offset + upto[:-1]), pa.array(n.astype(np.int32)), _lists(upto, ids)], ["part", "ident", "offset", "n_tokens", "ids"])
+                offset, at = offset + int(upto[-1]), at + len(n)
 
     rows = docs.select(F.col(ident).alias("ident"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
     order = [F.col("ident").asc_nulls_first(), F.col("tie"), F.col("place")]

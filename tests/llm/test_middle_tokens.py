@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from oracle import compare
@@ -95,6 +97,76 @@ def test_words_give_the_ids_of_whole_texts():
     assert ids(other, "a  b c") == Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json").encode("a  b c", add_special_tokens=False).ids
 
 
+def test_words_met_again_make_no_python_objects():
+    with open(TOKENIZER, encoding="utf-8") as f:
+        coder = token_tables.Encoder(f.read())
+    words = [f"{a}ing{b}," for a in "abcdefghij" for b in "klmnopqrst"]
+    text = " ".join(words * 4000)
+    tracemalloc.start()
+    try:
+        (got,) = coder.encode([text])
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == coder.encode([" ".join(words)])[0] * 4000
+    assert most < len(got) + 8 * len(text)  # a string and a place in a list for each word need over 60 bytes
+
+
+def test_pieces_are_merged_again_only_when_they_were_not_met_lately(monkeypatch):
+    monkeypatch.setattr(token_tables, "HELD", 50)
+    with open(TOKENIZER, encoding="utf-8") as f:
+        coder = token_tables.Encoder(f.read())
+    asked, merged, whole = [], coder._merged, coder._whole
+    coder._merged = lambda p: asked.append(p) or merged(p)
+    coder._whole = lambda w: asked.append(w) or whole(w)
+    often, rare = [f"often{c}" for c in "abcdefghij"] + ["\u043c\u0438\u0440", "x" * 65], [f"rare{c}{d}" for c in "abcdefgh" for d in "abcdefgh"]
+    texts = [" ".join(often + rare), " ".join(often).upper(), " ".join(often), " ".join(often + rare)]
+    first = Tokenizer.from_file(TOKENIZER)
+    for t in texts:
+        assert np.frombuffer(coder.encode([t])[0], "<i4").tolist() == first.encode(t, add_special_tokens=False).ids
+    count = {w: asked.count(w) for w in often + rare}
+    assert all(count[w] == 1 for w in often[:11]) and count["x" * 65] == 4 and all(count[w] == 2 for w in rare)
+    assert "x" * 65 not in coder.pieces
+
+
+def test_texts_of_a_batch_have_the_ids_of_each():
+    with open(TOKENIZER, encoding="utf-8") as f:
+        coder = token_tables.Encoder(f.read())
+    texts, whole = [t or "" for t in ODD + mixed(6, 500)], Tokenizer.from_file(TOKENIZER)
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        assert coder.lists(pa.array(texts, kind)).to_pylist() == want
+        assert coder.lists(pa.array(texts, kind).slice(7, 20)).to_pylist() == want[7:27]
+        assert coder.lists(pa.array([], kind)).to_pylist() == []
+
+
+def test_portions_hold_so_many_bytes():
+    texts = pa.array(["a" * 10, None, "", "b" * 95, "c" * 5, "\u00e9" * 200, "", "d"])
+    assert [len(x) for x in token_tables.portions(texts, 100)] == [3, 2, 3]
+    assert pa.concat_arrays(token_tables.portions(texts, 100)).equals(texts)
+    assert [len(x) for x in token_tables.portions(texts.slice(3), 1 << 20)] == [5]
+    assert list(token_tables.portions(texts.slice(8), 100)) == []
+
+
+def test_many_portions_of_one_part(spark, tmp_path):
+    texts = ["caf\u00e9 Don't 12,5 \n" * 700, "\u041f\u0440\u0438\u0432\u0435\u0442 a\u0308b  c\td " * 500, "", "z" * 9000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    docs = spark.range(3000).withColumn("k", (F.col("id") % 4).cast("int")).join(F.broadcast(rows), "k").selectExpr("id doc_id", "text")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        token_tables.write(docs, f"file://{tmp_path}/t", TOKENIZER)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    whole = Tokenizer.from_file(TOKENIZER)
+    each = [ids_of(whole, t) for t in texts]
+    sums = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in each]
+    n = [len(each[k % 4]) for k in range(3000)]
+    want = [(k, a, n[k], sums[k % 4]) for k, a in zip(range(3000), np.cumsum([0, *n]).tolist())]
+    got = token_tables.summary(spark, f"file://{tmp_path}/t").orderBy("doc_id").collect()
+    assert 3000 * sum(len((t or "").encode()) for t in texts) / 4 > 2 * token_tables.BATCH
+    assert list(map(tuple, got)) == want
+
+
 def test_tables_hold_all_documents(spark, tmp_path):
     rows = [(k * 7 % 1009, t) for k, t in enumerate(ODD + mixed(4, 500))] + [(None, "null ident"), (5, "twice"), (5, "twice")] + [(8, f"one of many {i % 3}") for i in range(300)]
     docs = spark.createDataFrame([(t, k, 1) for k, t in rows], "text string, doc_id long, part int").repartition(4)
