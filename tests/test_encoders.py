@@ -79,6 +79,18 @@ def test_second_trip_is_stable(spark, read, tmp_path):
     assert cut(again) == cut(read["blocks"])
 
 
+def test_new_numbers_of_any_size(spark, tmp_path):
+    numbers = ["0", "65535", "65536", "100892", "2147483648", "-1", "007"]
+    d = Draft(spark.createDataFrame([("a",)], "doc string"))
+    for n in numbers:
+        d.append("auto_number", num=n)
+    d.append("auto_number")
+    d.blocks().write.parquet(str(tmp_path / "blocks"))
+    made = convert.to_binary(spark.read.parquet(str(tmp_path / "blocks")))
+    found = convert.binary_blocks(B.records(B.streams(made))).where("kind = 'auto_number'").orderBy("ord").collect()
+    assert [r.attrs for r in found] == [{"which": "newNum", "num": n} for n in [*numbers, "1"]]
+
+
 def test_lint_and_data(read):
     assert [r for r in B.lint(read["streams"], read["records"]).collect()] == []
     data = {r.path: bytes(r.logical) for r in read["streams"].where("doc = 'a'").collect()}
