@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -34,3 +35,14 @@ def test_distributed(spark):
     df = spark.createDataFrame(rows, "t string, n array<int>").select("t", "n", T.distributed(F.col("t"), F.col("n")).alias("got"))
     for r in df.collect():
         assert r.got == brute(r.t, r.n), (r.t, r.n)
+
+
+def test_long_texts_take_little_time(spark):
+    rng = random.Random(7)
+    rows = [("".join(rng.choice("abcdefgé,()[] ") for _ in range(2000)), [rng.randint(0, 200) for _ in range(15)]) for _ in range(300)]
+    df = spark.createDataFrame(rows, "t string, n array<int>").coalesce(1).select("t", "n", T.distributed(F.replace("t", F.lit("\n"), F.lit(" ")), F.transform("n", lambda x: x)).alias("got"))
+    began = time.monotonic()
+    found = df.collect()
+    assert time.monotonic() - began < 60  # many minutes where a text is made anew for each place that a cut may have
+    for r in found:
+        assert r.got == brute(r.t, r.n)
