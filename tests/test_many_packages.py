@@ -31,3 +31,15 @@ def quick():
 def test_metadata(nodes, quick):
     found = N.metadata(E.set_metadata(nodes, title="new title", keyword="some words")).select("title", "language", "keyword").collect()
     assert [tuple(r) for r in found] == [("new title", "ko", "some words")] * DOCS
+
+
+def written(edited):
+    return P.parts(P.entries(P.assemble(P.serialize(edited).select("doc", F.lit(0).alias("entry_ord"), "path", "content"))))
+
+
+def test_paragraphs(nodes, quick):
+    edited = E.insert_paragraph(E.move_paragraph(nodes, 0, 0, 1 << 20), 0, 0, "begun")
+    again = P.nodes(written(edited))
+    texts = N.paragraph_text(again).where("section_index = 0").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("paragraph", "text"))).alias("p"))
+    found = texts.select(F.transform("p", lambda x: x.text).alias("p")).collect()
+    assert len(found) == DOCS and all((r.p[0], r.p[-1]) == ("begun", "Title") for r in found)
