@@ -33,6 +33,11 @@ def test_metadata(nodes, quick):
     assert [tuple(r) for r in found] == [("new title", "ko", "some words")] * DOCS
 
 
+def test_text(nodes, quick):
+    found = N.paragraph_text(E.set_paragraph_text(nodes, 0, 0, "set")).where("section_index = 0 and paragraph < 2").groupBy("paragraph", "text").count().orderBy("paragraph").collect()
+    assert [(r.paragraph, r["count"]) for r in found] == [(0, DOCS), (1, DOCS)] and found[0].text.endswith("set")
+
+
 def written(edited):
     return P.parts(P.entries(P.assemble(P.serialize(edited).select("doc", F.lit(0).alias("entry_ord"), "path", "content"))))
 
