@@ -48,3 +48,9 @@ def test_paragraphs(nodes, quick):
     texts = N.paragraph_text(again).where("section_index = 0").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("paragraph", "text"))).alias("p"))
     found = texts.select(F.transform("p", lambda x: x.text).alias("p")).collect()
     assert len(found) == DOCS and all((r.p[0], r.p[-1]) == ("begun", "Title") for r in found)
+
+
+def test_sections(nodes, quick):
+    again = P.nodes(written(E.add_section(nodes, 0)))
+    found = again.where("section_index is not null and depth = 0").groupBy("doc").agg(F.sort_array(F.collect_list("section_index")).alias("s")).collect()
+    assert [r.s for r in found] == [[0, 10, 11]] * DOCS
